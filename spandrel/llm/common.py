@@ -31,6 +31,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/spandrel-{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and the authority of the file system that Spark finds it in."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(found).toString()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read from there: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)

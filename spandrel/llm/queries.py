@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from spandrel.llm import exact_dedup, packing, quality, sharding, simhash
+from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity, warc
 from spandrel.llm.common import table
 
+#: Vocabulary of op5, an installed public file.
+WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+#: The conversation that op10 adds: its texts hold the format's own control strings.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
 
 def op2_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
@@ -14,6 +23,14 @@ def op3_lpt_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 
@@ -22,11 +39,26 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_lpt_sharding, op6_exact_dedup, op7_best_fit_packing, op9_simhash_near_dedup)}
+def op10_chat_format(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(given.unionByName(tricky)))
+
+
+_ALL = (
+    op1_toxicity, op2_quality_rules, op3_lpt_sharding, op4_license_scan, op5_bpe, op6_exact_dedup, op7_best_fit_packing,
+    op8_warc, op9_simhash_near_dedup, op10_chat_format,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
     "op2_quality_rules": r"""
@@ -55,5 +87,25 @@ g AS (SELECT bare, max(n_points) AS most, count(*) AS group_size FROM d GROUP BY
 k AS (SELECT d.bare, min(doc_id) AS keep_id FROM d JOIN g ON d.bare = g.bare AND n_points = most GROUP BY d.bare)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.bare) AS text_sha256, n_points
 FROM d JOIN g USING (bare) JOIN k USING (bare)
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+b AS (SELECT *, list_transform(range(1, 41), lambda i: strpos('0123456789ABCDEF', substr(hex, i, 1)) - 1) AS n FROM p),
+t AS (SELECT *, array_to_string(list_transform(n, lambda x: (x // 8)::VARCHAR || ((x // 4) % 2)::VARCHAR || ((x // 2) % 2)::VARCHAR || (x % 2)::VARCHAR), '') AS bits FROM b),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + 16 * substr(bits, 5 * k + 1, 1)::INT + 8 * substr(bits, 5 * k + 2, 1)::INT + 4 * substr(bits, 5 * k + 3, 1)::INT + 2 * substr(bits, 5 * k + 4, 1)::INT + substr(bits, 5 * k + 5, 1)::INT, 1)), '') AS payload_digest,
+        max(page_id) OVER (PARTITION BY html) AS original FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to, NULL::VARCHAR AS error FROM d
+""",
+    "op10_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(15 + length(role) + length(text) + len(regexp_extract_all(role, '\\|###|:|</turn>')) + len(regexp_extract_all(text, '\\|###|:|</turn>')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
 """,
 }
