@@ -19,22 +19,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS, LONGEST_CHARS = 1_500, 20_000
+PER_CLASS, LONGEST_CHARS = 1_000, 20_000
 WINDOW, STRIDE = 32, 16
-WORDS, TRIGRAMS = 4_096, 8_192
+WORDS, TRIGRAMS, LEAST_DOCS = 4_096, 8_192, 3
 EMBED, HIDDEN = 12, 8
-EPOCHS, LEAST_STEPS, BATCH, RATE = 10, 400, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 120, 64, 0.01
 CUT = 0.7
 #: Windows scored at once, and words whose inputs a worker keeps.
-AT_ONCE, KEPT = 4_096, 100_000
+AT_ONCE, KEPT = 2_048, 250_000
 
 _WORD = re.compile(r"\w+")
 
@@ -43,9 +44,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def trigrams_of(word: str) -> list[str]:
-    marked = f"^{word}$"
-    return [marked[i : i + 3] for i in range(len(marked) - 2)]
+def trigrams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of all words in a row, each as one number, and where each word's begin; a word is marked at both ends."""
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    at = np.arange(lengths.sum()) + np.repeat(2 * np.arange(len(words)), lengths)
+    return (points[at] << 42) | (points[at + 1] << 21) | points[at + 2], starts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,12 +65,12 @@ def windows_of(n: int) -> np.ndarray:
 class Network:
     """Inputs are rows of (words, 6 * HIDDEN): both directions' update, reset and new gates, before the recurrent part."""
 
-    def __init__(self, words: dict[str, int], trigrams: dict[str, int], seed: int = 0):
+    def __init__(self, words: dict[str, int], trigrams: np.ndarray, seed: int = 0):
         r = np.random.default_rng(seed)
         normal = lambda *shape, by: (r.standard_normal(shape) * by).astype(np.float32)
-        self.words, self.trigrams = words, trigrams
+        self.words, self.trigrams = words, np.sort(trigrams)
         self.p = {
-            "word": normal(len(words) + 1, EMBED, by=0.1), "trigram": normal(len(trigrams) + 1, EMBED, by=0.3),
+            "word": normal(len(words) + 1, EMBED, by=0.1), "trigram": normal(len(trigrams) + 1, EMBED, by=0.03),
             "in": normal(2 * EMBED, 6 * HIDDEN, by=1 / math.sqrt(2 * EMBED)), "in_bias": np.zeros(6 * HIDDEN, np.float32),
             "back": normal(2, HIDDEN, 3 * HIDDEN, by=1 / math.sqrt(HIDDEN)),
             "attend": normal(2 * HIDDEN, by=0.5), "out": normal(2 * HIDDEN, by=0.5), "out_bias": np.zeros(1, np.float32),
@@ -75,12 +80,12 @@ class Network:
 
     def features(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, trigram numbers of all words in a row, and where each word's trigrams begin."""
-        get, known = self.trigrams.get, self.words.get
-        flat, starts = [], []
-        for w in vocabulary:
-            starts.append(len(flat))
-            flat += [get(t, 0) for t in trigrams_of(w)]
-        return np.array([known(w, 0) for w in vocabulary], np.int64), np.array(flat, np.int64), np.array(starts, np.int64)
+        keys, starts = trigrams_of(vocabulary)
+        at = np.searchsorted(self.trigrams, keys)
+        found = at < len(self.trigrams)
+        found[found] = self.trigrams[at[found]] == keys[found]
+        get = self.words.get
+        return np.array([get(w, 0) for w in vocabulary], np.int64), np.where(found, at + 1, 0), starts
 
     def embedded(self, features: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         words, flat, starts = features
@@ -93,8 +98,44 @@ class Network:
             return np.zeros((0, 6 * HIDDEN), np.float32)
         return self.embedded(self.features(vocabulary))[0] @ self.p["in"] + self.p["in_bias"]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits of windows x (windows, WINDOW, 6 * HIDDEN), of which mask says what are words."""
+    def logits(self, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Logits of windows whose words are rows of a table of inputs; row 0 stands for no word."""
+        n, length, h = len(rows), rows.shape[1], HIDDEN
+        ahead, astern = rows.T, rows.T[::-1]
+        gates = np.stack([table[ahead, : 3 * h], table[astern, 3 * h :]], axis=1)  # (length, 2, windows, 3 * h)
+        real = None if rows.all() else np.stack([ahead > 0, astern > 0], axis=1)[..., None]
+        gates[..., : 2 * h] *= 0.5  # a sigmoid is half a hyperbolic tangent of half its argument, and a half
+        recurrent = self.p["back"].copy()
+        recurrent[..., : 2 * h] *= 0.5
+        states = np.empty((length, 2, n, h), np.float32)
+        state = np.zeros((2, n, h), np.float32)
+        back, new = np.empty((2, n, 3 * h), np.float32), np.empty((2, n, h), np.float32)
+        for t in range(length):
+            np.matmul(state, recurrent, out=back)
+            zr = back[:, :, : 2 * h]
+            zr += gates[t, :, :, : 2 * h]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(back[:, :, h : 2 * h], back[:, :, 2 * h :], out=new)
+            new += gates[t, :, :, 2 * h :]
+            np.tanh(new, out=new)
+            now = states[t]
+            np.subtract(state, new, out=now)
+            now *= back[:, :, :h]
+            now += new
+            if real is not None:
+                np.copyto(now, state, where=~real[t])
+            state = now
+        weights = states[:, 0] @ self.p["attend"][:h] + states[::-1, 1] @ self.p["attend"][h:]
+        if real is not None:
+            weights[rows.T == 0] = -1e9
+        weights = np.exp(weights - weights.max(axis=0))
+        told = states[:, 0] @ self.p["out"][:h] + states[::-1, 1] @ self.p["out"][h:]
+        return (weights * told).sum(axis=0) / weights.sum(axis=0) + self.p["out_bias"][0]
+
+    def forward(self, x: np.ndarray, mask: np.ndarray):
+        """Logits of windows x (windows, WINDOW, 6 * HIDDEN), of which mask says what are words, and what gradients need."""
         n, length, h = len(x), x.shape[1], HIDDEN
         gates = np.ascontiguousarray(np.stack([x[:, :, : 3 * h], x[:, ::-1, 3 * h :]]).transpose(2, 0, 1, 3))
         real = np.ascontiguousarray(np.stack([mask, mask[:, ::-1]]).transpose(2, 0, 1))[..., None].astype(np.float32)
@@ -106,22 +147,18 @@ class Network:
             zr = _sigmoid(gates[t, :, :, : 2 * h] + back[:, :, : 2 * h])
             z, r = zr[:, :, :h], zr[:, :, h:]
             new = np.tanh(gates[t, :, :, 2 * h :] + r * back[:, :, 2 * h :])
-            now = state + real[t] * (1 - z) * (new - state)
-            if keep:
-                steps.append((state, z, r, new, back[:, :, 2 * h :]))
-            state = states[t] = now
+            steps.append((state, z, r, new, back[:, :, 2 * h :]))
+            state = states[t] = state + real[t] * (1 - z) * (new - state)
         both = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)  # (length, windows, 2 * HIDDEN)
-        weights = both @ self.p["attend"]
-        weights = np.where(mask.T, weights, -1e9)
+        weights = np.where(mask.T, both @ self.p["attend"], -1e9)
         weights = np.exp(weights - weights.max(axis=0))
         weights /= weights.sum(axis=0)
         pooled = np.einsum("tn,tnh->nh", weights, both)
-        logits = pooled @ self.p["out"] + self.p["out_bias"][0]
-        return (logits, (steps, real, both, weights, pooled)) if keep else logits
+        return pooled @ self.p["out"] + self.p["out_bias"][0], (steps, real, both, weights, pooled)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss, gradients of the parameters behind the inputs, and gradients of the inputs."""
-        logits, (steps, real, both, weights, pooled) = self.forward(x, mask, keep=True)
+        logits, (steps, real, both, weights, pooled) = self.forward(x, mask)
         n, length, h = len(x), x.shape[1], HIDDEN
         chance = _sigmoid(logits)
         loss = float(-np.mean(np.log(np.where(labels > 0.5, chance, 1 - chance) + 1e-7)))
@@ -170,25 +207,25 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 0) -> N
     said, y = [said[i] for i in kept], np.array([labels[i] for i in kept], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    by_doc, by_trigram = Counter(), Counter()
-    for w in said:
-        own = set(w)
-        by_doc.update(own)
-        by_trigram.update({t for x in own for t in trigrams_of(x)})
-    first = lambda c, least, most: {k: i + 1 for i, (k, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]) if n >= least}
-    net = Network(first(by_doc, 3, WORDS), first(by_trigram, 3, TRIGRAMS), seed)
+    by_doc = Counter(x for w in said for x in set(w))
+    common = sorted((x for x in by_doc.items() if x[1] >= LEAST_DOCS), key=lambda x: (-x[1], x[0]))[:WORDS]
     vocabulary = sorted(by_doc)
+    trigrams, counts = np.unique(trigrams_of(vocabulary)[0], return_counts=True)
+    net = Network({w: i + 1 for i, (w, _) in enumerate(common)}, trigrams[np.argsort(-counts, kind="stable")[:TRIGRAMS]], seed)
     number = {w: i + 1 for i, w in enumerate(vocabulary)}  # 0: no word
     features = net.features(vocabulary)
     ids = [np.concatenate([np.array([number[x] for x in w], np.int64), np.zeros(WINDOW, np.int64)]) for w in said]
     rows = np.concatenate([d[s : s + WINDOW][None] for d, w in zip(ids, said) for s in windows_of(len(w))])
     doc = np.repeat(np.arange(len(said)), [len(windows_of(len(w))) for w in said])
     begins = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
+    own = [np.array(sorted({number[x] - 1 for x in w})) for w in said]
+    net.p["word"][:, 0] = _odds([np.unique(features[0][o]) for o in own], y, len(net.p["word"]))
+    net.p["trigram"][:, 0] = _odds([np.unique(_rows_of(features[1], features[2], o)[0]) for o in own], y, len(net.p["trigram"]))
     r, adam = np.random.default_rng(seed), _Adam(net.p)
 
     def all_logits() -> np.ndarray:
         table = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), net.embedded(features)[0] @ net.p["in"] + net.p["in_bias"]])
-        return np.concatenate([net.forward(table[rows[a : a + AT_ONCE]], rows[a : a + AT_ONCE] > 0) for a in range(0, len(rows), AT_ONCE)])
+        return np.concatenate([net.logits(table, rows[a : a + AT_ONCE]) for a in range(0, len(rows), AT_ONCE)])
 
     def highest(logits: np.ndarray) -> np.ndarray:
         order = np.lexsort((-logits, doc))
@@ -210,8 +247,8 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 0) -> N
             used, at = np.unique(window, return_inverse=True)
             at = at.reshape(window.shape)
             real = used[used > 0] - 1
-            own = (features[0][real], *_rows_of(features[1], features[2], real))
-            x, counts = net.embedded(own)
+            named = (features[0][real], *_rows_of(features[1], features[2], real))
+            x, counts = net.embedded(named)
             pad = len(used) - len(real)
             table = np.concatenate([np.zeros((pad, 6 * HIDDEN), np.float32), x @ net.p["in"] + net.p["in_bias"]])
             _, g, d_x = net.gradients(table[at], window > 0, y[doc[picked[a : a + BATCH]]])
@@ -220,7 +257,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 0) -> N
             d_table = d_table[pad:]
             g["in"], g["in_bias"] = x.T @ d_table, d_table.sum(axis=0)
             d_embedded = d_table @ net.p["in"].T
-            for name, to, d in (("word", own[0], d_embedded[:, :EMBED]), ("trigram", own[1], np.repeat(d_embedded[:, EMBED:] / counts, counts[:, 0].astype(int), axis=0))):
+            for name, to, d in (("word", named[0], d_embedded[:, :EMBED]), ("trigram", named[1], np.repeat(d_embedded[:, EMBED:] / counts, counts[:, 0].astype(int), axis=0))):
                 g[name] = np.zeros_like(net.p[name])
                 np.add.at(g[name], to, d)
                 g[name][0] = 0
@@ -230,6 +267,16 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 0) -> N
     return net
 
 
+def _odds(named: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """How surely each number names documents of label 1, from -1 to 1: a start for one dimension of its embedding."""
+    counts = np.full((2, size), 0.5)
+    for label, numbers in zip(y.astype(int), named):
+        counts[label, numbers] += 1
+    z = (np.log(counts[1] / (y.sum() + 1)) - np.log(counts[0] / ((1 - y).sum() + 1))) / np.sqrt((1 / counts).sum(axis=0))
+    z[0] = 0
+    return (z / max(np.abs(z).max(), 1e-6)).astype(np.float32)
+
+
 def _rows_of(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Trigram numbers and their starts, of some rows only."""
     lengths = np.diff(starts, append=len(flat))[rows]
@@ -259,26 +306,19 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.table = np.zeros((1, 6 * HIDDEN), np.float32)
-        self.fresh: list[str] = []
+        self.number: defaultdict[str, int] = defaultdict(count(1).__next__)
+        self.table, self.known = np.zeros((1_024, 6 * HIDDEN), np.float32), 0
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        number, fresh = self.number, self.fresh
-        out = []
-        for w in words:
-            i = number.get(w)
-            if i is None:
-                i = number[w] = len(number) + 1
-                fresh.append(w)
-            out.append(i)
-        return np.array(out, np.int32)
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
     def _logits(self, rows: np.ndarray) -> np.ndarray:
-        if self.fresh:
-            self.table = np.concatenate([self.table, self.net.inputs(self.fresh)])
-            self.fresh = []
-        return np.concatenate([self.net.forward(self.table[rows[a : a + AT_ONCE]], rows[a : a + AT_ONCE] > 0) for a in range(0, len(rows), AT_ONCE)])
+        if fresh := list(islice(self.number, self.known, None)):
+            if len(self.number) >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(self.number) + 1, 6 * HIDDEN), np.float32)])
+            self.table[self.known + 1 : len(self.number) + 1] = self.net.inputs(fresh)
+            self.known = len(self.number)
+        return np.concatenate([self.net.logits(self.table, rows[a : a + AT_ONCE]) for a in range(0, len(rows), AT_ONCE)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
