@@ -1,4 +1,11 @@
 """Registered queries over the test tables."""
 
+from spandrel.plans import interval_queries
+
+_MODULES = (interval_queries,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in _MODULES:
+    QUERIES.update(_module.R.queries)
+    ORACLES.update(_module.R.oracles)
