@@ -25,6 +25,16 @@ _SPARK = {
         SELECT o_orderkey AS id, o_custkey % 100 AS project, o_custkey AS source, CAST(o_orderdate AS DATE) AS created_on, o_orderpriority AS work_type,
                CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'FAILED' ELSE 'RUNNING' END AS status FROM orders""",
     "links": "SELECT DISTINCT l_orderkey AS work, l_partkey AS candidate FROM lineitem",
+    "frames": """
+        SELECT source, idx * 20 AS start_ms, idx * 20 + 20 AS end_ms, level FROM (
+            SELECT user_id AS source, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS idx, CAST(floor(value * 100) AS BIGINT) % 9000 - 9000 AS level FROM events)""",
+    "motion": """
+        SELECT source, idx * 200 AS time_ms, score FROM (
+            SELECT user_id AS source, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS idx, CAST(floor(value * 100) AS BIGINT) % 1000 AS score FROM events)""",
+    "memos": """
+        SELECT source * 100 + position AS memo, source, start_ms, end_ms, text,
+               CASE length(text) % 4 WHEN 0 THEN '방금' WHEN 1 THEN '지금' WHEN 2 THEN '아까' ELSE 'then' END AS matched_reference,
+               CASE WHEN length(text) % 5 = 0 THEN 'drop' ELSE 'keep' END AS matched_action FROM v_segments WHERE position % 2 = 1""",
     "prints": "SELECT vec_id AS print, label AS source, vec_id % 2 AS is_edit, vec_id AS time_ms, embedding AS sig FROM embeddings",
 }
 _DUCK = {
@@ -44,8 +54,8 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _derived(self, name: str) -> DataFrame:
-        given = {t: self.table(t) for t in TABLES if f" {t}" in _SPARK[name]}
         text = _SPARK[name]
+        given = {t: self.table(t) for t in TABLES if f"FROM {t}" in text} | {f"v_{k}": getattr(self, k) for k in _SPARK if f"FROM v_{k}" in text}
         for t in given:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
         return self.spark.sql(text, **given)
@@ -55,6 +65,9 @@ class Views:
     docs = cached_property(lambda self: self._derived("docs"))
     works = cached_property(lambda self: self._derived("works"))
     links = cached_property(lambda self: self._derived("links"))
+    frames = cached_property(lambda self: self._derived("frames"))
+    motion = cached_property(lambda self: self._derived("motion"))
+    memos = cached_property(lambda self: self._derived("memos"))
     prints = cached_property(lambda self: self._derived("prints"))
 
 
@@ -69,11 +82,12 @@ class Registry:
         def put(f: Callable[[Views], DataFrame]):
             self.queries[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
             if sql is not None:
-                used = [k for k in _DUCK if f"v_{k}" in sql]
+                used = [k for k in _DUCK if f"v_{k}" in sql or (k == "segments" and "v_memos" in sql)]
                 head = ", ".join(f"v_{k} AS ({_DUCK[k]})" for k in used)
                 body = sql.strip()
-                if head and body.upper().startswith("WITH "):
-                    self.oracles[name] = f"WITH {head}, {body[5:]}"
+                if head and body.startswith("WITH "):
+                    first = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+                    self.oracles[name] = f"{first}{head}, {body.removeprefix(first)}"
                 else:
                     self.oracles[name] = f"WITH {head} {body}" if head else body
             return f
