@@ -1,8 +1,8 @@
 """Registered queries over the test tables."""
 
-from spandrel.plans import discovery_queries, interval_queries
+from spandrel.plans import discovery_queries, grouping_queries, interval_queries
 
-_MODULES = (interval_queries, discovery_queries)
+_MODULES = (interval_queries, discovery_queries, grouping_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
