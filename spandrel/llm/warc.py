@@ -137,8 +137,9 @@ def archive(records: list[bytes], dictionary: bytes) -> bytes:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of the payloads; empty if they are too few."""
-    some = pages.select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).filter("length(html) > 0")
-    rows = some.orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_SAMPLE).select("html").collect()
+    some = pages.filter("length(html) > 0")
+    ids = some.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_SAMPLE)  # ids alone are gathered
+    rows = some.join(F.broadcast(ids.distinct()), "page_id").select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(DICTIONARY_SAMPLE).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["html"].encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
