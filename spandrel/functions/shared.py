@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once under spark.checkpoint.dir (in local mode without it: a new folder) and read from there."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet under spark.checkpoint.dir; in local mode without that, in a new folder."""
     global _own_folder
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         folder = f"file://{_own_folder}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read from there: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
