@@ -125,7 +125,7 @@ def t3(v):
 
 @R.add("t5_detect_memos")
 def t5(v):
-    return tr.detect_memos(words_of_segments(v.segments), ["thing", "onthe", "there", "erund"], ["ting", "heit", "ement", "aci"], ["es", "en", "an"])
+    return tr.detect_memos(words_of_segments(v.segments), ["thing", "onthe", "there", "erund", "inger"], ["the", "die", "les", "los"], ["ation", "ment", "heit", "ando"])
 
 
 @R.add("t6_drop_noise", """
