@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions.shared import stored
+from spandrel.operators.intervals import complement
 
 
 def linked(edges: DataFrame) -> DataFrame:
@@ -66,3 +67,71 @@ def conservative_groups(edges: DataFrame) -> DataFrame:
     pairs = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     parts = linked(pairs)
     return pairs.join(parts, pairs["a"] == parts["node"]).select("component", "a", "b").groupBy("component").applyInPandas(_grown, "candidate long, group_id long, component long, prevented long")
+
+
+#: Evidence that can carry an event from one candidate to the next.
+CARRIES = ("TRANSCRIPT_STRUCTURE", "TRANSCRIPT_REACTION_CUE", "AUDIO_ACTIVITY", "VISUAL_ACTIVITY")
+
+
+def _union_length(spans: list[tuple[int, int]]) -> int:
+    total, reached = 0, None
+    for a, z in sorted(spans):
+        total += max(0, z - (a if reached is None else max(a, reached)))
+        reached = z if reached is None else max(reached, z)
+    return total
+
+
+def _local_events(rows: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one source in time order; each joins the latest event that a member carries on to it, or opens one."""
+    items = []
+    for r in rows.sort_values(["start_ms", "end_ms", "candidate"]).itertuples():
+        own = [(f["evidence_type"], int(f["start_ms"]), int(f["end_ms"])) for f in r.promoting]
+        said = {(int(f["start_ms"]), int(f["end_ms"])) for f in r.linked if f["evidence_type"] == "TRANSCRIPT_STRUCTURE"}
+        items.append((int(r.start_ms), int(r.end_ms), r.candidate, {f for f in own if f[0] in CARRIES}, said))
+    events: list[list[tuple]] = []
+
+    def carried(event: list[tuple], new: tuple) -> bool:
+        spans = [(m[0], m[1]) for m in event] + [new[:2]]
+        if len(set().union(new[4], *(m[4] for m in event))) > 1 or 2 * _union_length(spans) <= max(z for _, z in spans) - min(a for a, _ in spans):
+            return False
+        for a, z, _, facts, _ in event:
+            gap = new[0] - z
+            small = gap <= 0 or gap < (z - a) + (new[1] - new[0])
+            if small and any(start <= z and end >= new[0] for _, start, end in facts & new[3]):
+                return True
+        return False
+
+    for item in items:
+        fits = [e for e in events if carried(e, item)]
+        if fits:
+            max(fits, key=lambda e: (max(m[1] for m in e), e[0][2])).append(item)
+        else:
+            events.append([item])
+    out = [(rows["source"].iloc[0], m[2], e[0][2], m[0], m[1]) for e in events for m in e]
+    return pd.DataFrame(out, columns=["source", "candidate", "event", "start_ms", "end_ms"])
+
+
+def event_members(candidates: DataFrame, promoting: DataFrame, linked: DataFrame) -> DataFrame:
+    """(source, candidate, event, start_ms, end_ms): local events of each source, named by their first candidate.
+
+    candidates: source, candidate, start_ms, end_ms. promoting (the facts that made a candidate) and linked (all facts over it): candidate,
+    evidence_type, start_ms, end_ms. A candidate joins when a promoting fact of a member bridges the gap, the gap is shorter than both
+    together, at most one transcript fact is involved and more than half of the whole is covered.
+    """
+    gathered = lambda df, name: df.groupBy("candidate").agg(F.collect_list(F.struct("evidence_type", "start_ms", "end_ms")).alias(name))
+    none = F.array().cast("array<struct<evidence_type:string,start_ms:bigint,end_ms:bigint>>")
+    given = candidates.select("source", "candidate", "start_ms", "end_ms").join(gathered(promoting, "promoting"), "candidate").join(gathered(linked, "linked"), "candidate", "left").withColumn("linked", F.coalesce("linked", none))
+    kind = candidates.schema["source"].dataType.simpleString()
+    return given.groupBy("source").applyInPandas(_local_events, f"source {kind}, candidate long, event long, start_ms long, end_ms long")
+
+
+def event_proposals(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(event, start_ms, end_ms, candidates, unsupported_ms, uncorroborated): per event its bounds, the time without evidence, and the spans without a candidate as text."""
+    bounds = members.groupBy("event").agg(F.min("start_ms").alias("low_ms"), F.max("end_ms").alias("high_ms"), F.count(F.lit(1)).alias("candidates"))
+    edges = bounds.select("event", "low_ms", "high_ms")
+    facts = linked.filter(F.col("evidence_type").isin(*CARRIES)).join(members.select("candidate", "event"), "candidate").select("event", "start_ms", "end_ms")
+    bare = complement(facts, ["event"], edges).groupBy("event").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("unsupported_ms"))
+    open_spans = complement(members, ["event"], edges).groupBy("event").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: F.concat_ws("-", x["start_ms"], x["end_ms"])), ",")
+    out = bounds.join(bare, "event", "left").join(open_spans, "event", "left")
+    return out.select("event", F.col("low_ms").alias("start_ms"), F.col("high_ms").alias("end_ms"), "candidates", F.coalesce("unsupported_ms", F.lit(0)).alias("unsupported_ms"), F.coalesce(text, F.lit("")).alias("uncorroborated"))

@@ -151,3 +151,14 @@ def test_srt_round_trip(spark, rows):
     assert srt.first()["srt"].startswith("1\n00:00:01,001 --> 00:00:02,500\nhello\n\n2\n01:01:01,500")
     back = tb.parse_srt(srt.select(F.col("project").alias("file"), F.col("srt").alias("value")))
     assert rows(back, "start_ms", "end_ms", "text") == [(1_001, 2_500, "hello"), (3_661_500, 3_662_000, "late")]
+
+
+def test_local_events(spark, rows):
+    A, T, V = "AUDIO_ACTIVITY", "TRANSCRIPT_STRUCTURE", "VISUAL_ACTIVITY"
+    made = {1: ((A, 4_080, 4_840), (V, 3_800, 4_600)), 2: ((A, 4_080, 4_840), (T, 4_640, 6_120)), 3: ((A, 5_540, 6_480), (T, 4_640, 6_120)), 4: ((A, 8_860, 11_260), (T, 8_440, 11_000))}
+    facts = spark.createDataFrame([(c, *f) for c, both in made.items() for f in both], "candidate long, evidence_type string, start_ms long, end_ms long")
+    spans = spark.createDataFrame([("a", c, max(x[1], y[1]), min(x[2], y[2])) for c, (x, y) in made.items()], "source string, candidate long, start_ms long, end_ms long")
+    members = gr.event_members(spans.orderBy(F.rand(3)), facts, facts)
+    assert rows(members, "event", "candidate") == [(1, 1), (1, 2), (1, 3), (4, 4)]
+    got = rows(gr.event_proposals(members, facts))
+    assert got == [(1, 4_080, 6_120, 3, 0, "4600-4640,4840-5540"), (4, 8_860, 11_000, 1, 0, "")]
