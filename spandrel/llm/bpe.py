@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a contiguous rank array.
 
-A short word is held as the boundaries of its parts with the rank of each adjacent pair. The least rank is scanned for, the
+A short word is held as its parts, boundary by boundary, with the rank of each adjacent pair. The least rank is scanned for, the
 boundary in the middle of that pair goes, and the ranks of the two pairs beside it are looked up again, until no pair has a
 rank. A word of more than `SHORT` parts is merged through a heap, with the same result, as scans would take quadratic
-time. Texts are split at white space, and what a piece between gives is kept for the next one, up to `KEPT` pieces.
+time. Texts are split at white space, and what a piece between gives is kept for the next one, twice `KEPT` pieces at most.
 
 The vocabulary is a file of the tokenizers library whose path is a parameter: special tokens, NFC, white space to
 spaces, lower case, a split by pattern, bytes as letters and BPE with an end-of-word suffix. The driver reads it (its
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHORT, KEPT = 64, 200_000
+SHORT, KEPT, LONGEST_KEPT = 64, 250_000, 256
 #: Unicode white space; Python's own notion adds four control characters to it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NOT_WHITE = regex.compile(rf"[^{WHITE}]+")
@@ -42,80 +43,85 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+class _Kept:
+    """What pieces gave, in two generations: when the newer one is full it becomes the older one, and that is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.new, self.old = make, {}, {}
+
+    def __call__(self, key: str) -> bytes:
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key) or self.make(key)
+            if len(key) <= LONGEST_KEPT:
+                if len(self.new) >= KEPT:
+                    self.old, self.new = self.new, {}
+                self.new[key] = got
+        return got
+
+
 class Bpe:
+    """A part is known by its id; a word is the ids of its parts, one for each boundary, and the ranks of neighbours."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], specials: dict[str, int], suffix: str):
-        self.vocab, self.suffix, self.specials = vocab, suffix, specials
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
-        self.letters = byte_letters()
+        self.specials = specials
+        self.ranks = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.merged = [vocab[a + b] for a, b in merges]
+        letters = byte_letters()
+        self.inner, self.last = [vocab.get(x) for x in letters], [vocab.get(x + suffix) for x in letters]
         self.names = {i: t for t, i in (vocab | specials).items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.kept: dict[str, bytes] = {}
-
-    def parts(self, word: str) -> list[str]:
-        """Tokens of one word of the split, as they are in the vocabulary."""
-        first = [self.letters[b] for b in word.encode()]
-        first[-1] += self.suffix
-        whole = [p for p in first if p in self.vocab]
-        return self._scan(whole) if len(whole) <= SHORT else self._heap(whole)
-
-    def _scan(self, first: list[str]) -> list[str]:
-        word = "".join(first)
-        at = [0]
-        for p in first:
-            at.append(at[-1] + len(p))
-        rank = self.ranks.get
-
-        def pair(i: int) -> int:
-            return rank((word[at[i] : at[i + 1]], word[at[i + 1] : at[i + 2]]), _NONE)
-
-        near = [pair(i) for i in range(len(at) - 2)]
-        while near and (least := min(near)) != _NONE:
+        self.word = _Kept(self._word)
+        self.piece = _Kept(lambda piece: b"".join(map(self.word, _WORDS.findall(piece))))
+
+    def _word(self, word: str) -> bytes:
+        data = word.encode()
+        first = [self.inner[b] for b in data[:-1]]
+        first.append(self.last[data[-1]])
+        parts = [p for p in first if p is not None]
+        return array("I", self._scan(parts) if len(parts) <= SHORT else self._heap(parts)).tobytes()
+
+    def _scan(self, parts: list[int]) -> list[int]:
+        rank, merged = self.ranks.get, self.merged
+        near = [rank(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        while near:
+            least = min(near)
+            if least == _NONE:
+                break
             i = near.index(least)
-            del at[i + 1], near[i]
+            parts[i] = merged[least]
+            del parts[i + 1], near[i]
             if i < len(near):
-                near[i] = pair(i)
+                near[i] = rank(parts[i] << 20 | parts[i + 1], _NONE)
             if i:
-                near[i - 1] = pair(i - 1)
-        return [word[a:b] for a, b in zip(at, at[1:])]
+                near[i - 1] = rank(parts[i - 1] << 20 | parts[i], _NONE)
+        return parts
 
-    def _heap(self, parts: list[str]) -> list[str]:
+    def _heap(self, parts: list[int]) -> list[int]:
         n = len(parts)
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
         rank = self.ranks.get
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << 20 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
+            parts[i], alive[j], after[i] = self.merged[r], False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (r := rank((parts[x], parts[after[x]]))) is not None:
+                if x >= 0 and after[x] >= 0 and (r := rank(parts[x] << 20 | parts[after[x]])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[after[x]]))
         return [p for p, lives in zip(parts, alive) if lives]
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(self.vocab[t].to_bytes(4, "little") for word in _WORDS.findall(piece) for t in self.parts(word))
-
     def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
         text = text.lower()
         pieces = _NOT_WHITE.findall(text) if _PYTHON_WHITE_ONLY.search(text) else text.split()
-        kept, out = self.kept, []
-        for p in pieces:
-            got = kept.get(p)
-            if got is None:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                got = self._piece(p)
-                if len(p) <= 256:
-                    kept[p] = got
-            out.append(got)
-        return out
+        return list(map(self.piece, pieces))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
