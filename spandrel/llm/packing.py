@@ -2,7 +2,7 @@
 
 A document is its words and an end mark. One longer than the largest length is cut into pieces of that length and a rest.
 Pieces are dealt by hash into cells of about `CELL_PIECES`, and each cell is packed by itself, largest piece first: a
-piece goes to the open bin that it leaves the least room in; if none has room, a bin is opened, of the length that costs least
+piece goes to the open bin that it leaves the least room in (of equals, the one filled last); if none has room, a bin is opened, of the length that costs least
 per token that it can hold of what is still to come; in the end each bin shrinks to the least length for its contents. The cost
 of a length is linear and quadratic in it, with a fixed part for each sequence.
 

@@ -140,6 +140,8 @@ def parse(source: str) -> list[tuple]:
         at = m.end()
     if at < len(source):
         pieces.append(("text", source[at:]))
+    if any(kind == "text" and re.search(r"\{[{%#]", value) for kind, value in pieces):
+        raise TemplateError("a tag has no end")
     position = 0
 
     def body(*ends: str) -> tuple[list[tuple], str]:
