@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from spandrel.functions.shared import stored
 from spandrel.operators import discovery as dc
 from spandrel.operators import groups as gr
 from spandrel.operators import intervals as iv
@@ -116,11 +117,13 @@ def p7(v):
 @R.add("p9_event_proposals")
 def p9(v):
     made = dc.promote(v.facts, v.facts.select("source").distinct().withColumn("duration_ms", F.lit(720_000).cast("long"))).withColumn("candidate", F.col("left_fact") * 1_000_000 + F.col("right_fact"))
+    made = stored(made, "scenes")
     facts = v.facts.select("fact_order", "evidence_type", F.col("start_ms").alias("a"), F.col("end_ms").alias("z"))
     sides = made.select("candidate", F.explode(F.array("left_fact", "right_fact")).alias("fact_order")).join(facts, "fact_order")
     promoting = sides.select("candidate", "evidence_type", F.col("a").alias("start_ms"), F.col("z").alias("end_ms"))
     linked = dc.attach_evidence(made, v.facts).select("candidate", "evidence_type", "start_ms", "end_ms")
-    return gr.event_proposals(gr.event_members(made, promoting, linked), linked)
+    linked = stored(linked, "evidence")
+    return gr.event_proposals(stored(gr.event_members(made, promoting, linked), "events"), linked)
 
 
 @R.add("p8_reconcile_groups", """

@@ -112,7 +112,7 @@ def i9(v):
 
 @R.add("i9_clip_at", """
 WITH o AS (SELECT *, CAST(coalesce(sum(end_ms - start_ms) OVER (PARTITION BY source ORDER BY start_ms, fact_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ms FROM v_facts),
-p AS (SELECT DISTINCT source, time_ms FROM v_facts, (SELECT unnest([0, 1000, 5000, 20000, 60000]) AS time_ms))
+p AS (SELECT DISTINCT source, time_ms FROM v_facts, (SELECT unnest([0, 1000, 5000, 20000, 60000])::BIGINT AS time_ms))
 SELECT p.source, p.time_ms, o.fact_order AS clip, o.start_ms + p.time_ms - o.offset_ms AS source_ms
 FROM p LEFT JOIN o ON p.source = o.source AND o.offset_ms <= p.time_ms AND p.time_ms < o.offset_ms + o.end_ms - o.start_ms""")
 def i9_clip(v):
