@@ -35,7 +35,7 @@ EMBED, HIDDEN = 12, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 120, 64, 0.01
 CUT = 0.7
 #: Windows scored at once, and words whose inputs a worker keeps.
-AT_ONCE, KEPT = 2_048, 250_000
+AT_ONCE, KEPT = 2_048, 100_000
 
 _WORD = re.compile(r"\w+")
 
@@ -315,7 +315,8 @@ class Scorer:
     def _logits(self, rows: np.ndarray) -> np.ndarray:
         if fresh := list(islice(self.number, self.known, None)):
             if len(self.number) >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((len(self.number) + 1, 6 * HIDDEN), np.float32)])
+                more = max(len(self.number) + 1 - len(self.table), len(self.table) // 2)
+                self.table = np.concatenate([self.table, np.zeros((more, 6 * HIDDEN), np.float32)])
             self.table[self.known + 1 : len(self.number) + 1] = self.net.inputs(fresh)
             self.known = len(self.number)
         return np.concatenate([self.net.logits(self.table, rows[a : a + AT_ONCE]) for a in range(0, len(rows), AT_ONCE)])
@@ -375,22 +376,14 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train(*training_sample(docs, labels))
 
 
-_made: tuple[object, Scorer | None] | None = None
-
-
 def with_score(docs: DataFrame, net: Network | None, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed by WORDS and TRIGRAMS
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        global _made
-        if shared.value is None:
-            yield from (pd.Series(np.zeros(len(b))) for b in batches)
-            return
-        if _made is None or _made[0] is not shared.value:  # a worker that is used again keeps what it has
-            _made = (shared.value, Scorer(shared.value))
+        scorer = Scorer(shared.value) if shared.value is not None else None  # of this task alone: a worker lives on
         for b in batches:
-            yield pd.Series(_made[1].scores(b.tolist()))
+            yield pd.Series(scorer.scores(b.tolist()) if scorer else np.zeros(len(b)))
 
     return docs.withColumn(name, score(F.col("text").cast("string")))
 
