@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spandrel.llm import exact_dedup, packing, quality, simhash, toxicity
+from spandrel.llm import exact_dedup, packing, quality, similar, toxicity
 from spandrel.llm.common import stored, table
 
 
@@ -28,8 +28,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return similar.drop_similar(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
