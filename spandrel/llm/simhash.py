@@ -202,6 +202,12 @@ def links(prints: DataFrame, distance: int, masks: list[int], small: int = SMALL
     return listed.unionByName(spanning)
 
 
+def _rooted(prints: DataFrame, n: int, together: np.ndarray, distance: int) -> DataFrame:
+    """prints (different fp) and the root of its component."""
+    roots = components(links(prints, distance, plan_masks(n, together, distance)))
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id reachable)."""
     own = stored(with_fingerprint(docs.select("doc_id", "text"), "fp", shingle_words).select("doc_id", "fp").withColumn("salt", salt(F.col("doc_id"), SALTS)), "prints")
@@ -210,9 +216,7 @@ def near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3) -> D
     n, together = bit_counts(prints)
     if n == 0:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("fingerprint"), F.col("doc_id").cast("long").alias("component_id"))
-    roots = components(links(prints, distance, plan_masks(n, together, distance)))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "roots")
+    named = stored(_rooted(prints, n, together, distance).select("fp", "least", "root"), "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.join(least, "root").select("fp", "component_id")
     verdicts = cells.select("fp", "salt").join(known, "fp")
@@ -220,9 +224,16 @@ def near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3) -> D
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id (the longest text, should an id repeat)."""
-    stay = near_copies(docs, distance, shingle_words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*id_key(F.col("doc_id"))).distinct()
-    keys = ["__null", "__id"]
-    first = Window.partitionBy(*keys).orderBy(F.length("text").desc_nulls_last())
-    kept = docs.select("*", *id_key(docs["doc_id"])).join(stay, keys, "left_semi")
-    return kept.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each component: that with the smallest doc_id (null last), then the smallest hash of its text."""
+    keys, best = ["__null", "__id", "__hash"], F.min("best").alias("best")
+    keyed = docs.select("*", *id_key(docs["doc_id"]), F.xxhash64("text").alias("__hash"))
+    own = with_fingerprint(keyed.select("text", *keys), "fp", shingle_words).select("fp", F.struct(*keys).alias("best"))
+    cells = own.groupBy("fp", salt(F.col("best"), SALTS).alias("salt")).agg(best)
+    prints = stored(cells.groupBy("fp").agg(best), "classes")
+    n, together = bit_counts(prints)
+    if n == 0:
+        return docs
+    rooted = _rooted(prints, n, together, distance)
+    stay = rooted.groupBy("root", salt(F.col("best"), SALTS).alias("salt")).agg(best).groupBy("root").agg(best).select("best.*")
+    kept = keyed.join(stay, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

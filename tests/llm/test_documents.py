@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spandrel.llm import components, exact_dedup, packing, quality, sharding, simhash
+from tests.llm.conftest import words
 
 WHITE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -87,6 +88,14 @@ def test_near_copies_equal_brute_force(docs, texts, empty):
     assert kept.columns == docs.columns and len(kept.collect()) == len(set(least.values()))
 
 
+def test_drop_near_copies_keeps_a_row_of_each_component(spark):
+    texts = {k: words(40 + k, 80) for k in range(6)}
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4] + " and a longer end"), (7, texts[3]), (8, texts[2]), (None, texts[5]), (None, texts[5])]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (8, texts[2]), (7, texts[3]), (7, texts[4] + " and a longer end"), (None, texts[5])]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_long_texts_are_hashed_in_blocks(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(5_000))
     whole = simhash.fingerprint(text)
