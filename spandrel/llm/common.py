@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,5 +60,16 @@ def id_key(doc_id: Column) -> list[Column]:
     return [doc_id.isNull().alias("__null"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("__id")]
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with doc_id and text under their names and all its columns under names of our own, and what turns rows of it back into docs.
+
+    Names that an operator adds to it can't clash with those of docs.
+    """
+    own = [f"__own{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*own)
+    at = {c: F.col(o) for c, o in zip(docs.columns, own)}
+    return inner.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text")), lambda rows: rows.select(*own).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

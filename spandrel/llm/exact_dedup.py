@@ -3,12 +3,12 @@
 A text without its white space is cut into chunks where a rolling hash of the last 32 bytes says so. Chunks get
 identifiers that are verified: every distinct chunk moves through one shuffle together with its identifier, and if two
 different chunks share one, all identifiers are made anew with another key and twice the length. After that only the
-ordered identifier lists (recipes) of the documents are compared, so long documents do not move again.
+ordered identifier lists (recipes) of the documents are compared, so long documents do not move again; `drop_copies` too moves keys
+alone, as long as what it drops is at most `FEW_DROPPED` keys.
 
 Defined results: a null text counts as empty; texts of white space only are equal to the empty text; a null doc_id is
-smaller than any other; rows that repeat a doc_id and a text are one document (reported alike, and only one of them stays in
-`drop_copies`); other columns, whatever their names, are ignored by `copies` and returned unchanged by `drop_copies`; an
-empty table gives an empty result.
+smaller than any other; of rows that repeat a doc_id and a text one is kept, any of them; other columns, whatever their
+names, are ignored by `copies` and returned unchanged by `drop_copies`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import id_key, salt, stored, without_spaces
+from spandrel.llm.common import id_key, renamed, salt, stored
 
 MIN_BYTES, MAX_BYTES = 512, 16_384
 #: One position in so many ends a chunk.
 ONE_IN = 2_048
 DIGEST_BYTES = 16
 SALTS = 64
+#: As many keys (of 24 bytes) are broadcast at most; more are joined by a shuffle.
+FEW_DROPPED = 1_000_000
 
 _DELETE = b" \t\n\x0b\x0c\r"
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), np.uint32)
@@ -104,43 +106,52 @@ def verified_identifiers(docs: DataFrame, size: int = DIGEST_BYTES) -> tuple[int
 
 
 def recipes(docs: DataFrame, key: int, size: int) -> DataFrame:
-    """(doc_id, n_points, text_sha256, recipe): the ordered identifiers of each document, joined."""
+    """(doc_id, n_points, text_hash, text_sha256, recipe): the ordered identifiers of each document, joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = _identifier(key, size)
         for batch in batches:
             listed, digests = [], []
-            for data in _bare(batch.column(2)):
+            for data in _bare(batch.column(3)):
                 listed.append(b"".join(map(name, chunks_of(data))))
                 digests.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests), pa.array(listed, pa.binary())], ["doc_id", "n_points", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.string()), pa.array(listed, pa.binary())], ["doc_id", "n_points", "text_hash", "text_sha256", "recipe"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long"), "text")
-    return given.mapInArrow(run, "doc_id long, n_points long, text_sha256 string, recipe binary")
+    given = docs.select(F.col("doc_id").cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long"), F.xxhash64("text"), "text")
+    return given.mapInArrow(run, "doc_id long, n_points long, text_hash long, text_sha256 string, recipe binary")
 
 
-def copies(docs: DataFrame, size: int = DIGEST_BYTES) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and n_points).
+def _judged(docs: DataFrame, size: int) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_points, text_hash, row.
 
     A group of copies may hold a third of all rows: it is counted by (recipe, salt) before it is counted by recipe, and
-    the verdict goes back to the documents by (recipe, salt) too.
+    the verdict goes back to the documents by (recipe, salt) too. Rows are numbered once, in the table of recipes.
     """
-    own = stored(recipes(docs, *verified_identifiers(docs, size)), "recipes").withColumn("salt", salt(F.col("doc_id"), SALTS))
-    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").alias("id")))
+    numbered = recipes(docs, *verified_identifiers(docs, size)).withColumn("row", F.monotonically_increasing_id())
+    own = stored(numbered, "recipes").withColumn("salt", salt(F.col("row"), SALTS))
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").alias("id"), "row"))
     cells = own.groupBy("recipe", "salt").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
     groups = cells.groupBy("recipe").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
-    verdicts = groups.select("recipe", F.explode("salts").alias("salt"), F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size")
-    return own.join(verdicts, ["recipe", "salt"]).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))).alias("kept"),
-        "text_sha256", "n_points",
-    )
+    verdicts = groups.select("recipe", F.explode("salts").alias("salt"), F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    return own.join(verdicts, ["recipe", "salt"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_points", "text_hash", "row")
+
+
+def copies(docs: DataFrame, size: int = DIGEST_BYTES) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and n_points)."""
+    return _judged(docs, size).drop("text_hash", "row")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, few: int = FEW_DROPPED) -> DataFrame:
     """docs without all but one of the documents that are equal but for white space."""
-    stay = copies(docs).filter("kept").select(*id_key(F.col("doc_id")), F.col("text_sha256").alias("__sha")).distinct()
-    keys = ["__null", "__id", "__sha"]
-    marked = docs.select("*", *id_key(docs["doc_id"]), F.sha2(without_spaces(docs["text"]), 256).alias("__sha"))
-    first = Window.partitionBy(*keys).orderBy(F.length("text").desc_nulls_last())
-    return marked.join(stay, keys, "left_semi").withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = ["__null", "__id", "__hash"]
+    met = _judged(docs, DIGEST_BYTES).filter("group_size > 1").select("kept", "row", *id_key(F.col("doc_id")), F.col("text_hash").alias("__hash"))
+    fates = met.groupBy(*keys, salt(F.col("row"), SALTS).alias("__salt")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    fates = fates.groupBy(*keys).agg(F.bool_or("__kept").alias("__kept"), F.sum("__n").alias("__n")).filter("NOT __kept OR __n > 1").select(*keys, "__kept")
+    fates = stored(fates, "fates")  # keys of rows that go, and of rows that repeat and of which one stays
+    named, back = renamed(docs)
+    marked = named.select("*", *id_key(F.col("doc_id")), F.xxhash64("text").alias("__hash"))
+    known = marked.join(F.broadcast(fates) if fates.count() <= few else fates, keys, "left")
+    stay = known.filter("__kept IS NULL")
+    if not fates.filter("__kept").isEmpty():
+        stay = stay.unionByName(known.filter("__kept").dropDuplicates(keys))
+    return back(stay)

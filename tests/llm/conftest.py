@@ -1,7 +1,7 @@
 import pytest
 
 #: Documents with every odd case: nulls, empty and blank texts, repeated rows, copies, long texts, and columns with clashing names.
-KIND = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, component_id string, salt string"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, component_id string, salt string, __id string, __null string, __hash string, __score string, __kept string, row string, __own1 string"
 
 
 def words(seed: int, n: int) -> str:
@@ -24,7 +24,7 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark, texts):
-    return spark.createDataFrame([(i, t, "en", None if i == 7 else f"s{(i or 0) % 3}", None, "x", "y", "z") for i, t in texts], KIND)
+    return spark.createDataFrame([(i, t, "en", None if i == 7 else f"s{(i or 0) % 3}", None, *"xyzabcdefg") for i, t in texts], KIND)
 
 
 @pytest.fixture(scope="session")
