@@ -7,7 +7,8 @@ per token that it can hold of what is still to come; in the end each bin shrinks
 of a length is linear and quadratic in it, with a fixed part for each sequence.
 
 Defined results: a null, empty or blank text is an end mark alone; a null doc_id is packed like any other; repeated rows are
-packed as often as they come; other columns are ignored; an empty table gives an empty result.
+packed as often as they come; other columns are ignored; an empty table gives an empty result. Which cell a piece comes into depends on
+its row's place in the table of pieces, so that no id, null or repeated, makes a large cell.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import bisect
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,15 +80,17 @@ def pieces(docs: DataFrame, longest: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, cell_pieces: int = CELL_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, first_token, n_tokens, bin_id, bin_length, place (of its first token in the bin)."""
-    cut = stored(pieces(docs, max(lengths)), "pieces")
+    cut = stored(pieces(docs, max(lengths)).withColumn("row", F.monotonically_increasing_id()), "pieces")
     cells = max(1, -(-cut.count() // cell_pieces))
     lengths = tuple(sorted(lengths))
 
-    def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["n_tokens", "doc_id", "piece"], kind="stable")
-        bins, places, sized = pack(cell["n_tokens"].tolist(), lengths)
+    def run(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
+        cell = cell.select(["doc_id", "piece", "first_token", "n_tokens"]).sort_by([("n_tokens", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, places, sized = pack(cell["n_tokens"].to_pylist(), lengths)
         number = np.array(bins, np.int64)
-        return cell.drop(columns="cell").assign(bin_id=number + (int(key[0]) << 32), bin_length=np.array(sized, np.int32)[number], place=np.array(places, np.int32))
+        cell = cell.append_column("bin_id", pa.array(number + (key[0].as_py() << 32), pa.int64()))
+        cell = cell.append_column("bin_length", pa.array(np.array(sized, np.int32)[number], pa.int32()))
+        return cell.append_column("place", pa.array(np.array(places, np.int32), pa.int32()))
 
-    dealt = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(cells)))
-    return dealt.groupBy("cell").applyInPandas(run, "doc_id long, piece int, first_token long, n_tokens int, bin_id long, bin_length int, place int")
+    dealt = cut.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)))
+    return dealt.groupBy("cell").applyInArrow(run, "doc_id long, piece int, first_token long, n_tokens int, bin_id long, bin_length int, place int")
