@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.llm.common import renamed
+
 PER_CLASS, LONGEST_CHARS = 1_000, 20_000
 WINDOW, STRIDE = 32, 16
 WORDS, TRIGRAMS, LEAST_DOCS = 4_096, 8_192, 3
@@ -396,5 +398,6 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that score below the cut."""
-    return with_score(docs, learned(docs, labels), "__toxicity").filter(F.col("__toxicity") < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that score below the cut, with the columns of docs, whatever their names."""
+    named, back = renamed(docs)
+    return back(with_score(named, learned(docs, labels), "__score").filter(F.col("__score") < cut))

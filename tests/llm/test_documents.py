@@ -20,10 +20,13 @@ def test_exact_dedup_equals_brute_force(docs, texts, empty):
     for i, t in texts:
         groups[(t or "").translate(WHITE)].append((-len(t or ""), (i is not None, i or 0), i))
     want = Counter()
+    stays = set()
     for i, t in texts:
         g = groups[(t or "").translate(WHITE)]
         best = min(g)
-        want[(i, best[2], len(g), (-len(t or ""), i) == (best[0], best[2]), hashlib.sha256((t or "").translate(WHITE).encode()).hexdigest())] += 1
+        first = (-len(t or ""), i) == (best[0], best[2]) and (t or "").translate(WHITE) not in stays  # of repeated rows one stays
+        stays |= {(t or "").translate(WHITE)} if first else set()
+        want[(i, best[2], len(g), first, hashlib.sha256((t or "").translate(WHITE).encode()).hexdigest())] += 1
     for size in (1, exact_dedup.DIGEST_BYTES):  # identifiers of one byte clash and are made anew
         got = exact_dedup.copies(docs, size).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
         assert Counter(map(tuple, got)) == want
@@ -36,9 +39,20 @@ def test_short_identifiers_are_not_trusted(docs):
 
 
 def test_drop_copies_keeps_columns_and_one_of_each(docs, texts):
-    kept = exact_dedup.drop_copies(docs.repartition(3))
-    assert kept.columns == docs.columns
-    assert len(kept.collect()) == len({(t or "").translate(WHITE) for _, t in texts})
+    given = {tuple(r) for r in docs.collect()}
+    for few in (0, 1_000):  # by a shuffle, and by a broadcast
+        kept = exact_dedup.drop_copies(docs.repartition(3), few)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert len(rows) == len({(t or "").translate(WHITE) for _, t in texts}) and {tuple(r) for r in rows} <= given
+
+
+def test_drop_copies_with_null_and_repeated_ids(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, a + "  "), (7, c), (8, c + " "), (2**53 + 1, None), (2**53 + 2, "")]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, b), (7, a + "  "), (8, c + " "), (2**53 + 1, None)])
+    assert exact_dedup.drop_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5_000, 70_000])
@@ -262,6 +276,18 @@ def test_packing_equals_brute_force(seed):
     assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(taken, taken[1:]))
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    ids = [2**53 + 1, 2**53 + 2, 2**53 + 3, None, None]
+    rows = spark.createDataFrame([(i, words(k, 30)) for k, i in enumerate(ids)], "doc_id long, text string")
+    for cell in (2, 100):
+        assert Counter(r["doc_id"] for r in packing.pack_documents(rows, (64, 128), cell).collect()) == Counter(ids)
+
+
+def test_wide_distances_are_refused():
+    with pytest.raises(ValueError):
+        simhash.plan_masks(1_000, 250.0 + 250.0 * np.eye(64), 40)
+
+
 def test_packing_places_every_token_once(docs, texts, empty):
     out = packing.pack_documents(docs, (64, 1_024), cell_pieces=5).collect()
     want = Counter()
