@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity, warc
 from spandrel.llm.common import table
 
 #: Vocabulary of op5, an installed public file.
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: The conversation that op10 adds: its texts hold the format's own control strings.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -85,7 +87,7 @@ FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, s
 WITH d AS (SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
 g AS (SELECT bare, max(n_points) AS most, count(*) AS group_size FROM d GROUP BY bare),
 k AS (SELECT d.bare, min(doc_id) AS keep_id FROM d JOIN g ON d.bare = g.bare AND n_points = most GROUP BY d.bare)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.bare) AS text_sha256, n_points
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY d.bare ORDER BY n_points DESC, doc_id) = 1 AS kept, sha256(d.bare) AS text_sha256, n_points
 FROM d JOIN g USING (bare) JOIN k USING (bare)
 """,
     "op8_warc": r"""
