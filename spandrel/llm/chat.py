@@ -2,8 +2,9 @@
 
 Control strings inside roles and texts are escaped with a backslash, so that the output can be read back as it was. The rows of
 a conversation are sorted by (turn, role, text) and stream through the template one at a time; output comes in pieces that
-end with a turn and have about `PIECE_CHARS` characters, so that a conversation of any number of turns needs the
-memory of one piece. (Its digests are those of one sequence, so one task reads it to the end.)
+end with a turn and have about `PIECE_CHARS` characters, and leaves the task as soon as so much is waiting, so that a conversation of
+any number of turns needs the memory of a piece and of a turn. (Its loop may look at what came before and its digests are
+those of one sequence, so one task reads it to the end.)
 
 Defined results: a null role or text counts as empty; a null turn comes first; rows that repeat are turns of their own, equal
 turns in order of role and text; rows of a null conv_id are one conversation; other columns are ignored; an empty table
@@ -46,7 +47,7 @@ def unescaped(text: str) -> str:
 
 
 class _Pieces:
-    """A template's sink that cuts its output into pieces after a turn and keeps the spans under the loss mask."""
+    """A template's sink that cuts its output into pieces after a turn and keeps the spans under the loss mask; `rows` are to be taken away."""
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.rows, self.piece = conv_id, [], 0
@@ -87,12 +88,23 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = Template(template, {"escaped": escaped})
         waiting: list[tuple] = []
+        held = 0
 
         def batch() -> pa.RecordBatch:
+            nonlocal held
             made = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*waiting), _PIECE.types)], schema=_PIECE)
             waiting.clear()
+            held = 0
             return made
 
+        def taken(sink: _Pieces) -> bool:
+            """Takes the sink's pieces; whether enough is waiting."""
+            nonlocal held
+            held += sum(len(r[2]) for r in sink.rows)
+            waiting.extend(sink.rows)
+            sink.rows.clear()
+            return held >= PIECE_CHARS or len(waiting) >= 1_000
+
         for conv_id, turns in groupby(_rows(batches), key=lambda r: r[0]):
             sink = _Pieces(conv_id)
 
@@ -100,11 +112,12 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
                 for _, _, role, text in turns:
                     yield {"role": role or "", "text": text or ""}
 
-            compiled.render(sink, messages())
+            for _ in compiled.steps(sink, messages()):
+                if sink.rows and taken(sink):
+                    yield batch()
             if sink.parts:
                 sink.cut()
-            waiting += sink.rows
-            if sum(len(w[2]) for w in waiting[-len(sink.rows) :]) >= PIECE_CHARS or len(waiting) >= 1_000:
+            if taken(sink):
                 yield batch()
         if waiting:
             yield batch()
@@ -139,7 +152,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted pieces alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+            out.clear()
+            return made
+
         for conv_id, pieces in groupby(_rows(batches), key=lambda r: r[0]):
             turns, loss = hashlib.sha256(), hashlib.sha256()
             n = chars = under = 0
@@ -153,9 +174,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     under += len(said)
                     loss.update(said.encode())
             out.append((conv_id, n, turns.hexdigest(), under, loss.hexdigest(), chars))
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+            if len(out) >= 10_000:
+                yield batch()
+        yield batch()
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

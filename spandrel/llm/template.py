@@ -12,7 +12,7 @@ loop reads its sequence one item ahead, so messages can be a stream.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any, Protocol
 
 _TAGS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.S)
@@ -326,15 +326,37 @@ def _statement(node: tuple, filters: Mapping[str, Callable]) -> Callable[[dict,
             other(env, sink)
 
         return choose
-    name, sequence, inner = node[1], _expression(node[2], filters), _statements(node[3], filters)
+    each = _each(node, filters)
 
     def loop(env: dict, sink: Sink) -> None:
+        for _ in each(env, sink):
+            pass
+
+    return loop
+
+
+def _once(node: tuple, filters: Mapping[str, Callable]) -> Callable[[dict, Sink], Iterator[None]]:
+    step = _statement(node, filters)
+
+    def run(env: dict, sink: Sink) -> Iterator[None]:
+        step(env, sink)
+        yield
+
+    return run
+
+
+def _each(node: tuple, filters: Mapping[str, Callable]) -> Callable[[dict, Sink], Iterator[None]]:
+    """A loop that pauses after each turn."""
+    name, sequence, inner = node[1], _expression(node[2], filters), _statements(node[3], filters)
+
+    def loop(env: dict, sink: Sink) -> Iterator[None]:
         items = iter(sequence(env) or ())
         end, index = object(), 0
         item = next(items, end)
         while item is not end:
             following = next(items, end)
             inner(env | {name: item, "loop": {"index": index + 1, "first": index == 0, "last": following is end}}, sink)
+            yield
             item, index = following, index + 1
 
     return loop
@@ -344,7 +366,14 @@ class Template:
     def __init__(self, source: str, filters: Mapping[str, Callable] | None = None):
         known = {**FILTERS, **(filters or {})}
         self.tree = _folded(parse(source), known)
-        self._run = _statements(self.tree, known)
+        self._steps = [(_each if node[0] == "for" else _once)(node, known) for node in self.tree]
+
+    def steps(self, sink: Sink, messages: Iterable[Mapping], **names: Any) -> Iterator[None]:
+        """Renders, and pauses after each turn of an outermost loop and each outermost statement, so that the sink can be emptied."""
+        env = {"messages": messages, **names}
+        for step in self._steps:
+            yield from step(env, sink)
 
     def render(self, sink: Sink, messages: Iterable[Mapping], **names: Any) -> None:
-        self._run({"messages": messages, **names}, sink)
+        for _ in self.steps(sink, messages, **names):
+            pass

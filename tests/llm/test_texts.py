@@ -101,6 +101,14 @@ def test_long_conversations_come_in_pieces(spark, monkeypatch):
     assert r["n_turns"] == 800 and r["loss_chars"] == sum(len(f"turn {k} ") + 3_000 for k in range(1, 800, 2))
 
 
+def test_pieces_leave_the_task_while_a_conversation_goes_on():
+    compiled, sink, most = Template(chat.TEMPLATE, {"escaped": chat.escaped}), chat._Pieces(1), 0
+    for _ in compiled.steps(sink, ({"role": "user", "text": "x" * 100_000} for _ in range(300))):
+        most = max(most, sum(len(r[2]) for r in sink.rows) + sink.size)
+        sink.rows.clear()
+    assert sink.piece > 20 and most < 2 * chat.PIECE_CHARS
+
+
 def test_bad_formats_are_refused():
     for bad in ("x", "### user", "### user: text", "### no role </turn>\n"):
         with pytest.raises(ValueError):
