@@ -1,10 +1,13 @@
 """Sharding by longest processing time: groups that must stay together go, largest first, to the least-loaded shard.
 
-The heap needs its items in order, so it gets a bounded number of them. A group of at least one part in
-`shards * PER_SHARD` of all bytes (there are no more than `shards * PER_SHARD` of those), or of one part in `HOT` of all rows,
-is an item by itself; the other groups are dealt by hash into `PARCELS` parcels, each of which is an item. The driver
-sees items, never groups or documents: 106,000 at most, however many documents there are. As the last items dealt are
-small, loads end nearly equal, unless one group alone is larger than a shard's share.
+Groups are equal texts. Groups of one size are alike to the rule, so the heap deals sizes with their numbers of groups: what
+the rule does to a run of equal groups, one by one, is worked out for the whole run. The result is that of the rule over all
+groups, at any number of them, and the driver sees one row for each different size: different sizes add up to no more than all
+bytes, so there are at most sqrt(2 * bytes) of them. Within a size, groups are ranked by their hash, and each shard takes a
+range of ranks. Slots number the rows of a shard, whatever their group, part by part, so that no group of any size is
+numbered by one task.
+
+Loads end nearly equal, unless one group alone is larger than a shard's share.
 
 Defined results: a null text counts as empty (0 bytes, crc32 0) and is in one group with empty texts; a null doc_id is placed
 like any other; repeated rows each get a slot; other columns are ignored; an empty table gives an empty result.
@@ -13,6 +16,7 @@ like any other; repeated rows each get a slot; other columns are ignored; an emp
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,62 +24,88 @@ from pyspark.sql import functions as F
 
 from spandrel.llm.common import salt, stored
 
-PARCELS, PER_SHARD, HOT, SALTS = 65_536, 1_000, 400, 256
-ROW_BYTES = 16
-#: A group of fewer rows is never split for the numbering of its rows.
-LEAST_HOT_ROWS = 5_000
+ROW_BYTES, SALTS = 16, 256
+#: Rows that one task numbers, about; shards and sizes that are broadcast at most (12 bytes each), more are joined by a shuffle.
+PART_ROWS, FEW_RANGES = 100_000, 1_000_000
+
+
+def _shares(loads: list[int], size: int, groups: int) -> list[int]:
+    """How many of `groups` groups of one size each shard gets if each goes to the least-loaded shard, the first of equals."""
+    low, high = min(loads), min(loads) + size * groups + 1
+    taken = lambda level: [max(0, -((load - level) // size)) for load in loads]  # noqa: E731  (groups that a shard takes while its load is below the level)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(taken(middle)) <= groups else (low, middle)
+    out = taken(low)
+    left = groups - sum(out)
+    for shard, load in enumerate(loads):
+        if left and load + out[shard] * size == low:
+            out[shard] += 1
+            left -= 1
+    return out
 
 
-def longest_first(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Shard of each item (number, size): sorted by size, each goes to the least-loaded shard."""
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """For each (size, number of groups): (shard, groups) in order of shards, by longest processing time."""
+    loads = [0] * shards
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for number, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        out[number] = shard
+    out: dict[int, list[tuple[int, int]]] = {}
+    for size, groups in sorted(sizes, reverse=True):
+        if groups < shards:
+            got: dict[int, int] = {}
+            for _ in range(groups):
+                load, shard = heap[0]
+                heapq.heapreplace(heap, (load + size, shard))
+                loads[shard] += size
+                got[shard] = got.get(shard, 0) + 1
+            out[size] = sorted(got.items())
+        else:
+            shares = _shares(loads, size, groups)
+            loads = [load + n * size for load, n in zip(loads, shares)]
+            heap = [(load, s) for s, load in enumerate(loads)]
+            heapq.heapify(heap)
+            out[size] = [(s, n) for s, n in enumerate(shares) if n]
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
+def _ranked(groups: DataFrame) -> DataFrame:
+    """groups (group, bytes) and its rank among those of its size; sizes that many groups have are ranked by (size, salt) first."""
+    dealt = groups.withColumn("part", salt(F.col("group"), SALTS))
+    before = Window.partitionBy("bytes").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("bytes", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("bytes", "part").orderBy("group")) - 1
+    return dealt.withColumn("place", place).join(starts, ["bytes", "part"]).select("group", "bytes", (F.col("start") + F.col("place")).alias("rank"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (always null: the law is `bytes`)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
-    own = stored(own.withColumn("salt", salt(F.col("doc_id"), SALTS)), "sizes")
+    own = own.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", salt(F.col("row"), SALTS))
+    own = stored(own, "sizes")
     cells = own.groupBy("group", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
-    groups = stored(cells.groupBy("group").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")), "groups")
-    rows, total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-
-    hot_rows = max(LEAST_HOT_ROWS, rows / HOT)
-    alone = (F.col("bytes") >= total / (shards * PER_SHARD)) | (F.col("rows") >= hot_rows)
-    large = groups.filter(alone).select("group", "rows", "bytes").collect()  # bounded, see above
-    large.sort(key=lambda r: bytes(r["group"]))
-    parcel = F.pmod(F.xxhash64("group"), F.lit(PARCELS))
-    small = groups.filter(~alone).groupBy(parcel.alias("item")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).collect()
-
-    items = {r["item"]: (r["bytes"], r["rows"]) for r in small} | {PARCELS + i: (r["bytes"], r["rows"]) for i, r in enumerate(large)}
-    shard_of = longest_first([(k, v[0]) for k, v in items.items()], shards)
-    hot = [i for i, r in enumerate(large) if r["rows"] >= hot_rows]
-    numbers = spark.createDataFrame(pa.table({"group": pa.array([bytes(r["group"]) for r in large], pa.binary()), "large": pa.array(range(PARCELS, PARCELS + len(large)), pa.int64()), "hot": pa.array([r["rows"] >= hot_rows for r in large], pa.bool_())}))
-    split: dict[int, list[tuple[int, int]]] = {}
-    if hot:  # rows of each salt of the groups whose rows are numbered by salt: HOT * SALTS rows at most
-        for r in cells.join(F.broadcast(numbers.filter("hot")), "group").select("large", "salt", "rows").collect():
-            split.setdefault(r["large"], []).append((r["salt"], r["rows"]))
-
-    next_slot, places = [0] * shards, []
-    for item in sorted(items):
-        shard = shard_of[item]
-        for part, n in sorted(split.get(item, [(-1, items[item][1])])):
-            places.append((item, part, shard, next_slot[shard]))
-            next_slot[shard] += n
-    item, part, shard, start = ([p[k] for p in places] for k in range(4))
-    placed = spark.createDataFrame(pa.table({"item": pa.array(item, pa.int64()), "part": pa.array(part, pa.int32()), "shard": pa.array(shard, pa.int32()), "start": pa.array(start, pa.int64())}))
-
-    known = own.join(F.broadcast(numbers), "group", "left").withColumn("item", F.coalesce("large", parcel.cast("long")))
-    known = known.withColumn("part", F.when(F.coalesce("hot", F.lit(False)), F.col("salt")).otherwise(F.lit(-1)))
-    order = Window.partitionBy("item", "part").orderBy("doc_id", "text_crc32", "size")
-    return known.join(F.broadcast(placed), ["item", "part"]).select(
+    groups = stored(cells.groupBy("group").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.collect_list("salt").alias("salts")), "groups")
+
+    counted = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).toArrow()  # at most sqrt(2 * bytes) rows
+    dealt = longest_first(zip(counted["bytes"].to_pylist(), counted["n"].to_pylist()), shards)
+    starts = [[sum(n for _, n in ranges[:k]) for k in range(len(ranges))] for ranges in dealt.values()]
+    places = spark.createDataFrame(pa.table({
+        "bytes": pa.array(dealt.keys(), pa.int64()), "starts": pa.array(starts, pa.list_(pa.int64())),
+        "shards": pa.array([[s for s, _ in ranges] for ranges in dealt.values()], pa.list_(pa.int32())),
+    }))
+    if sum(map(len, starts)) <= FEW_RANGES:
+        places = F.broadcast(places)
+    shard = F.expr("element_at(shards, size(filter(starts, s -> s <= rank)))")
+    homes = _ranked(groups.select("group", "bytes")).join(places, "bytes").select("group", shard.alias("shard")).join(groups.select("group", "salts"), "group")
+    placed = own.join(homes.select("group", "shard", F.explode("salts").alias("salt")), ["group", "salt"])
+
+    parts = max(1, -(-sum(counted["rows"].to_pylist()) // (shards * part_rows)))
+    placed = stored(placed.select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")), "placed")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row for part_rows rows
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
+    return placed.withColumn("place", place).join(offsets, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.row_number().over(order) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -222,8 +222,33 @@ def test_sharding(docs, texts, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_hot_groups_are_numbered_by_salt(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "LEAST_HOT_ROWS", 10)
+def plain_shards(texts, shards):
+    """Bytes of the groups that each shard gets, by the rule itself."""
+    sizes = Counter()
+    for t in texts:
+        sizes[t] += len(t.encode()) + 16
+    load, held = [0] * shards, defaultdict(list)
+    for size in sorted(sizes.values(), reverse=True):
+        s = min(range(shards), key=lambda k: (load[k], k))
+        load[s] += size
+        held[s].append(size)
+    return held
+
+
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_sharding_equals_brute_force(spark, shards):
+    r = np.random.default_rng(shards)
+    texts = ["x" * int(n) + str(k % 120) for k, n in enumerate(r.integers(0, 12, 400))] + ["hot"] * 150 + ["y" * 3_000]
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards, part_rows=20).collect()
+    held = defaultdict(Counter)
+    for row in out:
+        held[row["shard"]][texts[row["doc_id"]]] += row["size"]
+    assert {s: sorted(c.values(), reverse=True) for s, c in held.items()} == plain_shards(texts, shards)
+    for s in range(shards):
+        assert sorted(row["slot"] for row in out if row["shard"] == s) == list(range(sum(row["shard"] == s for row in out)))
+
+
+def test_hot_groups_have_gapless_slots(spark):
     df = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     out = sharding.shard_documents(df, 5).collect()
     assert len({r["shard"] for r in out if r["doc_id"] % 3 == 0}) == 1
@@ -232,15 +257,16 @@ def test_hot_groups_are_numbered_by_salt(spark, monkeypatch):
         assert slots == list(range(len(slots)))
 
 
-def test_longest_first_equals_a_scan():
-    sizes = [int(x) for x in np.random.default_rng(2).integers(1, 1_000, 300)]
+@pytest.mark.parametrize("most", [3, 40, 1_000])
+def test_longest_first_equals_a_scan(most):
+    sizes = Counter(int(x) for x in np.random.default_rng(2).integers(1, most, 600))
     load = [0] * 7
-    want = {}
-    for i in sorted(range(300), key=lambda i: (-sizes[i], i)):
+    want = defaultdict(Counter)
+    for size in sorted(sizes.elements(), reverse=True):
         s = min(range(7), key=lambda k: (load[k], k))
-        want[i] = s
-        load[s] += sizes[i]
-    assert sharding.longest_first(list(enumerate(sizes)), 7) == want
+        want[size][s] += 1
+        load[s] += size
+    assert sharding.longest_first(sizes.items(), 7) == {size: sorted(c.items()) for size, c in want.items()}
 
 
 def plain_pack(sizes, lengths):
