@@ -1,23 +1,26 @@
 """License scans by conditional compression.
 
 A candidate block is the words around mentions of licensing. It is compressed by itself and with each template as a raw
-Zstandard dictionary; templates are ranked by the bytes that they save relative to their own size. A template that saves
-enough is confirmed by its exact wording: the block's words are aligned with the template's and the words that are missing,
-added or replaced are counted: no more than one word in `ONE_IN` may differ. Confirmed words are taken out and the
-block is scanned again, so each mention is found.
+Zstandard dictionary; templates are ranked by the bytes that they save relative to their own size, best first. The saving only
+ranks: every template that has enough of its words in the block is confirmed by its exact wording, at every place. Words that are missing, added or
+replaced are counted by an alignment with the block, and no more than one in `ONE_IN` of the template's words may differ (one word at least in
+templates of `LEAST_LOOSE` words or more); words that name a license or its version may not differ at all. Confirmed words are taken
+out for the templates that rank below, so each mention is found once.
 
 Defined results: a null or empty text has no match and no row; a null doc_id stays null; repeated rows give repeated matches;
-other columns are ignored; an empty table gives an empty result. Texts are read whole; the words of one text at a time
-are in memory.
+other columns, whatever their names, are ignored; an empty table gives an empty result. Texts are read whole; the words of one
+text at a time are in memory.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,17 +35,40 @@ TEMPLATES = {
     "CC-BY-4.0 (notice)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "All rights reserved": "All rights reserved.",
     "Public domain": "This work is released into the public domain.",
+    "MIT (SPDX)": "SPDX-License-Identifier: MIT",
+    "Apache-2.0 (SPDX)": "SPDX-License-Identifier: Apache-2.0",
+    "BSD-2-Clause (SPDX)": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause (SPDX)": "SPDX-License-Identifier: BSD-3-Clause",
+    "GPL-2.0 (SPDX)": "SPDX-License-Identifier: GPL-2.0-only",
+    "GPL-3.0 (SPDX)": "SPDX-License-Identifier: GPL-3.0-only",
+    "MPL-2.0 (SPDX)": "SPDX-License-Identifier: MPL-2.0",
+    "GPL-2.0 (terms)": "Distributed under the terms of the GNU General Public License version 2.",
+    "GPL-3.0 (terms)": "Distributed under the terms of the GNU General Public License version 3.",
+    "CC-BY-SA-4.0 (notice)": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0 (notice)": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0+": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0+": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1+": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0+": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
 }
-#: Words that make the words around them a candidate.
-MENTIONS = r"licen[cs]|copyright|copyleft|rights\s+reserved|public\s+domain|creative\s+commons|permission|redistribut"
+#: Words that name a license, its variant or its version.
+NAMES = frozenset((
+    "mit apache bsd isc gnu gpl lgpl agpl mpl general lesser affero mozilla cc creative commons attribution sharealike attribution-sharealike noncommercial international by nc sa nd "
+    "by-nc by-sa by-nd by-nc-sa by-nc-nd 1 1.0 2 2.0 2.1 3 3.0 4.0 v2 v3 apache-2.0 bsd-2-clause bsd-3-clause gpl-2.0-only gpl-3.0-only mpl-2.0 domain reserved unencumbered"
+).split())
+#: What makes the words around it a candidate. Written so that engines that know fewer letters and spaces find more, not less.
+MENTIONS = r"licen[cs]|copyright|copyleft|rights\W+reserved|public\W+domain|creative\W+commons|permission|redistribut|free\W+software"
+#: Words around a mention that a block takes in, at least; more if a template reaches further from its mentions.
 AROUND = 24
-LEAST_SAVED = 0.35
-#: One word in so many of a template may differ.
-ONE_IN = 10
+#: One word in so many of a template may differ, and one at least in a template of so many words.
+ONE_IN, LEAST_LOOSE = 10, 4
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _KEPT = 50_000
@@ -52,6 +78,37 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def tolerance(template: list[str]) -> int:
+    return max(len(template) // ONE_IN, int(len(template) >= LEAST_LOOSE))
+
+
+def distances(template: list[str], words: list[str]) -> np.ndarray:
+    """For each place (0 to len(words)): words that differ between the template and the best part of words that ends there.
+
+    A word that is missing, added or replaced counts one; one that names a license counts more than any tolerance.
+    """
+    weigh = lambda w: len(template) + 1 if w in NAMES else 1
+    drop = np.array([0, *np.cumsum([weigh(w) for w in template]).tolist()])  # of the first words of the template
+    costs = np.array([weigh(w) for w in template])
+    held, out = drop.copy(), [int(drop[-1])]
+    index = {w: np.array([t != w for t in template]) for w in set(words)}
+    for w in words:
+        added = weigh(w)
+        fresh = np.empty_like(held)
+        fresh[0] = 0
+        fresh[1:] = np.minimum(held[1:] + added, held[:-1] + np.where(index[w], np.maximum(costs, added), 0))
+        held = np.minimum.accumulate(fresh - drop) + drop  # words of the template that are missing at the end
+        out.append(int(held[-1]))
+    return np.array(out)
+
+
+def _reach(template: str) -> int:
+    """Words from a template's beginning or end to the nearest mention in it, at most, and those that may be added."""
+    ends = [m.end() for m in _WORD.finditer(template)]
+    hits = [bisect_right(ends, m.start()) for m in re.finditer(MENTIONS, template, re.I)]
+    return max(hits[0], len(ends) - hits[-1]) + tolerance(_words(template)) + 1 if hits else 0
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = []
@@ -62,37 +119,41 @@ class Scanner:
             known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             given = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False)
             most = len(plain.compress(data)) - len(given.compress(data))
-            self.templates.append((name, words, given, max(1, most)))
+            self.templates.append((name, words, given, max(1, most), Counter(words)))
         self.plain = plain
         self.longest = max((len(t[1]) for t in self.templates), default=0)
+        self.around = max([AROUND, *(_reach(t) for t in templates.values())])
         self.kept: dict[tuple[str, ...], list[tuple]] = {}
 
-    def ranked(self, words: list[str]) -> list[tuple[float, int, int]]:
-        """(share of the template's own saving, bytes saved, template) of templates that save enough, best first."""
+    def ranked(self, words: list[str]) -> list[tuple[int, int]]:
+        """(bytes saved, template), best first, of the templates that have enough of their words here to be within their tolerance."""
+        have = Counter(words)
+        able = [i for i, t in enumerate(self.templates) if sum((t[4] - have).values()) <= tolerance(t[1])]
+        if not able:
+            return []
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
-        saved = [(alone - len(given.compress(data)), i) for i, (_, _, given, _) in enumerate(self.templates)]
-        shares = [(s / self.templates[i][3], s, i) for s, i in saved]
-        return sorted((x for x in shares if x[0] >= LEAST_SAVED), key=lambda x: (-x[0] * len(self.templates[x[2]][1]) ** 0.5, x[2]))
+        saved = [(alone - len(self.templates[i][2].compress(data)), i) for i in able]
+        return sorted(saved, key=lambda x: (-x[0] / self.templates[x[1]][3] * len(self.templates[x[1]][1]) ** 0.5, x[1]))
 
     @staticmethod
-    def aligned(template: list[str], words: list[str]) -> tuple[int, int, int, str] | None:
-        """First and last + 1 word of the best place for the template, words that differ, and how."""
-        best = SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
-        if not best.size:
-            return None
-        slack = len(template) // ONE_IN + 1
-        low = max(0, best.b - best.a - slack)
-        part = words[low : best.b + len(template) - best.a + slack]
-        match = SequenceMatcher(None, template, part, autojunk=False)
-        same = [m for m in match.get_matching_blocks() if m.size]
-        start, end = same[0].b, same[-1].b + same[-1].size
-        differ, how = 0, []
-        for op, a, b, c, d in SequenceMatcher(None, template, part[start:end], autojunk=False).get_opcodes():
-            if op != "equal":
-                differ += max(b - a, d - c)
-                how.append(f"-{' '.join(template[a:b])}" * (b > a) + f"+{' '.join(part[start + c : start + d])}" * (d > c))
-        return low + start, low + end, differ, "; ".join(how)
+    def places(template: list[str], words: list[str]) -> list[tuple[int, int, int, str]]:
+        """(first word, last + 1, words that differ, how) of the places where words say the template, apart, the closest first."""
+        most = tolerance(template)
+        ends = distances(template, words)
+        found: list[tuple[int, int, int, str]] = []
+        for end in sorted(np.flatnonzero(ends <= most).tolist(), key=lambda e: (ends[e], e)):
+            low = max(0, end - len(template) - most)
+            back = distances(template[::-1], words[low:end][::-1])
+            start = end - int(np.flatnonzero(back == ends[end])[0])
+            if any(start < b and a < end for a, b, _, _ in found):
+                continue
+            how = []
+            for op, a, b, c, d in SequenceMatcher(None, template, words[start:end], autojunk=False).get_opcodes():
+                if op != "equal":
+                    how.append(f"-{' '.join(template[a:b])}" * (b > a) + f"+{' '.join(words[start + c : start + d])}" * (d > c))
+            found.append((start, end, int(ends[end]), "; ".join(how)))
+        return found
 
     def block(self, words: list[str]) -> list[tuple[int, int, int, int, int, str]]:
         """(first word, last + 1, template, bytes saved, words that differ, how) of each confirmed mention."""
@@ -100,17 +161,13 @@ class Scanner:
         if (got := self.kept.get(key)) is not None:
             return got
         found, rest = [], list(words)
-        again = True
-        while again:
-            again = False
-            for _, saved, i in self.ranked(rest):
-                place = self.aligned(self.templates[i][1], rest)
-                if place and place[2] <= len(self.templates[i][1]) // ONE_IN:
-                    a, b, differ, how = place
+        for exact in (True, False):  # a template's own wording goes before another's within its tolerance
+            for saved, i in self.ranked(rest):
+                for a, b, differ, how in self.places(self.templates[i][1], rest):
+                    if differ and exact:
+                        continue
                     found.append((a, b, i, saved, differ, how))
                     rest[a:b] = [f"\0{a}"] * (b - a)  # words that nothing matches
-                    again = True
-                    break
         if len(self.kept) >= _KEPT:
             self.kept.clear()
         self.kept[key] = found
@@ -126,7 +183,7 @@ class Scanner:
         blocks: list[list[int]] = []
         for h in hits:
             i = max(0, bisect_right(starts, h) - 1)
-            low, high = max(0, i - AROUND), min(len(spans), i + AROUND)
+            low, high = max(0, i - self.around), min(len(spans), i + self.around)
             if blocks and low <= blocks[-1][1]:
                 blocks[-1][1] = high
             else:
@@ -141,12 +198,13 @@ class Scanner:
     def _parts(self, words: list[str]) -> list[tuple]:
         """A block of any length, in parts that overlap by the longest template."""
         step = 4 * self.longest
-        if len(words) <= step + self.longest:
+        if len(words) <= step + 2 * self.longest:
             return sorted(self.block(words))
         found: dict[tuple[int, int], tuple] = {}
         for low in range(0, len(words), step):
-            for a, b, *more in self.block(words[low : low + step + self.longest]):
-                found.setdefault((low + b, more[0]), (low + a, low + b, *more))
+            for a, b, *more in self.block(words[low : low + step + 2 * self.longest]):
+                if low + a < low + step or low + step >= len(words):  # what begins later is the next part's
+                    found.setdefault((low + b, more[0]), (low + a, low + b, *more))
         return sorted(found.values())
 
 
@@ -163,5 +221,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 rows += [(doc_id, *m, m[4] == 0) for m in scanner.text(text.as_py() or "", mention)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.types)], schema=kinds)
 
-    likely = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(f"(?i){MENTIONS}"))
+    likely = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(f"(?iu){MENTIONS}"))
     return likely.mapInArrow(run, "doc_id long, start long, end long, license string, saved_bytes long, differing_words long, differences string, exact boolean")

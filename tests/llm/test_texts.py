@@ -12,6 +12,7 @@ from spandrel.llm import bpe, chat, licenses, toxicity, warc
 from spandrel.llm.common import new_path
 from spandrel.llm.queries import TRICKY, WORD_BPE
 from spandrel.llm.template import Template, TemplateError
+from tests.llm.conftest import words
 
 
 def test_bpe_equals_the_library(docs, texts, empty):
@@ -174,6 +175,67 @@ def test_licenses(spark):
     assert all(text[r["doc_id"]][r["start"] : r["end"]].lower().split()[0] in ("released", "licensed", "this", "all", "permission") for r in got)
 
 
+def plain_differences(template, words):
+    """Least weighted edit distance between a template and any part of words, by the whole table."""
+    weigh = lambda w: len(template) + 1 if w in licenses.NAMES else 1
+    row = [0] * (len(words) + 1)
+    for t in template:
+        fresh = [row[0] + weigh(t)]
+        for j, w in enumerate(words):
+            fresh.append(min(row[j] + (0 if t == w else max(weigh(t), weigh(w))), row[j + 1] + weigh(t), fresh[j] + weigh(w)))
+        row = fresh
+    return row
+
+
+def test_distances_equal_brute_force():
+    r = random.Random(3)
+    for name, text in licenses.TEMPLATES.items():
+        template = licenses._words(text)
+        for _ in range(3):
+            w = list(template)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(["other", "mit", "the", "words"])
+            w = [r.choice(template) for _ in range(5)] + w + [r.choice(["under", "license", "x"]) for _ in range(5)]
+            assert licenses.distances(template, w).tolist() == plain_differences(template, w), name
+
+
+def altered(r, name):
+    """A template's wording with as many changed words as it allows, none of them a name."""
+    w = licenses.TEMPLATES[name].split()
+    free = [k for k in range(1, len(w) - 1) if not any(x in licenses.NAMES for x in licenses._words(w[k]))]
+    for k in r.sample(free, min(len(free), licenses.tolerance(licenses._words(licenses.TEMPLATES[name])))):
+        w[k] = "zzword"
+    return " ".join(w)
+
+
+def test_every_notice_is_found_wherever_it_stands():
+    r = random.Random(7)
+    scanner, mention = licenses.Scanner(licenses.TEMPLATES), licenses.re.compile(licenses.MENTIONS, licenses.re.I)
+    fill = lambda n: " ".join(words(r.randrange(10**6), n).split())
+    exact = loose = 0
+    for name, wording in licenses.TEMPLATES.items():
+        for before, after in ((0, 0), (10, 0), (0, 10), (200, 200)):
+            text = f"{fill(before)} {wording} {fill(after)}"
+            got = scanner.text(text, mention)
+            exact += any(g[2] == name and g[4] == 0 for g in got)
+        got = scanner.text(f"{fill(30)} {altered(r, name)} {fill(30)}", mention)
+        loose += any(g[2] == name for g in got)
+    assert exact == 4 * len(licenses.TEMPLATES)
+    assert loose >= 0.9 * len(licenses.TEMPLATES)
+    many = "  ".join(f"{wording} {fill(3)}." for wording in licenses.TEMPLATES.values())
+    assert sorted(g[2] for g in scanner.text(many, mention)) == sorted(licenses.TEMPLATES)
+    assert [g[2] for g in scanner.text("Licensed under the MIT License. Licensed under the Apache License 2.0. All rights\u00a0reserved.", mention)] == ["MIT (notice)", "Apache-2.0 (notice)", "All rights reserved"]
+    assert scanner.text("Licensed under the QRS License. the license of CC BY 5.0", mention) == []
+
+
+def test_license_rows(spark, docs, empty):
+    kind = "doc_id long, text string, license string"
+    rows = [(1, "All rights\u00a0reserved."), (None, "Released under the MIT License."), (2, "Released under the MIT License."), (2, "Released under the MIT License."), (3, "word " * 300_000 + "All rights reserved."), (4, None), (5, "")]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t, "x") for i, t in rows], kind)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "2", "3", "None"]
+    assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == 0
+
+
 def test_gradients_are_those_of_the_loss():
     net = toxicity.Network({"a": 1}, np.array([5]), seed=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
