@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import id_key, salt, stored
+from spandrel.llm.common import id_key, renamed, salt, stored
 from spandrel.llm.components import components
 
 BITS, SEED = 64, 42
@@ -55,10 +55,20 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes, as a signed long: bits that are set in over half of them."""
+    ones = sum((_ones(hashes[at : at + _WORDS_AT_ONCE]) for at in range(0, len(hashes), _WORDS_AT_ONCE)), np.zeros(BITS, np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def with_fingerprint(docs: DataFrame, name: str = "fp", shingle_words: int = 3) -> DataFrame:
     """docs and the fingerprint of its text, as a signed long."""
 
@@ -145,6 +155,8 @@ def plan_masks(n: int, together: np.ndarray, distance: int) -> list[int]:
         cost, chosen = allocate(costs, distance - m + 1)
         if chosen:
             options.append((cost, m, list(zip(parts, chosen))))
+    if not options:
+        raise ValueError(f"no more than {MOST_PARTS} parts with {MOST_DELETED} deleted bits each cover no distance of {distance}")
     masks = []
     for part, t in min(options, key=lambda o: o[:2])[2]:
         for deleted in combinations(part, t) if t >= 0 else ():
@@ -226,7 +238,8 @@ def near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3) -> D
 def drop_near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id (null last), then the smallest hash of its text."""
     keys, best = ["__null", "__id", "__hash"], F.min("best").alias("best")
-    keyed = docs.select("*", *id_key(docs["doc_id"]), F.xxhash64("text").alias("__hash"))
+    named, back = renamed(docs)
+    keyed = named.select("*", *id_key(F.col("doc_id")), F.xxhash64("text").alias("__hash"))
     own = with_fingerprint(keyed.select("text", *keys), "fp", shingle_words).select("fp", F.struct(*keys).alias("best"))
     cells = own.groupBy("fp", salt(F.col("best"), SALTS).alias("salt")).agg(best)
     prints = stored(cells.groupBy("fp").agg(best), "classes")
@@ -235,5 +248,4 @@ def drop_near_copies(docs: DataFrame, distance: int = 3, shingle_words: int = 3)
         return docs
     rooted = _rooted(prints, n, together, distance)
     stay = rooted.groupBy("root", salt(F.col("best"), SALTS).alias("salt")).agg(best).groupBy("root").agg(best).select("best.*")
-    kept = keyed.join(stay, keys, "left_semi").dropDuplicates(keys)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(keyed.join(stay, keys, "left_semi").dropDuplicates(keys))

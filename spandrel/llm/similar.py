@@ -1,15 +1,20 @@
 """Near-dedup by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-No such pair is left out. Shingles are hashed and each set is sorted; the first common shingle of two similar sets is among the
-first fifth (and one) of either, so sets that share one there are candidates. Buckets of up to `SMALL` sets list their
-pairs. Sets of larger buckets are first linked, verified, in random blocks of the buckets of their first `FIRST` shingles, which
-joins most of a large group; then only sets that are not connected yet are compared, in blocks, by parity bitmaps: the bits in which two
-bitmaps differ are never more than the shingles in which the sets do, so the filter loses no pair. All candidates are
-verified with the whole sets.
+No such pair is left out. SimHash (the general pigeonhole search of `simhash`, over fingerprints of the sets) proposes links
+first; each is verified with the whole sets, and what they connect needs no more work. Fingerprints alone can't find all pairs, as two texts
+at 0.8 differ in ten bits of 64, so the search is completed: shingles are put in one order for all texts, those that the corpus
+has fewest of first, and the first common shingle of two similar sets is among the first fifth (and one) of either. Sets that share one
+there are candidates. Buckets of up to `SMALL` sets list their pairs. Sets of larger buckets are linked, verified, in random
+blocks of their `FIRST` largest buckets; then sets that are still not connected are compared, in blocks, by parity
+bitmaps: the bits in which two bitmaps differ are never more than the shingles in which the sets do, so the filter loses no
+pair. All candidates are verified with the whole sets.
+
+The order of shingles is taken from counts in `CELLS` cells by hash, so its size is fixed; any order gives the same links, but
+with this one a passage that many texts share makes no large bucket.
 
 Defined results: texts with equal sets are one node; a text of fewer words than a shingle has one shingle; texts without words
 are equal; words are separated by ASCII white space and A-Z are lowered. Of each component the row with the smallest doc_id stays
-(null last, then by a hash of the text), and rows that repeat it are dropped.
+(null last, then by a hash of the text), and rows that repeat it are dropped; columns of any name are returned unchanged.
 """
 
 from __future__ import annotations
@@ -22,26 +27,34 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import id_key, salt, stored
+from spandrel.llm import simhash
+from spandrel.llm.common import id_key, renamed, salt, stored
 from spandrel.llm.components import components
 
 WORDS, SEED, SALTS = 5, 42, 64
 SMALL, FIRST, BLOCK = 16, 4, 512
 BITMAP = 1_024
+#: Bits in which fingerprints of proposed links differ, and cells in which shingles are counted.
+DISTANCE, CELLS, SUMS = 3, 1 << 18, 16
 
 KEYS = ["__null", "__id", "__hash"]
-_ROW = "sid long, n int, first array<long>, bitmap array<long>"
+_ROW = "sid long, fp long, n int, first array<long>, bitmap array<long>"
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text."""
+    """Sorted hashes of the different shingles of a text; a shingle's hash is mixed from those of its words in order."""
     words = (text or "").encode().lower().split()
     width = min(WORDS, len(words))
     if not width:
         return np.zeros(0, np.int64)
     digest = xxhash.xxh64_intdigest
-    hashes = (digest(b" ".join(words[k : k + width]), SEED) for k in range(len(words) - width + 1))
-    return np.unique(np.fromiter(hashes, np.uint64).view(np.int64))
+    hashes = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    n = len(words) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -91,15 +104,48 @@ def _pairs_close(maps_a: pd.Series, maps_b: pd.Series, n: pd.Series) -> pd.Serie
     return pd.Series([9 * far(a, b) <= m for a, b, m in zip(maps_a, maps_b, n)], dtype=bool)
 
 
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(40)) % np.uint64(CELLS)
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """Texts that have a shingle of each cell; tasks add up their own counts, and `SUMS` tasks add up those."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held, some = np.zeros(CELLS, np.int64), [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(_cell(shingles(text)).astype(np.int64))
+                some += len(held[-1])
+                if some > CELLS:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, some = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
+        yield pd.DataFrame({"part": [int(total.sum()) % SUMS], "counts": [total.astype("<i8").tobytes()]})
+
+    def add(part: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for some in rows:
+            for counts in some["counts"]:
+                total += np.frombuffer(counts, "<i8")
+        yield pd.DataFrame({"counts": [total.tobytes()]})
+
+    parts = docs.select("text").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(add, "counts binary").collect()  # SUMS rows of a fixed size
+    return sum((np.frombuffer(r["counts"], np.int64) for r in parts), np.zeros(CELLS, np.int64))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """Keys of every row, and of its shingle set: hash, size, first fifth and one, and bitmap."""
+    """Keys of every row, and of its shingle set: hash, fingerprint, size, first fifth and one, and bitmap."""
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))  # of a fixed size
 
     @F.pandas_udf(_ROW)
     def column(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             sets = [shingles(t) for t in batch]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"sid": sid, "n": [len(s) for s in sets], "first": [s[: len(s) // 5 + 1] for s in sets], "bitmap": [bitmap(s) for s in sets]})
+            first = [s[np.lexsort((s, counts.value[_cell(s)]))[: len(s) // 5 + 1]] for s in sets]
+            yield pd.DataFrame({"sid": sid, "fp": [simhash.majority(s) for s in sets], "n": [len(s) for s in sets], "first": first, "bitmap": [bitmap(s) for s in sets]})
 
     return docs.select(*_keys(), column("text").alias("set")).select(*KEYS, "set.*")
 
@@ -132,9 +178,15 @@ def _apart(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to all cores: few bytes can be much work, so tasks must not be merged by size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _texts_similar(ones: pd.Series, twos: pd.Series) -> pd.Series:
     last, held, out = None, None, []
-    for one, two in zip(ones, twos):  # texts of the second column come in groups
+    for one, two in zip(ones, twos):
         if two != last:
             last, held = two, shingles(two)
         out.append(_similar(shingles(one), held))
@@ -144,53 +196,88 @@ def _texts_similar(ones: pd.Series, twos: pd.Series) -> pd.Series:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (different a, b) whose texts are similar."""
     one, two = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").filter(F.pandas_udf(_texts_similar, "boolean")("text_a", "text_b")).select("a", "b")
+    met = _spread(pairs.join(one, "a").join(two, "b"), "b")  # texts of the second column come in groups
+    return met.sortWithinPartitions("b").filter(F.pandas_udf(_texts_similar, "boolean")("text_a", "text_b")).select("a", "b")
 
 
-def links(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b) of sets (sid, n, first, bitmap) of docs that connect what all similar pairs connect."""
-    probes = own.filter("n > 0").select("sid", "n", "first").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("first").alias("pos", "shingle"))
+def proposed(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) of sets (different sid, fp) by SimHash: equal fingerprints, and links that connect all fingerprints within distance."""
+    prints = stored(nodes.groupBy("fp").agg(F.min("sid").alias("sid")), "prints")
+    equal = nodes.join(prints.select("fp", F.col("sid").alias("a")), "fp").filter("a < sid").select("a", F.col("sid").alias("b"))
+    n, together = simhash.bit_counts(prints)
+    if n == 0:
+        return equal
+    near = simhash.links(prints.select("fp"), distance, simhash.plan_masks(n, together, distance)).distinct()
+    one, two = (prints.select(F.col("fp").alias(f"fp_{k}"), F.col("sid").alias(k)) for k in "ab")
+    ends = near.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(one, "fp_a").join(two, "fp_b")
+    return equal.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def _unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    for k in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
+    return pairs.filter("root_a <> root_b").select("a", "b")
+
+
+def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) of sets (sid, fp, n, first, bitmap) of docs that connect what all similar pairs connect."""
+    nodes = stored(own.filter("n > 0").select("sid", "fp", "n", "first").dropDuplicates(["sid"]), "nodes")
+    probes = nodes.select("sid", "n", F.posexplode("first").alias("pos", "shingle"))
     shared = stored(probes.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("size > 1"), "shared")
     many = shared.filter(F.col("size") > SMALL)
-    maps = stored(own.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "n", "bitmap").dropDuplicates(["sid"]), "maps")
+    found = stored(proposed(nodes.select("sid", "fp"), distance), "proposed")
 
     few = shared.filter(F.col("size") <= SMALL).groupBy("shingle").agg(F.collect_list(F.struct("sid", "n", "pos")).alias("rows"))
     pairs = F.expr("""flatten(transform(rows, (x, i) -> transform(filter(slice(rows, i + 2, size(rows)),
         y -> 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND 9 * (x.pos + y.pos) <= x.n + y.n),
         y -> struct(least(x.sid, y.sid) AS a, greatest(x.sid, y.sid) AS b))))""")
-    listed = few.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
+    listed = stored(few.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct(), "pairs")
+
+    ends = found.unionByName(listed)
+    either = stored(ends.select(F.col("a").alias("sid")).unionByName(ends.select(F.col("b").alias("sid"))).unionByName(many.select("sid")).distinct(), "either")
+    maps = stored(own.join(either, "sid", "left_semi").select("sid", "n", "bitmap").dropDuplicates(["sid"]), "maps")
     one, two = (maps.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"map_{k}")) for k in "ab")
     close = F.pandas_udf(_pairs_close, "boolean")("map_a", "map_b", F.col("n_a") + F.col("n_b"))
-    listed = stored(listed.join(one, "a").join(two, "b").filter(close).select("a", "b"), "listed")
+    may_be = lambda pairs: pairs.join(one, "a").join(two, "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").filter(close).select("a", "b")
+    found, listed = stored(may_be(found), "found"), stored(may_be(listed), "listed")
 
-    need = listed.select(F.col("a").alias("sid")).unionByName(listed.select(F.col("b").alias("sid"))).unionByName(many.select("sid")).distinct()
+    ends = found.unionByName(listed)
+    need = ends.select(F.col("a").alias("sid")).unionByName(ends.select(F.col("b").alias("sid"))).unionByName(many.select("sid")).distinct()
     held = own.join(need, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(*KEYS)).alias("key")).select("sid", "key.*")
     texts = stored(docs.select(*_keys(), "text").join(held, KEYS).dropDuplicates(["sid"]).select("sid", "text"), "texts")
-    near = stored(_verified(listed, texts), "near")
 
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = many.filter(F.col("pos") < FIRST).select("shingle", "sid", F.pmod(F.xxhash64("sid", "shingle"), blocks).alias("block"))
-    joined = stored(dealt.join(maps, "sid").join(texts, "sid").groupBy("shingle", "block").applyInPandas(_block_links, "a long, b long"), "joined")
-    known = near.unionByName(joined)
-    roots = components(known)
+    first = stored(_verified(found, texts), "first")
+    roots = components(first)
+    near = stored(_verified(_unconnected(listed, roots), texts), "near")
+
+    mixed = lambda rooted: rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+    largest = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("size").desc(), "shingle"))
+    rooted = _with_roots(many.withColumn("rank", largest).filter(F.col("rank") <= FIRST).select("shingle", "sid", "size"), roots)
+    dealt = rooted.join(mixed(rooted), "shingle").select("shingle", "sid", F.pmod(F.xxhash64("sid", "shingle"), F.ceil(F.col("size") / BLOCK)).alias("block"))
+    joined = stored(_spread(dealt.join(maps, "sid").join(texts, "sid"), "shingle", "block").groupBy("shingle", "block").applyInPandas(_block_links, "a long, b long"), "joined")
+    known = first.unionByName(near).unionByName(joined)
 
-    rooted = many.select("shingle", "sid", "size").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+    rooted = _with_roots(many.select("shingle", "sid", "size"), components(known))
     last = F.floor((F.col("size") - 1) / BLOCK)
-    cells = rooted.join(mixed, "shingle").withColumn("own", F.pmod(F.xxhash64("sid"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cells = rooted.join(mixed(rooted), "shingle").withColumn("own", F.pmod(F.xxhash64("sid"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     cells = cells.select("shingle", "sid", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rest = cells.join(maps, "sid").groupBy("shingle", "low", "high").applyInPandas(_apart, "a long, b long").distinct()
+    rest = _spread(cells.join(maps, "sid"), "shingle", "low", "high").groupBy("shingle", "low", "high").applyInPandas(_apart, "a long, b long").distinct()
     return known.unionByName(stored(_verified(rest, texts), "rest"))
 
 
-def drop_similar(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of similar texts."""
-    own = stored(_sets(docs), "sets")
-    roots = components(links(docs, own)).withColumnRenamed("node", "sid")
+def drop_similar(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component of similar texts; distance: of the fingerprints of links that SimHash proposes."""
+    named, back = renamed(docs)
+    own = stored(_sets(named), "sets")
+    roots = components(links(named, own, distance)).withColumnRenamed("node", "sid")
     best = F.min(F.struct(*KEYS)).alias("best")
     classes = own.groupBy("sid", salt(F.col("__id"), SALTS).alias("salt")).agg(best).groupBy("sid").agg(F.min("best").alias("best"))
-    named = classes.join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "best")
+    rooted = classes.join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "best")
     best = F.min("best").alias("best")
-    stay = named.groupBy("root", salt(F.col("best"), SALTS).alias("salt")).agg(best).groupBy("root").agg(best).select("best.*")
-    kept = docs.select("*", *_keys()).join(stay, KEYS, "left_semi")
-    return kept.dropDuplicates(KEYS).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = rooted.groupBy("root", salt(F.col("best"), SALTS).alias("salt")).agg(best).groupBy("root").agg(best).select("best.*")
+    kept = named.select("*", *_keys()).join(stay, KEYS, "left_semi")
+    return back(kept.dropDuplicates(KEYS))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from spandrel.llm import similar
 from tests.llm.conftest import words
 
-KIND = "doc_id long, text string, lang string"
+KIND = "doc_id long, text string, __id string"
 
 
 def grams(text):
@@ -60,11 +60,19 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, small, block):
     monkeypatch.setattr(similar, "BLOCK", block)
     rows = corpus()
     kept = corpus_pipeline.near_stage(spark, spark.createDataFrame([(i, t, "en") for i, t in rows], KIND), "")
-    assert kept.columns == ["doc_id", "text", "lang"]
+    assert kept.columns == ["doc_id", "text", "__id"]
     assert sorted(r["doc_id"] for r in kept.collect()) == smallest_of_each(rows)
     assert corpus_pipeline.near_stage(spark, kept.limit(0), "").count() == 0
 
 
+def test_stage_with_null_and_repeated_ids(spark):
+    texts = {k: words(40 + k, 80) for k in range(6)}
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4] + " and a longer end"), (7, texts[3]), (8, texts[2]), (None, texts[5]), (None, texts[5])]
+    got = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (8, texts[2]), (7, texts[3]), (7, texts[4] + " and a longer end"), (None, texts[5])]
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in want)
+
+
 def test_bitmaps_never_differ_more_than_sets():
     r = random.Random(2)
     for _ in range(50):
