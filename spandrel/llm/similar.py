@@ -35,7 +35,7 @@ WORDS, SEED, SALTS = 5, 42, 64
 SMALL, FIRST, BLOCK = 16, 4, 512
 BITMAP = 1_024
 #: Bits in which fingerprints of proposed links differ, and cells in which shingles are counted.
-DISTANCE, CELLS, SUMS = 3, 1 << 18, 16
+DISTANCE, CELLS, SUMS = 3, 1 << 16, 8
 
 KEYS = ["__null", "__id", "__hash"]
 _ROW = "sid long, fp long, n int, first array<long>, bitmap array<long>"
