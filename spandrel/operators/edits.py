@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from spandrel.operators.intervals import complement, overlap_join
 KEEP_RATIO, MOST_CLIP_MS, SNAP_MS, MOST_CHAPTERS = 0.6, 45_000, 4_000, 12
 LEAST_MINUTES, MOST_MINUTES, FOOTAGE_SHARE = 3, 25, 0.25
 CHANGED_MS, TOP_CHOICES, CUT_FLOOR = 300, 6, 1.0
-MODE_SHARE = 3
+MODE_SHARE, LEAST_SHOT_MS = 3, 1_000
 
 
 def score_candidates(requests: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -106,27 +106,38 @@ def rule_outline(candidates: DataFrame) -> DataFrame:
 
 
 def _left_out(rows: pd.DataFrame) -> pd.DataFrame:
+    """Scenes of one project that go. A kind goes before the next one begins, so each kind has a heap of its sources, by the time that they keep."""
     rows = rows.sort_values("day_order").reset_index(drop=True)
-    kind = np.where(rows["taste"].notna(), rows["taste"].fillna(0), np.where(rows["mine"] > 0, 2, np.where(rows["others"] > 0, 1, 0)))
-    budget, total = KEEP_RATIO * float(rows["target_ms"].iloc[0]), int(rows["ms"].sum())
-    by_source = rows.groupby("source")["ms"].sum().to_dict()
-    free = {i for i in range(len(rows)) if not (i in (0, len(rows) - 1) and not (pd.notna(rows["taste"][i]) and rows["taste"][i] == 0))}
-    out = []
-    while total > budget and free and len(rows) > 2:
-        i = min(free, key=lambda k: (kind[k], -by_source[rows["source"][k]], -k))
-        free.discard(i)
-        out.append((rows["project"][i], rows["candidate"][i], len(out)))
-        by_source[rows["source"][i]] -= rows["ms"][i]
-        total -= rows["ms"][i]
-    return pd.DataFrame(out, columns=["project", "candidate", "dropped"])
-
-
-def leave_out(scenes: DataFrame, targets: DataFrame) -> DataFrame:
+    scored = rows["taste"].notna()
+    kind = rows["taste"].where(scored, np.select([rows["mine"] > 0, rows["others"] > 0], [2, 1], 0))
+    ends = rows.index.isin([0, len(rows) - 1])
+    guarded = ends & ~(rows["taste"] == 0) | ((rows["mine"] > 0) & bool(rows["keep_mine"].iloc[0] and not scored.any()))
+    excess = rows["ms"].sum() - KEEP_RATIO * rows["target_ms"].iloc[0]
+    kept = rows.groupby("source")["ms"].sum().to_dict()
+    gone: list[int] = []
+    if len(rows) > 2:
+        for _, alike in rows[~guarded].groupby(kind[~guarded], sort=True):
+            waiting = {source: list(own.index) for source, own in alike.groupby("source")}  # the latest last
+            heap = [(-kept[source], -places[-1], source) for source, places in waiting.items()]
+            heapify(heap)
+            while heap and excess > 0:
+                source = heappop(heap)[2]
+                place = waiting[source].pop()
+                gone.append(place)
+                kept[source] -= rows["ms"][place]
+                excess -= rows["ms"][place]
+                if waiting[source]:
+                    heappush(heap, (-kept[source], -waiting[source][-1], source))
+    return rows.loc[gone, ["project", "candidate"]].assign(dropped=np.arange(len(gone), dtype=np.int64))
+
+
+def leave_out(scenes: DataFrame, targets: DataFrame, keep_mine: bool = False) -> DataFrame:
     """(project, candidate, dropped): scenes left out, in that order, until the rest takes 0.6 of the target.
 
     scenes: project, candidate, source, day_order, ms, mine, others, taste. targets: project, target_ms. A project's scenes are one group.
+    keep_mine: where no scene has a taste score, scenes with a line of mine stay.
     """
-    given = scenes.join(targets, "project").withColumn("taste", F.col("taste").cast("double"))
+    given = scenes.join(targets, "project").withColumns({"taste": F.col("taste").cast("double"), "keep_mine": F.lit(keep_mine)})
     return given.groupBy("project").applyInPandas(_left_out, "project long, candidate long, dropped long")
 
 
@@ -139,47 +150,52 @@ def clip_bounds(moments: DataFrame, durations: DataFrame) -> DataFrame:
     return known.withColumns({"__low": low, "__high": high}).select(*moments.columns, F.least("__low", "start_ms").cast("long").alias("low_ms"), F.greatest("__high", "end_ms").cast("long").alias("high_ms"))
 
 
-def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("position").reset_index(drop=True)
-    a, z, low, high = (rows[c].to_numpy(np.float64) for c in ("start_ms", "end_ms", "low_ms", "high_ms"))
-    target = float(rows["target_ms"].iloc[0])
-    spoken = [sorted((int(s["a"]), int(s["z"])) for s in said) for said in rows["speech"]]
-
-    def clips(pad: float) -> tuple[np.ndarray, np.ndarray]:
-        grow = np.clip((MOST_CLIP_MS - (z - a)) / 2, 0, pad)
-        start, end = np.maximum(low, a - grow), np.minimum(high, z + grow)
-        for i in np.flatnonzero(grow > 0):
-            for s, e in spoken[i]:
-                if s < start[i] < e and start[i] - s <= SNAP_MS and s >= low[i]:
-                    start[i] = s
-                if s < end[i] < e and e - end[i] <= SNAP_MS and e <= high[i]:
-                    end[i] = e
-        return np.rint(start), np.rint(end)
-
-    def total(c: tuple[np.ndarray, np.ndarray]) -> float:
-        return float((c[1] - c[0]).sum())
-
-    best = clips(0.0)
-    if total(best) < target:
-        best = clips(MOST_CLIP_MS)
-        if total(best) > target:
-            least, most = 0.0, float(MOST_CLIP_MS)
-            for _ in range(40):
-                middle = (least + most) / 2
-                least, most = (least, middle) if total(clips(middle)) >= target else (middle, most)
-            best = clips(most)
-    return pd.DataFrame({"project": rows["project"], "position": rows["position"], "clip_start_ms": best[0].astype(np.int64), "clip_end_ms": best[1].astype(np.int64)})
+def _sentence_holds(bounded: DataFrame, speech: DataFrame) -> DataFrame:
+    """(project, position, side, from_ms, to_ms): growth of a side from from_ms on that is carried on to a sentence's edge at to_ms.
+
+    A side that ends inside a sentence, within SNAP_MS of its edge, goes on to the edge if that is within the bounds.
+    """
+    met = overlap_join(bounded.select("project", "position", "source", "start_ms", "end_ms", "low_ms", "high_ms"), speech.select("source", "start_ms", "end_ms"), ["source"], MOST_CLIP_MS)
+    ways = [("L", F.col("a_start_ms") - F.col("b_start_ms"), F.col("a_start_ms") - F.col("b_end_ms"), F.col("a_start_ms") - F.col("a_low_ms")), ("R", F.col("b_end_ms") - F.col("a_end_ms"), F.col("b_start_ms") - F.col("a_end_ms"), F.col("a_high_ms") - F.col("a_end_ms"))]
+    holds = F.array(*[F.struct(F.lit(side).alias("side"), F.greatest(to - SNAP_MS, begins, F.lit(0)).alias("from_ms"), to.alias("to_ms"), room.alias("room_ms")) for side, to, begins, room in ways])
+    rows = met.select(F.col("a_project").alias("project"), F.col("a_position").alias("position"), F.explode(holds).alias("h")).select("project", "position", "h.*").filter("from_ms < to_ms AND to_ms <= room_ms")
+    before = F.max("to_ms").over(Window.partitionBy("project", "position", "side").orderBy("from_ms", "to_ms").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("from_ms", F.greatest("from_ms", F.coalesce(before, F.lit(0)))).filter("from_ms < to_ms").drop("room_ms")
 
 
 def fit_to_length(bounded: DataFrame, speech: DataFrame, targets: DataFrame) -> DataFrame:
     """(project, position, clip_start_ms, clip_end_ms): all moments of a project grow by one padding until the target is met, clips end with sentences.
 
-    bounded: from clip_bounds. speech: source, start_ms, end_ms. Only sentences near a moment reach the project's group.
+    bounded: from clip_bounds. speech: source, start_ms, end_ms. How much a project gains from a padding is a line with bends and
+    steps where a side begins to grow, is carried on to a sentence's edge, or reaches its limit. The bends are added up in order of padding,
+    and the least padding that meets the target is read from the line, so no project is gathered in one place.
     """
-    near = overlap_join(bounded.select("project", "position", "source", "start_ms", "end_ms"), speech.select("source", "start_ms", "end_ms"), ["source"], MOST_CLIP_MS)
-    said = near.groupBy(F.col("a_project").alias("project"), F.col("a_position").alias("position")).agg(F.collect_list(F.struct(F.col("b_start_ms").alias("a"), F.col("b_end_ms").alias("z"))).alias("speech"))
-    given = bounded.join(said, ["project", "position"], "left").join(targets, "project").withColumn("speech", F.coalesce("speech", F.array().cast("array<struct<a:bigint,z:bigint>>")))
-    return given.groupBy("project").applyInPandas(_fitted, "project long, position long, clip_start_ms long, clip_end_ms long")
+    grow = F.greatest(F.lit(0.0), (MOST_CLIP_MS - (F.col("end_ms") - F.col("start_ms"))) / 2)
+    sides = F.array(F.struct(F.lit("L").alias("side"), F.least(grow, F.col("start_ms") - F.col("low_ms")).alias("limit_ms")), F.struct(F.lit("R").alias("side"), F.least(grow, F.col("high_ms") - F.col("end_ms")).alias("limit_ms")))
+    key = ["project", "position", "side"]
+    limited = bounded.select("project", "position", F.explode(sides).alias("s")).select("project", "position", "s.*").filter("limit_ms > 0")
+    holds = _sentence_holds(bounded, speech).join(limited, key).filter("from_ms <= limit_ms")
+    held_last = holds.filter("to_ms > limit_ms").select(*key).distinct()
+
+    bend = lambda df, at, step, slope: df.select("project", F.col(at).cast("double").alias("pad"), step.cast("double").alias("step"), F.lit(slope).alias("slope"))
+    none = F.lit(0)
+    bends = bend(limited.withColumn("zero", none), "zero", none, 1).unionByName(bend(limited.join(held_last, key, "left_anti"), "limit_ms", none, -1))
+    bends = bends.unionByName(bend(holds, "from_ms", F.col("to_ms") - F.col("from_ms"), -1)).unionByName(bend(holds.filter("to_ms <= limit_ms"), "to_ms", none, 1))
+    base = bounded.groupBy("project").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("base_ms")).join(targets, "project").filter("base_ms < target_ms")
+    at_bend = bends.groupBy("project", "pad").agg(F.sum("step").alias("step"), F.sum("slope").alias("slope")).join(base, "project")
+    w = Window.partitionBy("project").orderBy("pad").rowsBetween(Window.unboundedPreceding, 0)
+    line = at_bend.select("project", "pad", "target_ms", F.sum("slope").over(w).alias("rise"), (F.col("base_ms") + F.sum(F.col("step") - F.col("slope") * F.col("pad")).over(w)).alias("level"))
+    reached = F.col("level") + F.col("rise") * F.col("pad")
+    meets = F.when(reached >= F.col("target_ms"), F.col("pad")).when(F.col("rise") > 0, (F.col("target_ms") - F.col("level")) / F.col("rise"))
+    following = F.lead("pad").over(Window.partitionBy("project").orderBy("pad"))
+    pads = line.withColumns({"meets": meets, "following": following}).filter("meets < following OR following IS NULL").groupBy("project").agg(F.min("meets").alias("pad"))
+    pads = base.select("project").join(pads, "project", "left").select("project", F.coalesce("pad", F.lit(float(MOST_CLIP_MS))).alias("pad"))
+
+    grown = limited.join(pads, "project").withColumn("own_ms", F.least("pad", "limit_ms"))
+    carried = grown.join(holds.select(*key, "from_ms", "to_ms"), key).filter("from_ms <= own_ms AND own_ms < to_ms").groupBy(*key).agg(F.max("to_ms").alias("carried_ms"))
+    out = grown.join(carried, key, "left").groupBy("project", "position").pivot("side", ["L", "R"]).agg(F.max(F.coalesce("carried_ms", "own_ms")))
+    by = lambda side: F.coalesce(F.rint(side).cast("long"), F.lit(0))
+    return bounded.join(targets.select("project"), "project", "left_semi").join(out, ["project", "position"], "left").select("project", "position", (F.col("start_ms") - by("L")).alias("clip_start_ms"), (F.col("end_ms") + by("R")).alias("clip_end_ms"))
 
 
 def rule_minutes(sources: DataFrame) -> DataFrame:
@@ -260,38 +276,51 @@ def item_runs(shots: DataFrame, layers: tuple[str, ...] = ("layer",)) -> DataFra
 
 
 def reel_clips(shots: DataFrame, pace_ms: int) -> DataFrame:
-    """shots (project, shot, start_ms, end_ms, speech_start_ms, speech_end_ms) with the middle clip of pace_ms, widened to the speech in the shot."""
-    middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
-    low, high = F.greatest("start_ms", middle - pace_ms // 2), F.least("end_ms", middle + pace_ms - pace_ms // 2)
-    wide_low, wide_high = F.least(low, F.greatest("start_ms", F.coalesce("speech_start_ms", low))), F.greatest(high, F.least("end_ms", F.coalesce("speech_end_ms", high)))
-    return shots.select("project", "shot", "start_ms", "end_ms", wide_low.cast("long").alias("clip_start_ms"), wide_high.cast("long").alias("clip_end_ms"))
+    """shots (project, shot, start_ms, end_ms, speech_start_ms, speech_end_ms) with a clip of about pace_ms each: from the middle, or from its speech on.
+
+    A clip is LEAST_SHOT_MS long at least, if the shot is; one with speech goes on to the end of the speech, to twice the pace at most.
+    """
+    length = F.least(F.col("end_ms") - F.col("start_ms"), F.lit(max(pace_ms, LEAST_SHOT_MS)))
+    said = F.col("speech_start_ms").isNotNull() & F.col("speech_end_ms").isNotNull()
+    start = F.when(said, F.greatest("start_ms", F.least(F.col("speech_start_ms"), F.col("end_ms") - length))).otherwise(F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms") - length) / 2))
+    placed = shots.withColumns({"clip_start_ms": start.cast("long"), "length_ms": length})
+    end = F.when(said, F.least("end_ms", F.greatest(F.col("speech_end_ms"), F.col("clip_start_ms") + F.col("length_ms")), F.col("clip_start_ms") + F.greatest(F.col("length_ms"), F.lit(2 * pace_ms)))).otherwise(F.col("clip_start_ms") + F.col("length_ms"))
+    return placed.select("project", "shot", "start_ms", "end_ms", "clip_start_ms", end.cast("long").alias("clip_end_ms"))
 
 
 def _reel(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("shot").reset_index(drop=True)
-    target = float(rows["target_ms"].iloc[0])
-    length = (rows["clip_end_ms"] - rows["clip_start_ms"]).to_numpy(np.int64)
-    used = [i for i in range(len(rows)) if rows["chosen"][i]]
-    spare = [i for i in range(len(rows)) if not rows["chosen"][i]]
-    total = int(length[used].sum()) if used else 0
-    while total > 1.1 * target and len(used) > 2:
-        total -= int(length[used.pop(len(used) // 2)])
-    for i in spare:
-        if total >= 0.9 * target:
-            break
-        if total + length[i] <= 1.1 * target:
-            used.insert(bisect_left(used, i), i)
-            total += int(length[i])
-    start, end = rows["clip_start_ms"].to_numpy(np.int64).copy(), rows["clip_end_ms"].to_numpy(np.int64).copy()
-    for i in used:
-        if total >= 0.9 * target:
-            break
-        room = max(0, min(int(rows["end_ms"][i]) - int(end[i]), int(1.1 * target) - total))
-        end[i] += room
-        total += room
-    return pd.DataFrame({"project": rows["project"].iloc[0], "shot": rows["shot"].to_numpy()[used], "clip_start_ms": start[used], "clip_end_ms": end[used]})
-
-
-def fit_reel(clips: DataFrame, targets: DataFrame) -> DataFrame:
-    """(project, shot, clip_start_ms, clip_end_ms): chosen clips, with middle ones dropped, unused ones added or ends grown to within a tenth of the target. clips: reel_clips and chosen."""
-    return clips.join(targets, "project").groupBy("project").applyInPandas(_reel, "project long, shot long, clip_start_ms long, clip_end_ms long")
+    """One project's clips, by running sums: how many go from the middle outwards, how many unused ones come in, how many grow."""
+    target, pace = float(rows["target_ms"].iloc[0]), float(rows["pace_ms"].iloc[0])
+    rows = rows.sort_values(["hook", "shot"], ascending=[False, True]).reset_index(drop=True)
+    rows["length"] = (rows["clip_end_ms"] - rows["clip_start_ms"]).astype(float)
+    used = rows[rows["chosen"]]
+    rest = used.iloc[1:]
+    outwards = rest.iloc[np.lexsort((np.arange(len(rest)), np.abs(np.arange(len(rest)) - (len(rest) - 1) / 2)))]
+    left = used["length"].sum() - np.concatenate([[0.0], outwards["length"].cumsum()])
+    most = max(0, len(used) - 2)
+    go = min(most, int(np.argmax(left <= 1.1 * target)) if (left <= 1.1 * target).any() else most)
+    used, total = used.drop(outwards.index[:go]), left[go]
+    spare = rows.drop(used.index).sort_values("shot")
+    after = total + np.concatenate([[0.0], spare["length"].cumsum()])
+    come = int(np.argmax(after >= 0.9 * target)) if (after >= 0.9 * target).any() else len(spare)
+    used, total = pd.concat([used, spare.iloc[:come]]).sort_index(), after[come]
+
+    low, high = used["clip_start_ms"].to_numpy(float), used["clip_end_ms"].to_numpy(float)
+    first, last = used["start_ms"].to_numpy(float), used["end_ms"].to_numpy(float)
+    room = np.maximum(0.0, np.minimum(last - first, 1.6 * pace) - (high - low))
+    wide_low = np.maximum(first, low - room / 2)
+    gain = np.minimum(last, wide_low + high - low + room) - wide_low - (high - low)
+    before = total + np.concatenate([[0.0], np.cumsum(gain)[:-1]])
+    by = np.where(before < 0.9 * target, np.clip(np.minimum(room, target - before), 0, None), 0.0)
+    new_low = np.where(by > 0, np.maximum(first, low - by / 2), low)
+    new_high = np.where(by > 0, np.minimum(last, new_low + high - low + by), high)
+    return used[["project", "shot"]].assign(clip_start_ms=np.rint(new_low).astype(np.int64), clip_end_ms=np.rint(new_high).astype(np.int64))
+
+
+def fit_reel(clips: DataFrame, targets: DataFrame, pace_ms: int) -> DataFrame:
+    """(project, shot, clip_start_ms, clip_end_ms): chosen clips to within a tenth of the target.
+
+    clips: reel_clips, chosen and hook (the clip that opens the reel and stays). Where they are too long, clips go from the middle outwards, two stay; where
+    they are too short, unused ones come in by shot, then clips grow around themselves to 1.6 times the pace, the hook first.
+    """
+    return clips.join(targets, "project").withColumn("pace_ms", F.lit(pace_ms)).groupBy("project").applyInPandas(_reel, "project long, shot long, clip_start_ms long, clip_end_ms long")

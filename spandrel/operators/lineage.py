@@ -12,10 +12,32 @@ DEPENDS = {"GROUPING": ("DISCOVERY", "MEMO_DISCOVERY"), "SELECTION": ("GROUPING"
 STAGES = ("PROBE", "AUDIO_EXTRACTION", "STT", "MEMO_DETECTION")
 
 
+#: How a memo's work may end without a candidate.
+ABSTENTIONS = ("AMBIGUOUS", "NO_MATCH", "INSUFFICIENT_EVIDENCE", "UNSUPPORTED")
+
+
+def with_validity(works: DataFrame, links: DataFrame, memo_types: Sequence[str], promotion_types: Sequence[str]) -> DataFrame:
+    """works (id, work_type, status, result_ref, result_fp, ...) with valid: completed, with a result, and with the links (work, candidate) that the result names.
+
+    A memo's work names one candidate or a known abstention; a promotion's work names its number of candidates.
+    """
+    counted = works.join(links.groupBy(F.col("work").alias("id")).agg(F.count(F.lit(1)).alias("__links")), "id", "left").withColumn("__links", F.coalesce("__links", F.lit(0)))
+    ref = F.coalesce("result_ref", F.lit(""))
+    memo = F.when(ref.startswith("abstain:"), F.substring_index(ref, "abstain:", -1).isin(*ABSTENTIONS)).otherwise(ref.startswith("candidate:") & (F.col("__links") == 1))
+    promotion = F.regexp_extract(ref, r"^autonomous:candidates:(\d+)$", 1) == F.col("__links").cast("string")
+    named = F.when(F.col("work_type").isin(*memo_types), memo).when(F.col("work_type").isin(*promotion_types), promotion).otherwise(F.lit(True))
+    valid = (F.col("status") == "COMPLETED") & (ref != "") & (F.coalesce("result_fp", F.lit("")) != "") & named
+    return counted.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("__links")
+
+
 def active_candidates(works: DataFrame, links: DataFrame) -> DataFrame:
-    """(project, candidate) linked to the latest completed work of each (project, work_type, source); a work without links counts as the latest still."""
-    newest = F.max_by(F.struct("id"), F.struct("created_on", "id"))
-    latest = works.filter("status = 'COMPLETED'").groupBy("project", "work_type", "source").agg(newest.alias("w")).select("project", F.col("w.id").alias("work"))
+    """(project, candidate) linked to the latest completed work of each (project, work_type, source), if that is valid (where works say so).
+
+    A work without links, and one that isn't valid, counts as the latest still.
+    """
+    valid = F.col("valid") if "valid" in works.columns else F.lit(True)
+    newest = F.max_by(F.struct("id", valid.alias("valid")), F.struct("created_on", "id"))
+    latest = works.filter("status = 'COMPLETED'").groupBy("project", "work_type", "source").agg(newest.alias("w")).filter("w.valid").select("project", F.col("w.id").alias("work"))
     return latest.join(links, "work").select("project", "candidate").distinct()
 
 
@@ -54,6 +76,15 @@ def resume_plan(specs: DataFrame, works: DataFrame, cutoff) -> DataFrame:
     return found.withColumn("decision", decision).withColumn("reason", reason).select(*key, "decision", "reason", F.coalesce(e["id"], n["id"]).alias("work"))
 
 
+def invalidated(plan: DataFrame, depends: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """(project, source, work_type): kinds of work that build on what a resume plan finds changed or invalid, directly or not."""
+    depends = DEPENDS if depends is None else depends
+    kinds = sorted(set(depends) | {k for on in depends.values() for k in on})
+    below = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[F.lit(d) for d in downstream(k, depends)]).cast("array<string>"))])  # of a fixed size
+    changed = plan.filter(F.col("reason").isin("INPUT_CHANGED", "CONFIG_CHANGED", "PRODUCER_CHANGED", "RESULT_INVALID"))
+    return changed.select("project", "source", F.explode(F.try_element_at(below, F.col("work_type"))).alias("work_type")).distinct()
+
+
 def stage_plan(stages: DataFrame) -> DataFrame:
     """(source, first_stage, reusable, execute, reason): from the first stage (source, stage, status, valid) that can't be used on; speech-to-text needs its audio again."""
     order = F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("stage")) - 1
@@ -81,12 +112,16 @@ def next_attempts(works: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def project_summary(outcomes: DataFrame) -> DataFrame:
-    """(project, sources, completed, failed, blocked, remaining, progress, status) from one outcome for each source."""
-    n = lambda x: F.count_if(F.col("outcome") == x)
-    counted = outcomes.groupBy("project").agg(F.count(F.lit(1)).alias("sources"), n("COMPLETED").alias("completed"), n("FAILED").alias("failed"), n("BLOCKED").alias("blocked"))
-    left = F.col("sources") - F.col("completed") - F.col("failed") - F.col("blocked")
-    status = F.when(F.col("blocked") > 0, "PROCESSING").when(left > 0, "PENDING").when(F.col("failed") == 0, "COMPLETED").when(F.col("completed") == 0, "FAILED").otherwise("PARTIALLY_FAILED")
-    return counted.select("*", left.alias("remaining"), (F.col("completed") / F.col("sources")).alias("progress"), status.alias("status"))
+    """(project, sources, processed, reused, completed, failed, blocked, remaining, progress, status) from one outcome for each source.
+
+    outcomes: project, source, outcome (PROCESSED, REUSED, FAILED, BLOCKED, REMAINING), attempted, source_status. Completed are those
+    processed or reused whose source is complete.
+    """
+    n = lambda *x: F.count_if(F.col("outcome").isin(*x))
+    done = F.count_if(F.col("outcome").isin("PROCESSED", "REUSED") & (F.col("source_status") == "COMPLETED"))
+    counted = outcomes.groupBy("project").agg(F.count(F.lit(1)).alias("sources"), F.count_if("attempted").alias("processed"), n("REUSED").alias("reused"), done.alias("completed"), n("FAILED").alias("failed"), n("BLOCKED").alias("blocked"), n("REMAINING").alias("remaining"))
+    status = F.when((F.col("blocked") > 0) | (F.col("remaining") > 0), "PROCESSING").when(F.col("failed") == F.col("sources"), "FAILED").when(F.col("failed") > 0, "COMPLETED_WITH_WARNINGS").otherwise("COMPLETED")
+    return counted.select("*", ((F.col("completed") + F.col("failed")) / F.col("sources")).alias("progress"), status.alias("status"))
 
 
 def project_list(projects: DataFrame, sources: DataFrame, plans: DataFrame, renders: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -30,12 +30,22 @@ def candidate_snapshot(candidates: DataFrame, sources: DataFrame, excerpts: Data
     return out.select("project", "candidate", "source", "source_order", "fingerprint", "start_ms", "end_ms", tokens(F.col("text")).alias("tokens"), F.coalesce("evidence_keys", F.array().cast("array<string>")).alias("evidence_keys"))
 
 
-def _bucket_pairs(rows: DataFrame, key: list[str], reason: str, most: int | None, focus: DataFrame | None) -> DataFrame:
+def _copy_pairs(snapshot: DataFrame, reason: str, focus: DataFrame | None) -> DataFrame:
+    """Each candidate with the least one that has its source content and interval: copies are not expanded into all their pairs."""
+    same = ["project", "fingerprint", "start_ms", "end_ms"]
+    rows = snapshot.filter("fingerprint IS NOT NULL AND fingerprint <> ''").select(*same, "candidate")
+    met = rows.join(rows.groupBy(*same).agg(F.min("candidate").alias("left_id")), same).filter("left_id < candidate").select("project", "left_id", F.col("candidate").alias("right_id")).distinct()
+    if focus is not None:
+        ends = [focus.select(F.col("candidate").alias(k)) for k in ("left_id", "right_id")]
+        met = met.join(ends[0], "left_id", "left_semi").unionByName(met.join(ends[0], "left_id", "left_anti").join(ends[1], "right_id", "left_semi"))
+    return met.select("project", "left_id", "right_id", F.lit(reason).alias("reason"))
+
+
+def _bucket_pairs(rows: DataFrame, key: list[str], reason: str, most: int, focus: DataFrame | None) -> DataFrame:
     """Pairs of candidates in one bucket. With a focus, one side of the join is the focus alone."""
     rows = rows.select("project", *key, "candidate").distinct()
-    if most is not None:
-        sizes = rows.groupBy("project", *key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most))
-        rows = rows.join(sizes.drop("n"), ["project", *key], "left_semi")
+    sizes = rows.groupBy("project", *key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most))
+    rows = rows.join(sizes.drop("n"), ["project", *key], "left_semi")
     left = rows if focus is None else rows.join(focus, "candidate", "left_semi")
     on = ["project", *key]
     met = left.withColumnRenamed("candidate", "a").join(rows.withColumnRenamed("candidate", "b"), on).filter("a < b" if focus is None else "a <> b")
@@ -44,7 +54,7 @@ def _bucket_pairs(rows: DataFrame, key: list[str], reason: str, most: int | None
 
 def candidate_pairs(snapshot: DataFrame, focus: DataFrame | None = None, most: int = MOST_IN_BUCKET, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(project, left_id, right_id, reasons): pairs with the reasons that keep them; with focus (candidate), only pairs that touch it."""
-    exact = _bucket_pairs(snapshot.filter("fingerprint IS NOT NULL AND fingerprint <> ''"), ["fingerprint", "start_ms", "end_ms"], "EXACT_SOURCE_INTERVAL", None, focus)
+    exact = _copy_pairs(snapshot, "EXACT_SOURCE_INTERVAL", focus)
     words = _bucket_pairs(snapshot.select("project", "candidate", F.explode("tokens").alias("token")), ["token"], "TRANSCRIPT_OVERLAP", most, focus)
     kinds = _bucket_pairs(snapshot.select("project", "candidate", F.explode("evidence_keys").alias("evidence_key")), ["evidence_key"], "EVIDENCE_TYPE_OVERLAP", most, focus)
     pairs = exact.unionByName(words).unionByName(kinds)
@@ -83,9 +93,8 @@ def pair_summary(pairs: DataFrame, snapshot: DataFrame, focus: DataFrame | None
 
 
 def duplicate_relations(snapshot: DataFrame, existing: DataFrame) -> DataFrame:
-    """(project, left_id, right_id) of candidates with the same source content and interval, without those that exist."""
-    pairs = _bucket_pairs(snapshot.filter("fingerprint IS NOT NULL AND fingerprint <> ''"), ["fingerprint", "start_ms", "end_ms"], "", None, None)
-    return pairs.drop("reason").join(existing, ["project", "left_id", "right_id"], "left_anti")
+    """(project, left_id, right_id) of candidates and the least one with their source content and interval, without those that exist."""
+    return _copy_pairs(snapshot, "", None).drop("reason").join(existing, ["project", "left_id", "right_id"], "left_anti")
 
 
 def reconcile_groups(current: DataFrame, desired: DataFrame, foreign: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from itertools import count, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.operators.intervals import overlap_join
+from spandrel.operators.intervals import asof, overlap_join
 
 BLOCK_GAP_MS = 2_000
 VOICE_THRESHOLD = 0.30
@@ -23,6 +24,8 @@ COUNTING = "하나|둘|셋|넷|다섯|여섯|일곱|여덟|아홉|열|원|투|
 FOREIGN = r"[Ͱ-ϿЀ-ӿ぀-ヿ一-鿿]"
 MOST_CAPTION = 20
 
+_SPOKEN = re.compile(r"[^\W_]")  # what can't stand between words
+
 
 def transcript_blocks(segments: DataFrame, gap_ms: int = BLOCK_GAP_MS) -> DataFrame:
     """(source, block, start_ms, end_ms, first_position, last_position, segment_ids, text): a new block after a gap above gap_ms."""
@@ -37,12 +40,14 @@ def transcript_blocks(segments: DataFrame, gap_ms: int = BLOCK_GAP_MS) -> DataFr
 def latest_block(memos: DataFrame, segments: DataFrame, gap_ms: int = BLOCK_GAP_MS) -> DataFrame:
     """(memo, start_ms, end_ms): the last block of the segments that end before the memo starts, cut from those segments only.
 
-    The last block begins where the last gap is, so the segments after that gap are all that counts.
+    The last block begins where the last gap is. Each segment carries the last gap up to it, and each memo looks up the segment that ended last.
     """
     said = segments.withColumn("gap_ms", F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy("source").orderBy("start_ms", "position")))
-    before = memos.select("memo", "source", F.col("start_ms").alias("memo_ms")).join(said, "source").filter("end_ms <= memo_ms")
-    last_gap = F.max(F.when(F.coalesce("gap_ms", F.lit(gap_ms + 1)) > gap_ms, F.col("start_ms")))
-    return before.groupBy("memo").agg(last_gap.alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    opens = F.when(F.coalesce("gap_ms", F.lit(gap_ms + 1)) > gap_ms, F.col("start_ms"))
+    ended = Window.partitionBy("source").orderBy("end_ms")  # segments that end together count together
+    blocks = said.select("source", F.col("end_ms").alias("time_ms"), F.struct(F.max(opens).over(ended).alias("start_ms"), "end_ms").alias("block"))
+    found = asof(memos.select("memo", "source", F.col("start_ms").alias("time_ms")), blocks, ["source"], "block")
+    return found.filter("backward_block IS NOT NULL").select("memo", "backward_block.start_ms", "backward_block.end_ms")
 
 
 def speech_in(candidates: DataFrame, segments: DataFrame, limit: int = 160, context_ms: int = 0, mark: bool = True) -> DataFrame:
@@ -133,24 +138,42 @@ def drop_noise(lines: DataFrame) -> DataFrame:
     return kept.withColumn("bare", bare).withColumn("before", before).filter("before IS NULL OR bare <> before").drop("bare", "before")
 
 
+def _located(text: str, tokens: Sequence[str]) -> list[tuple[int, int]] | None:
+    """Where the text says each token, one after the other with nothing but separators around them; None if it says anything else."""
+    spots, reached = [], 0
+    for token in tokens:
+        at = text.find(token, reached) if token else -1
+        if at < 0 or _SPOKEN.search(text, reached, at):
+            return None
+        reached = at + len(token)
+        spots.append((at, reached))
+    return None if _SPOKEN.search(text, reached) else spots
+
+
 def _spoken(text: str | None, words: Sequence[dict], picked: Sequence[int]) -> str:
-    said = [str(words[i]["text"] or "") for i in picked]
-    tokens = [str(w["text"] or "").strip() for w in words]
-    gap = r"((?:[^\w]|_)*?)"
-    found = re.fullmatch(gap + gap.join(re.escape(t) for t in tokens) + r"((?:[^\w]|_)*)", text or "", re.S) if tokens and all(tokens) else None
-    if found is None:
-        return " ".join("".join(said).split())
-    parts = [found[1] if picked[0] == 0 else ""]
-    for k, i in enumerate(picked):
-        if k and i == picked[k - 1] + 1:
-            parts.append(found[i + 1] + tokens[i])
-        elif k:
-            blank = re.search(r"\s*$", found[i + 1])[0]
-            parts.append(blank + tokens[i] if blank else said[k])
-        else:
-            parts.append(tokens[i])
-    if picked[-1] == len(tokens) - 1:
-        parts.append(found[len(tokens) + 1])
+    """What the text says from the first picked word of each run to the last; between runs there is the blank before the next word, if any."""
+    raw = [str(w["text"] or "") for w in words]
+    spots = _located(text or "", [w.strip() for w in raw]) if raw else None
+    if spots is None:
+        return " ".join("".join(raw[i] for i in picked).split())
+    runs = [list(run) for _, run in groupby(picked, key=lambda i, n=count(): i - next(n))]
+    parts = []
+    for run in runs:
+        first, last = spots[run[0]][0], spots[run[-1]][1]
+        before = text[spots[run[0] - 1][1] if run[0] else 0 : first]
+        blank = before[len(before.rstrip()) :]
+        if run[0] == 0:
+            parts.append(before)
+        elif parts and not blank:
+            parts.append(raw[run[0]][: -len(raw[run[0]].lstrip())])  # the word's own blank
+            last_own = raw[run[0]][len(raw[run[0]].rstrip()) :]
+            parts.append(text[first : spots[run[0]][1]] + last_own)
+            first = spots[run[0]][1]
+        elif parts:
+            parts.append(blank)
+        parts.append(text[first:last])
+        if run[-1] == len(raw) - 1:
+            parts.append(text[last:])
     return " ".join("".join(parts).split())
 
 
@@ -170,7 +193,8 @@ def map_subtitles(plan: DataFrame, segments: DataFrame, measured: str | None = N
     shown = plan.withColumn("shown_ms", length if measured is None else F.col(measured).cast("long"))
     w = Window.partitionBy("project").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     placed = shown.withColumn("offset_ms", F.coalesce(F.sum("shown_ms").over(w), F.lit(0)).cast("long"))
-    met = overlap_join(placed.select("project", "position", "source", "start_ms", "end_ms", "shown_ms", "offset_ms"), segments.select("source", F.col("position").alias("segment"), "start_ms", "end_ms", "text", "words"), ["source"])
+    met = overlap_join(placed.select("project", "position", "source", "start_ms", "end_ms", "shown_ms", "offset_ms"), segments.select("source", F.col("position").alias("segment"), "start_ms", "end_ms"), ["source"])
+    met = met.join(segments.select(F.col("source").alias("b_source"), F.col("position").alias("b_segment"), F.col("text").alias("b_text"), F.col("words").alias("b_words")), ["b_source", "b_segment"])
     inside = F.filter(F.transform(F.coalesce("b_words", F.array()), lambda x, i: F.struct(i.alias("i"), x["start_ms"].alias("a"), x["end_ms"].alias("z"))), lambda x: (x["a"] < x["z"]) & (x["a"] >= F.col("b_start_ms")) & (x["z"] <= F.col("b_end_ms")) & (x["a"] < F.col("a_end_ms")) & (x["z"] > F.col("a_start_ms")))
     picked = met.withColumn("picked", inside)
     wordless = F.coalesce(F.size("b_words"), F.lit(0)) <= 0

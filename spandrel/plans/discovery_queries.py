@@ -167,6 +167,21 @@ def d4(v):
     return dc.select_proposals(dc.memo_proposals(regions, v.segments), regions)
 
 
+@R.add("d4_lexical_selection", f"""WITH {_PROPOSALS},
+n AS (SELECT r.memo, CASE WHEN r.memo % 3 <> 0 THEN lower(substr(s.text, 1, 25)) END AS ref FROM r JOIN v_memos m ON m.memo = r.memo JOIN v_segments s ON s.source = m.source AND s.position = m.memo % 2),
+needles AS (SELECT memo, list_distinct(list_filter(regexp_extract_all(ref, '[0-9a-z가-힣]+'), lambda t: length(t) > 1)) AS needle FROM n WHERE ref <> ''),
+words AS (SELECT p.memo, p.rank, list_distinct(flatten(list(regexp_extract_all(lower(s.text), '[0-9a-z가-힣]+')))) AS words FROM p, unnest(string_split(p.refs, ',')) AS u(ref) JOIN v_segments s ON s.source = p.source AND printf('segment-%04d', s.position + 1) = ref WHERE kind = 'TRANSCRIPT_BLOCK' AND rank <= 12 GROUP BY 1, 2),
+judged AS (SELECT p.memo, p.rank, needle IS NOT NULL AS lexical, CASE WHEN needle IS NULL THEN region_end_ms - p.end_ms BETWEEN 0 AND 2000 ELSE len(needle) > 0 AND list_has_all(coalesce(words, []), needle) END AS fits FROM p JOIN r ON r.memo = p.memo LEFT JOIN needles ON needles.memo = p.memo LEFT JOIN words w ON w.memo = p.memo AND w.rank = p.rank WHERE kind = 'TRANSCRIPT_BLOCK' AND p.rank <= 12),
+counted AS (SELECT memo, count(*) AS blocks, bool_or(lexical) AS lexical, count(*) FILTER (fits) AS fit, min(rank) FILTER (fits) AS sole FROM judged GROUP BY memo),
+told AS (SELECT r.memo, sole, CASE WHEN NOT supported THEN 'UNSUPPORTED_INTENT' WHEN blocks IS NULL THEN 'NO_TRANSCRIPT_PROPOSAL' WHEN lexical THEN CASE WHEN fit = 0 THEN 'LEXICAL_REFERENCE_NO_MATCH' WHEN fit > 1 THEN 'LEXICAL_REFERENCE_TIE' ELSE 'UNIQUE_LEXICAL_MATCH' END WHEN reference = 'EARLIER' THEN 'EARLIER_NEEDS_REFERENCE' WHEN fit = 0 THEN 'NO_JUST_NOW_TRANSCRIPT' WHEN fit > 1 THEN 'MULTIPLE_JUST_NOW_BLOCKS' ELSE 'UNIQUE_JUST_NOW_BLOCK' END AS reason FROM r LEFT JOIN counted c ON c.memo = r.memo)
+SELECT memo, CASE WHEN reason LIKE 'UNIQUE%' THEN 'SELECTED' WHEN reason IN ('NO_JUST_NOW_TRANSCRIPT', 'LEXICAL_REFERENCE_NO_MATCH') THEN 'NO_MATCH' WHEN reason IN ('MULTIPLE_JUST_NOW_BLOCKS', 'LEXICAL_REFERENCE_TIE') THEN 'AMBIGUOUS' ELSE 'INSUFFICIENT_EVIDENCE' END AS status, reason, CASE WHEN reason LIKE 'UNIQUE%' THEN sole END AS selected_rank FROM told""")
+def d4_lexical(v):
+    regions = d2(v)
+    first = v.segments.select("source", F.col("position").alias("first"), F.lower(F.substring("text", 1, 25)).alias("said"))
+    references = v.memos.withColumn("first", F.col("memo") % 2).join(first, ["source", "first"]).select("memo", F.when(F.col("memo") % 3 != 0, F.col("said")).alias("semantic_reference"))
+    return dc.select_proposals(dc.memo_proposals(regions, v.segments), regions, references, v.segments)
+
+
 @R.add("d5_validate_selections", f"""WITH {_PROPOSALS}, {_SELECTED}
 SELECT s.memo, CASE WHEN status <> 'SELECTED' THEN 'OK' WHEN q.start_ms IS NULL THEN 'NOT_IN_MANIFEST' WHEN NOT (region_start_ms <= q.start_ms AND q.start_ms < q.end_ms AND q.end_ms <= region_end_ms) THEN 'OUTSIDE_REGION' ELSE 'OK' END AS verdict
 FROM (SELECT memo, status, CASE WHEN status = 'SELECTED' THEN selected_rank + memo % 3 END AS selected_rank FROM s) s LEFT JOIN p q ON q.memo = s.memo AND q.rank = s.selected_rank AND q.rank <= 12 LEFT JOIN r ON r.memo = s.memo""")
@@ -177,7 +192,11 @@ def d5(v):
     return dc.validate_selections(moved, proposals, regions)
 
 
-@R.add("d6_escalations")
+@R.add("d6_escalations", f"""WITH {_PROPOSALS}, {_SELECTED},
+e AS (SELECT memo, CASE WHEN status = 'AMBIGUOUS' THEN 'AMBIGUOUS_TRANSCRIPT_PROPOSALS' WHEN reason = 'EARLIER_NEEDS_REFERENCE' THEN 'SEMANTIC_REFERENCE_UNRESOLVED' END AS why FROM s),
+q AS (SELECT p.memo, why, p.rank, p.source, l.ref FROM p JOIN e ON e.memo = p.memo, unnest(string_split(p.refs, ',')) AS l(ref) WHERE why IS NOT NULL AND p.rank <= 12 AND p.refs <> ''),
+t AS (SELECT memo, why, rank, left(string_agg(trim(g.text), ' ' ORDER BY g.position), 600) AS snippet FROM q JOIN v_segments g ON g.source = q.source AND printf('segment-%04d', g.position + 1) = q.ref WHERE trim(g.text) <> '' GROUP BY 1, 2, 3)
+SELECT memo, why, rank, snippet FROM (SELECT *, sum(length(snippet)) OVER (PARTITION BY memo ORDER BY rank) AS running FROM t) WHERE running <= 6000""")
 def d6(v):
     regions = d2(v)
     proposals = dc.memo_proposals(regions, v.segments)

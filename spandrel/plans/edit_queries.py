@@ -15,19 +15,18 @@ def facts(v: Views):
     return v.facts.withColumn("candidate", F.col("fact_order"))
 
 
-
-
 def requests(v: Views):
-    return v.table("customer").filter("c_custkey % 15 = 0").select(F.col("c_custkey").alias("request"), (F.col("c_custkey") % 10).alias("project"), F.array(F.concat(F.lit("source-"), F.col("c_nationkey").cast("string")), F.lit("click")).alias("keywords"), F.array(F.lit("error")).alias("excluded"), F.array(F.lit("AUDIO"), F.lit("VISUAL")).alias("categories"))
+    return v.table("customer").select(F.col("c_custkey").alias("request"), F.expr("c_custkey div 10").alias("project"), F.array(F.concat(F.lit("source-"), F.col("c_nationkey").cast("string")), F.lit("click")).alias("keywords"), F.array(F.lit("error")).alias("excluded"), F.array(F.lit("AUDIO"), F.lit("VISUAL")).alias("categories"))
 
 
 def spoken(v: Views):
-    return facts(v).select("project", "candidate", "source", "start_ms", "end_ms", F.concat_ws(" ", F.col("event_type"), F.concat(F.lit("source-"), F.col("source").cast("string"))).alias("speech"), F.col("modality").alias("category"))
+    """Candidates of projects that are one source each: as requests grow, so do projects."""
+    return facts(v).select(F.col("source").alias("project"), "candidate", "source", "start_ms", "end_ms", F.concat_ws(" ", F.col("event_type"), F.concat(F.lit("source-"), F.col("source").cast("string"))).alias("speech"), F.col("modality").alias("category"))
 
 
-_SCORED = """WITH r AS (SELECT c_custkey AS request, c_custkey % 10 AS project, 'source-' || c_nationkey AS word FROM customer WHERE c_custkey % 15 = 0)
+_SCORED = """WITH r AS (SELECT c_custkey AS request, c_custkey // 10 AS project, 'source-' || c_nationkey AS word FROM customer)
 SELECT request, fact_order AS candidate, 3 * (contains(speech, word)::BIGINT + contains(speech, 'click')::BIGINT) + 2 * (modality IN ('AUDIO', 'VISUAL'))::BIGINT AS score
-FROM r JOIN (SELECT *, event_type || ' source-' || source AS speech FROM v_facts) f ON f.project = r.project WHERE NOT contains(speech, 'error')"""
+FROM r JOIN (SELECT *, event_type || ' source-' || source AS speech FROM v_facts) f ON f.source = r.project WHERE NOT contains(speech, 'error')"""
 
 
 @R.add("e1_score_candidates", _SCORED)
@@ -44,11 +43,11 @@ def e2(v):
 
 
 @R.add("e3_visual_guard", """
-SELECT DISTINCT c_custkey AS request, fact_order AS candidate FROM customer JOIN v_facts f ON f.project = c_custkey % 10 WHERE c_custkey % 15 = 0 AND fact_order % 6 <> 0
+SELECT DISTINCT c_custkey AS request, fact_order AS candidate FROM customer JOIN v_facts f ON f.source = c_custkey // 10 WHERE fact_order % 6 <> 0
   AND contains(event_type || ' tag' || fact_order % 4, CASE WHEN c_custkey % 2 = 0 THEN 'view' ELSE 'tag2' END) AND NOT regexp_matches(event_type || ' tag' || fact_order % 4, CASE WHEN c_custkey % 2 = 0 THEN 'view tag1' ELSE 'click tag2' END)""")
 def e3(v):
-    asked = v.table("customer").filter("c_custkey % 15 = 0").select(F.col("c_custkey").alias("request"), (F.col("c_custkey") % 10).alias("project"), F.when(F.col("c_custkey") % 2 == 0, "seen").otherwise("tagged").alias("category"))
-    scenes = facts(v).select("project", "candidate", F.col("event_type").alias("caption"), F.array(F.concat(F.lit("tag"), (F.col("candidate") % 4).cast("string"))).alias("tags"), (F.col("candidate") % 6 == 0).alias("uncertain"))
+    asked = v.table("customer").select(F.col("c_custkey").alias("request"), F.expr("c_custkey div 10").alias("project"), F.when(F.col("c_custkey") % 2 == 0, "seen").otherwise("tagged").alias("category"))
+    scenes = facts(v).select(F.col("source").alias("project"), "candidate", F.col("event_type").alias("caption"), F.array(F.concat(F.lit("tag"), (F.col("candidate") % 4).cast("string"))).alias("tags"), (F.col("candidate") % 6 == 0).alias("uncertain"))
     words = v.spark.createDataFrame([("seen", "view", "view tag1"), ("tagged", "tag2", "click tag2")], "category string, word string, negated string")
     return ed.visual_guard(asked, scenes, words)
 
@@ -145,8 +144,8 @@ def e12_cap(v):
 
 @R.add("e13_replacement_choices")
 def e13(v):
-    plan = facts(v).filter("fact_order % 10 = 0").select("project", F.col("fact_order").alias("position"), "candidate", "source", "start_ms", "end_ms")
-    scenes = facts(v).filter("fact_order % 2 = 0").select("project", "candidate", "source", "start_ms", "end_ms")
+    plan = facts(v).filter("modality = 'QUALITY'").select("project", F.col("fact_order").alias("position"), "candidate", "source", "start_ms", "end_ms")
+    scenes = facts(v).select("project", "candidate", "source", "start_ms", "end_ms")
     bounds = durations(v).select("source", F.lit(0).cast("long").alias("low_ms"), F.col("duration_ms").alias("high_ms"))
     return ed.replacement_choices(plan, scenes, bounds)
 
@@ -174,20 +173,21 @@ def e16(v):
 
 
 def reel(v: Views):
-    return v.facts.select(F.col("source").alias("project"), F.col("fact_order").alias("shot"), "start_ms", F.expr("end_ms + 4000").alias("end_ms"), F.when(F.col("fact_order") % 3 == 0, F.col("start_ms") + 500).alias("speech_start_ms"), F.when(F.col("fact_order") % 3 == 0, F.col("start_ms") + 2_500).alias("speech_end_ms"))
+    return v.facts.select(F.col("source").alias("project"), F.col("fact_order").alias("shot"), "start_ms", F.expr("end_ms + 4000").alias("end_ms"), F.expr("CASE WHEN fact_order % 3 = 0 THEN start_ms + 500 + fact_order % 5 * 900 END").alias("speech_start_ms"), F.expr("CASE WHEN fact_order % 3 = 0 THEN start_ms + 2500 + fact_order % 5 * 900 + fact_order % 7 * 500 END").alias("speech_end_ms"))
 
 
 @R.add("e17_reel_clips", """
-WITH m AS (SELECT source AS project, fact_order AS shot, start_ms, end_ms + 4000 AS end_ms, (start_ms + end_ms + 4000) // 2 AS mid, fact_order % 3 = 0 AS said FROM v_facts), c AS (SELECT *, greatest(start_ms, mid - 900) AS lo, least(end_ms, mid + 900) AS hi FROM m)
-SELECT project, shot, start_ms, end_ms, CASE WHEN said THEN least(lo, greatest(start_ms, start_ms + 500)) ELSE lo END AS clip_start_ms, CASE WHEN said THEN greatest(hi, least(end_ms, start_ms + 2500)) ELSE hi END AS clip_end_ms FROM c""")
+WITH m AS (SELECT source AS project, fact_order AS shot, start_ms, end_ms + 4000 AS end_ms, fact_order % 3 = 0 AS said, start_ms + 500 + fact_order % 5 * 900 AS sa, start_ms + 2500 + fact_order % 5 * 900 + fact_order % 7 * 500 AS sz FROM v_facts),
+l AS (SELECT *, least(end_ms - start_ms, 1800) AS len FROM m), c AS (SELECT *, CASE WHEN said THEN greatest(start_ms, least(sa, end_ms - len)) ELSE start_ms + (end_ms - start_ms - len) // 2 END AS lo FROM l)
+SELECT project, shot, start_ms, end_ms, lo AS clip_start_ms, CASE WHEN said THEN least(end_ms, greatest(sz, lo + len), lo + greatest(len, 3600)) ELSE lo + len END AS clip_end_ms FROM c""")
 def e17(v):
     return ed.reel_clips(reel(v), 1_800)
 
 
 @R.add("e17_fit_reel")
 def e17_fit(v):
-    clips = e17(v).withColumn("chosen", F.col("shot") % 4 == 0)
-    return ed.fit_reel(clips, clips.select("project").distinct().withColumn("target_ms", F.lit(30_000).cast("long")))
+    clips = e17(v).withColumns({"chosen": F.col("shot") % 4 == 0, "hook": F.col("shot") % 40 == 0})
+    return ed.fit_reel(clips, clips.select("project").distinct().withColumn("target_ms", F.lit(30_000).cast("long")), 1_800)
 
 
 def scenes(v: Views):

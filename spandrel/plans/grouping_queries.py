@@ -22,16 +22,16 @@ _CUT = "DATE '1996-01-01'"
 def snapshot(v: Views):
     """Documents as candidates of one interval each; their words are evidence, their language an evidence key."""
     keys = F.array(F.concat(F.lit("LANG:"), F.col("lang")))
-    docs = v.table("documents").select(F.col("doc_id").alias("candidate"), F.col("source").alias("project"), (F.col("doc_id") % 50).alias("source_order"), "text", F.md5("text").alias("fingerprint"), keys.alias("evidence_keys"))
-    return docs.select("project", "candidate", "source_order", "fingerprint", F.lit(0).cast("long").alias("start_ms"), F.lit(1000).cast("long").alias("end_ms"), pr.tokens(F.left("text", F.lit(1000))).alias("tokens"), "evidence_keys")
+    docs = v.table("documents").select(F.col("doc_id").alias("candidate"), F.col("source").alias("project"), F.expr("doc_id div 4").alias("source_order"), "text", F.md5("text").alias("fingerprint"), keys.alias("evidence_keys"))
+    return docs.select("project", "candidate", "source_order", "fingerprint", F.lit(0).cast("long").alias("start_ms"), F.lit(1000).cast("long").alias("end_ms"), pr.tokens(F.col("text")).alias("tokens"), "evidence_keys")
 
 
 _SNAPSHOT = """
-s AS (SELECT source AS project, doc_id AS candidate, doc_id % 50 AS source_order, md5(text) AS fingerprint, list_distinct(list_filter(regexp_extract_all(lower(left(text, 1000)), '[\\p{L}\\p{N}]+'), lambda t: length(t) >= 2)) AS tokens, 'LANG:' || lang AS key FROM documents)"""
+s AS (SELECT source AS project, doc_id AS candidate, doc_id // 4 AS source_order, md5(text) AS fingerprint, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) >= 2)) AS tokens, 'LANG:' || lang AS key FROM documents)"""
 _PAIRS = _SNAPSHOT + """,
 t AS (SELECT project, candidate, unnest(tokens) AS token FROM s), tb AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY project, token) AS n FROM t) WHERE n <= 64),
 kb AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY project, key) AS n FROM s) WHERE n <= 64),
-q AS (SELECT a.project, a.candidate AS left_id, b.candidate AS right_id, 'EXACT_SOURCE_INTERVAL' AS reason FROM s a JOIN s b ON a.project = b.project AND a.fingerprint = b.fingerprint AND a.candidate < b.candidate
+q AS (SELECT a.project, a.candidate AS left_id, b.candidate AS right_id, 'EXACT_SOURCE_INTERVAL' AS reason FROM (SELECT project, fingerprint, min(candidate) AS candidate FROM s GROUP BY 1, 2) a JOIN s b ON a.project = b.project AND a.fingerprint = b.fingerprint AND a.candidate < b.candidate
       UNION SELECT a.project, a.candidate, b.candidate, 'TRANSCRIPT_OVERLAP' FROM tb a JOIN tb b ON a.project = b.project AND a.token = b.token AND a.candidate < b.candidate
       UNION SELECT a.project, a.candidate, b.candidate, 'EVIDENCE_TYPE_OVERLAP' FROM kb a JOIN kb b ON a.project = b.project AND a.key = b.key AND a.candidate < b.candidate
       UNION SELECT a.project, least(a.candidate, b.candidate), greatest(a.candidate, b.candidate), 'SOURCE_NEIGHBOR_HINT' FROM s a JOIN s b ON a.project = b.project AND b.source_order = a.source_order + 1),
@@ -47,9 +47,9 @@ def focus(v: Views):
 
 
 @R.add("t4_tokens", """
-SELECT candidate, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(left(text, 1000)), '[\\p{L}\\p{N}]+'), lambda t: length(t) >= 2))), ' ') AS tokens FROM v_docs""")
+SELECT candidate, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) >= 2))), ' ') AS tokens FROM v_docs""")
 def t4(v):
-    return v.docs.select("candidate", F.array_join(pr.tokens(F.left("text", F.lit(1000))), " ").alias("tokens"))
+    return v.docs.select("candidate", F.array_join(pr.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @R.add("p1_candidate_snapshot", """
@@ -97,7 +97,7 @@ def p5(v):
     return _rated(pr.pair_summary(pr.candidate_pairs(own), own))
 
 
-@R.add("p6_duplicate_relations", "SELECT 0::BIGINT AS project, a.candidate AS left_id, b.candidate AS right_id FROM v_docs a JOIN v_docs b ON a.fingerprint = b.fingerprint AND a.candidate < b.candidate WHERE a.candidate % 11 <> 0")
+@R.add("p6_duplicate_relations", "SELECT 0::BIGINT AS project, a.candidate AS left_id, b.candidate AS right_id FROM (SELECT fingerprint, min(candidate) AS candidate FROM v_docs GROUP BY 1) a JOIN v_docs b ON a.fingerprint = b.fingerprint AND a.candidate < b.candidate WHERE a.candidate % 11 <> 0")
 def p6(v):
     own = snapshot(v).withColumn("project", F.lit(0).cast("long"))
     every = pr.duplicate_relations(own, own.limit(0).select("project", F.col("candidate").alias("left_id"), F.col("candidate").alias("right_id")))
@@ -156,6 +156,20 @@ def w1(v):
     return ln.active_candidates(v.works, links(v))
 
 
+_VALID = """k AS (SELECT id, count(*) AS n FROM v_works JOIN v_links ON work = id GROUP BY id), c AS (SELECT w.*, coalesce(n, 0) AS n FROM v_works w LEFT JOIN k ON k.id = w.id WHERE status = 'COMPLETED'),
+u AS (SELECT *, id % 11 <> 0 AND CASE WHEN work_type LIKE '1%' THEN id % 3 = 0 OR (id % 3 = 1 AND n = 1) WHEN work_type LIKE '2%' THEN n = n + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END ELSE TRUE END AS ok, row_number() OVER (PARTITION BY project, work_type, source ORDER BY created_on DESC, id DESC) AS rn FROM c)"""
+
+
+@R.add("w1_valid_candidates", f"WITH {_VALID} SELECT DISTINCT project, candidate FROM u JOIN v_links ON work = id WHERE rn = 1 AND ok")
+def w1_valid(v):
+    counts = links(v).groupBy(F.col("work").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    works = v.works.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    memo, promotion = F.col("work_type").startswith("1"), F.col("work_type").startswith("2")
+    named = F.when(memo, F.expr("CASE id % 3 WHEN 0 THEN 'abstain:NO_MATCH' WHEN 1 THEN 'candidate:x' ELSE 'abstain:OTHER' END")).when(promotion, F.expr("concat('autonomous:candidates:', n + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END)")).otherwise(F.lit("other"))
+    works = works.withColumns({"result_ref": named, "result_fp": F.when(F.col("id") % 11 != 0, "f")})
+    return ln.active_candidates(ln.with_validity(works, links(v), [t for t in ("1-URGENT",)], [t for t in ("2-HIGH",)]), links(v))
+
+
 def specs(v: Views):
     return v.works.groupBy("project", "work_type", "source").agg(F.max("id").alias("i")).selectExpr("project", "work_type", "source", "CAST(i % 4 AS STRING) AS input_fp", "CAST(i % 2 AS STRING) AS config_fp", "'1' AS producer_version")
 
@@ -208,12 +222,21 @@ def w4_next(v):
 
 
 @R.add("w5_project_summary", """
-WITH o AS (SELECT project, source, arg_max(CASE status WHEN 'RUNNING' THEN 'BLOCKED' ELSE status END, id) AS outcome FROM v_works GROUP BY project, source),
-n AS (SELECT project, count(*) AS sources, count(*) FILTER (outcome = 'COMPLETED') AS completed, count(*) FILTER (outcome = 'FAILED') AS failed, count(*) FILTER (outcome = 'BLOCKED') AS blocked FROM o GROUP BY project)
-SELECT *, sources - completed - failed - blocked AS remaining, completed / sources::DOUBLE AS progress, CASE WHEN blocked > 0 THEN 'PROCESSING' WHEN sources > completed + failed + blocked THEN 'PENDING' WHEN failed = 0 THEN 'COMPLETED' WHEN completed = 0 THEN 'FAILED' ELSE 'PARTIALLY_FAILED' END AS status FROM n""")
+WITH o AS (SELECT project, source, arg_max(status, id) AS st, max(id) AS id FROM v_works GROUP BY project, source),
+n AS (SELECT project, count(*) AS sources, count(*) FILTER (id % 3 <> 0) AS processed, count(*) FILTER (st = 'COMPLETED' AND id % 2 = 0) AS reused, count(*) FILTER (st = 'COMPLETED' AND id % 5 <> 0) AS completed, count(*) FILTER (st = 'FAILED') AS failed, count(*) FILTER (st = 'RUNNING' AND id % 2 = 0) AS blocked, count(*) FILTER (st = 'RUNNING' AND id % 2 = 1) AS remaining FROM o GROUP BY project)
+SELECT *, (completed + failed) / sources::DOUBLE AS progress, CASE WHEN blocked > 0 OR remaining > 0 THEN 'PROCESSING' WHEN failed = sources THEN 'FAILED' WHEN failed > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status FROM n""")
 def w5(v):
-    outcome = F.when(F.col("status") == "RUNNING", "BLOCKED").otherwise(F.col("status"))
-    return ln.project_summary(v.works.groupBy("project", "source").agg(F.max_by(outcome, "id").alias("outcome")))
+    last = v.works.groupBy("project", "source").agg(F.max_by("status", "id").alias("st"), F.max("id").alias("id"))
+    outcome = F.expr("CASE WHEN st = 'COMPLETED' THEN CASE WHEN id % 2 = 0 THEN 'REUSED' ELSE 'PROCESSED' END WHEN st = 'FAILED' THEN 'FAILED' WHEN id % 2 = 0 THEN 'BLOCKED' ELSE 'REMAINING' END")
+    return ln.project_summary(last.select("project", "source", outcome.alias("outcome"), (F.col("id") % 3 != 0).alias("attempted"), F.when(F.col("id") % 5 != 0, "COMPLETED").otherwise("RUNNING").alias("source_status")))
+
+
+@R.add("w2_invalidated", """
+WITH d AS (SELECT project, source, work_type FROM v_works WHERE status = 'FAILED')
+SELECT DISTINCT project, source, unnest(CASE WHEN work_type LIKE '1%' THEN ['2-HIGH', '3-MEDIUM', '5-LOW'] WHEN work_type LIKE '2%' THEN ['3-MEDIUM', '5-LOW'] WHEN work_type LIKE '3%' THEN ['5-LOW'] ELSE [] END) AS work_type FROM d""")
+def w2_invalidated(v):
+    plan = v.works.filter("status = 'FAILED'").select("project", "work_type", "source", F.lit("EXECUTE").alias("decision"), F.lit("INPUT_CHANGED").alias("reason"))
+    return ln.invalidated(plan, {"2-HIGH": ("1-URGENT",), "3-MEDIUM": ("2-HIGH",), "5-LOW": ("3-MEDIUM", "2-HIGH")})
 
 
 @R.add("w6_project_list", """
@@ -248,11 +271,11 @@ def w8_coverage(v):
 
 def plan(v: Views):
     rows = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.selectExpr("o_custkey % 100 AS project", "l_orderkey * 10 + l_linenumber AS position", "l_partkey AS candidate", "l_suppkey AS source", "CAST(l_quantity AS BIGINT) * 1000 AS clip_start_ms", "CAST(l_quantity AS BIGINT) * 1000 + (l_partkey % 8) * 500 AS clip_end_ms").filter("position % 3 = 0").groupBy("project", "position").agg(F.min(F.struct("candidate", "source", "clip_start_ms", "clip_end_ms")).alias("r")).select("project", "position", "r.*")
+    return rows.selectExpr("o_custkey % 100 AS project", "l_orderkey * 10 + l_linenumber AS position", "l_partkey AS candidate", "l_suppkey AS source", "CAST(l_quantity AS BIGINT) * 1000 AS clip_start_ms", "CAST(l_quantity AS BIGINT) * 1000 + (l_partkey % 8) * 500 AS clip_end_ms").groupBy("project", "position").agg(F.min(F.struct("candidate", "source", "clip_start_ms", "clip_end_ms")).alias("r")).select("project", "position", "r.*")
 
 
 _PLAN = """pl AS (SELECT project, position, r.candidate, r.source, r.clip_start_ms, r.clip_end_ms FROM (SELECT o_custkey % 100 AS project, l_orderkey * 10 + l_linenumber AS position, min({'candidate': l_partkey, 'source': l_suppkey, 'clip_start_ms': CAST(floor(l_quantity) AS BIGINT) * 1000, 'clip_end_ms': CAST(floor(l_quantity) AS BIGINT) * 1000 + (l_partkey % 8) * 500}) AS r
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_orderkey * 10 + l_linenumber) % 3 = 0 GROUP BY 1, 2))"""
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2))"""
 
 
 @R.add("w9_plan_check", f"""

@@ -17,11 +17,11 @@ R = Registry()
 
 
 def edit(v: Views):
-    return v.prints.filter("is_edit = 1").select(F.lit(0).cast("long").alias("project"), F.lit(0).cast("long").alias("video"), "time_ms", "sig")
+    return v.prints.filter("is_edit = 1").select(F.col("source").cast("long").alias("project"), F.expr("CAST(print div 500 AS BIGINT)").alias("video"), "time_ms", "sig")
 
 
 def source(v: Views):
-    return v.prints.filter("is_edit = 0").select(F.lit(0).cast("long").alias("project"), F.col("source").cast("long").alias("source"), "time_ms", "sig")
+    return v.prints.filter("is_edit = 0").select(F.col("source").cast("long").alias("project"), F.expr("CAST(print % 7 AS BIGINT)").alias("source"), "time_ms", "sig")
 
 
 _UNIT = """n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS mean FROM embeddings),
@@ -38,15 +38,15 @@ def unit(df):
 
 
 @R.add("f2_topk_matches", f"""
-WITH {_UNIT}, m AS (SELECT a.vec_id AS edit_ms, b.label::BIGINT AS source, b.vec_id AS source_ms, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)
+WITH {_UNIT}, m AS (SELECT a.vec_id AS edit_ms, (b.vec_id % 7)::BIGINT AS source, b.vec_id AS source_ms, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)
 SELECT edit_ms, source, source_ms, CAST(row_number() OVER (PARTITION BY edit_ms ORDER BY s DESC, source, source_ms) AS INTEGER) AS rank FROM m QUALIFY rank <= 8""")
 def f2(v):
-    return fr.topk_matches(unit(edit(v)), unit(source(v)), 8, 2, 3).select("edit_ms", "source", "source_ms", "rank")
+    return fr.topk_matches(unit(edit(v)), unit(source(v))).select("edit_ms", "source", "source_ms", "rank")
 
 
 @R.add("f3_pick_matches")
 def f3(v):
-    return fr.pick_matches(fr.topk_matches(unit(edit(v)), unit(source(v)), 8, 2, 3))
+    return fr.pick_matches(fr.topk_matches(unit(edit(v)), unit(source(v))))
 
 
 _MATCHES = """m AS (SELECT user_id % 10 AS video, event_id * 250 AS edit_ms, CASE WHEN value > 20 THEN (event_id // 300) % 4 END AS source, event_id * 250 + (event_id // 900) * 5000 AS source_ms, 0.8 + (event_id % 20) / 100.0 AS score FROM events)"""
@@ -89,19 +89,42 @@ def _merged(modality: str) -> str:
 
 @R.add("f5_compare_edit", f"""
 WITH a AS ({_merged("AUDIO")}), t AS ({_merged("TRANSCRIPT")}), o AS (SELECT a.project, sum(least(a.end_ms, t.end_ms) - greatest(a.start_ms, t.start_ms)) AS s FROM a JOIN t ON a.source = t.source AND a.start_ms < t.end_ms AND t.start_ms < a.end_ms GROUP BY 1)
-SELECT f.project, count(*) FILTER (modality = 'AUDIO') AS own_cuts, CAST(sum(end_ms - start_ms) FILTER (modality = 'AUDIO') AS BIGINT) AS own_ms, median(end_ms - start_ms) FILTER (modality = 'AUDIO') AS own_median_ms, count(*) FILTER (modality = 'TRANSCRIPT') AS plan_cuts, CAST(sum(end_ms - start_ms) FILTER (modality = 'TRANSCRIPT') AS BIGINT) AS plan_ms, median(end_ms - start_ms) FILTER (modality = 'TRANSCRIPT') AS plan_median_ms, CAST(coalesce(any_value(s), 0) AS BIGINT) AS overlap_ms
+SELECT f.project, count(*) FILTER (modality = 'AUDIO') AS own_cuts, CAST(sum(end_ms - start_ms) FILTER (modality = 'AUDIO') AS BIGINT) AS own_ms, median(end_ms - start_ms) FILTER (modality = 'AUDIO') AS own_median_ms, avg(end_ms - start_ms) FILTER (modality = 'AUDIO') AS own_mean_ms, avg(end_ms - start_ms) FILTER (modality = 'TRANSCRIPT') AS plan_mean_ms, CAST(coalesce(sum(end_ms - start_ms) FILTER (modality = 'QUALITY'), 0) AS BIGINT) AS not_found_ms, count(*) FILTER (modality = 'TRANSCRIPT') AS plan_cuts, CAST(sum(end_ms - start_ms) FILTER (modality = 'TRANSCRIPT') AS BIGINT) AS plan_ms, median(end_ms - start_ms) FILTER (modality = 'TRANSCRIPT') AS plan_median_ms, CAST(coalesce(any_value(s), 0) AS BIGINT) AS overlap_ms
 FROM v_facts f LEFT JOIN o ON o.project = f.project GROUP BY f.project""")
 def f5(v):
-    return fr.compare_edit(cuts(v), plan(v))
+    return fr.compare_edit(cuts(v), plan(v), v.facts.filter("modality = 'QUALITY'").select("project", "start_ms", "end_ms"))
+
+
+def tags(v: Views):
+    """One tag for each cut, a second one for some."""
+    return v.facts.select(F.col("fact_order").alias("id"), F.explode(F.expr("CASE WHEN fact_order % 3 = 0 THEN array('tag0', concat('tag', fact_order % 5)) ELSE array(concat('tag', fact_order % 5)) END")).alias("tag"))
+
+
+_TAGS = "g AS (SELECT DISTINCT fact_order AS id, unnest(CASE WHEN fact_order % 3 = 0 THEN ['tag0', 'tag' || fact_order % 5] ELSE ['tag' || fact_order % 5] END) AS tag FROM v_facts)"
+
+
+@R.add("f5_tag_time", f"""
+WITH {_TAGS} SELECT project, tag, CAST(coalesce(sum(end_ms - start_ms) FILTER (modality = 'AUDIO'), 0) AS BIGINT) AS own_ms, CAST(coalesce(sum(end_ms - start_ms) FILTER (modality = 'TRANSCRIPT'), 0) AS BIGINT) AS plan_ms
+FROM v_facts JOIN g ON g.id = fact_order WHERE modality IN ('AUDIO', 'TRANSCRIPT') GROUP BY 1, 2""")
+def f5_tags(v):
+    return fr.tag_time(cuts(v), plan(v), tags(v))
+
+
+@R.add("f5_day_spans", f"""
+WITH a AS ({_merged("AUDIO")}), d AS (SELECT project, source, CAST(coalesce(sum(source * 1000 + 5000) OVER (PARTITION BY project ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM (SELECT DISTINCT project, source FROM v_facts))
+SELECT a.project, a.source, begins + a.start_ms AS start_ms, begins + a.end_ms AS end_ms FROM a JOIN d ON d.project = a.project AND d.source = a.source""")
+def f5_days(v):
+    sources = v.facts.select("project", "source").distinct().select("project", "source", F.col("source").alias("place"), (F.col("source") * 1_000 + 5_000).alias("duration_ms"))
+    return fr.day_spans(v.facts.filter("modality = 'AUDIO'").select("project", "source", "start_ms", "end_ms"), sources)
 
 
 @R.add("f6_taste_choices", f"""
-WITH a AS ({_merged("AUDIO")}), t AS ({_merged("TRANSCRIPT")}),
+WITH a AS ({_merged("AUDIO")}), t AS ({_merged("TRANSCRIPT")}), {_TAGS}, gs AS (SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM g GROUP BY id),
 s AS (SELECT f.fact_order, sum(least(f.end_ms, x.end_ms) - greatest(f.start_ms, x.start_ms)) AS s FROM v_facts f JOIN (SELECT *, 'AUDIO' AS other FROM t UNION ALL SELECT *, 'TRANSCRIPT' FROM a) x ON f.modality = x.other AND x.source = f.source AND f.start_ms < x.end_ms AND x.start_ms < f.end_ms GROUP BY 1),
 k AS (SELECT f.*, coalesce(s, 0) >= least(500.0, (end_ms - start_ms) * 0.3) AS enough FROM v_facts f LEFT JOIN s ON s.fact_order = f.fact_order WHERE modality IN ('AUDIO', 'TRANSCRIPT'))
-SELECT project, fact_order AS id, CASE WHEN modality = 'TRANSCRIPT' AND NOT enough THEN 'my_edit_unused' ELSE 'my_edit_used' END AS how FROM k WHERE modality = 'TRANSCRIPT' OR NOT enough""")
+SELECT project, fact_order AS id, CASE WHEN modality = 'TRANSCRIPT' AND NOT enough THEN 'my_edit_unused' ELSE 'my_edit_used' END AS how, tags FROM k JOIN gs ON gs.id = fact_order WHERE modality = 'TRANSCRIPT' OR NOT enough""")
 def f6(v):
-    return fr.taste_choices(cuts(v), plan(v))
+    return fr.taste_choices(cuts(v), plan(v), tags(v)).withColumn("tags", F.array_join("tags", ","))
 
 
 _RESULTS = "x AS (SELECT fact_order % 4 AS result, source, start_ms, end_ms FROM v_facts)"
@@ -236,12 +259,12 @@ def v4_status(v):
 
 
 @R.add("v5_validate_relations", """
-WITH r AS (SELECT l_partkey AS a, l_suppkey * 20 AS b, CASE WHEN l_linenumber % 2 = 0 THEN 'DUPLICATE' ELSE 'SAME_EVENT' END AS type FROM lineitem WHERE l_orderkey % 20 = 0),
+WITH r AS (SELECT l_partkey AS a, l_suppkey * 20 AS b, CASE WHEN l_linenumber % 2 = 0 THEN 'DUPLICATE' ELSE 'SAME_EVENT' END AS type FROM lineitem),
 c AS (SELECT p_partkey AS candidate, p_partkey % 3 AS fp, p_partkey % 2 AS s FROM part), x AS (SELECT DISTINCT p_partkey AS a, p_partkey + 20 AS b FROM part),
 k AS (SELECT r.*, row_number() OVER (PARTITION BY least(r.a, r.b), greatest(r.a, r.b), type ORDER BY r.a, r.b) AS row, l.candidate AS lc, q.candidate AS rc, l.fp = q.fp AND l.s = q.s AS same, x.a IS NOT NULL AS barred FROM r LEFT JOIN c l ON l.candidate = r.a LEFT JOIN c q ON q.candidate = r.b LEFT JOIN x ON x.a = least(r.a, r.b) AND x.b = greatest(r.a, r.b))
 SELECT a, b, type, unnest(list_filter([CASE WHEN a = b THEN 'SELF_PAIR' END, CASE WHEN a > b THEN 'NOT_ORDERED' END, CASE WHEN row > 1 THEN 'REPEATED' END, CASE WHEN lc IS NULL OR rc IS NULL THEN 'UNKNOWN_CANDIDATE' END, CASE WHEN type = 'DUPLICATE' AND NOT coalesce(same, false) THEN 'NOT_A_DUPLICATE' END, CASE WHEN type = 'SAME_EVENT' AND barred THEN 'EXCLUDED_EVENT' END], lambda y: y IS NOT NULL)) AS issue FROM k""")
 def v5(v):
-    relations = v.table("lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 20).alias("b"), F.when(F.col("l_linenumber") % 2 == 0, "DUPLICATE").otherwise("SAME_EVENT").alias("type"))
+    relations = v.table("lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 20).alias("b"), F.when(F.col("l_linenumber") % 2 == 0, "DUPLICATE").otherwise("SAME_EVENT").alias("type"))
     parts = v.table("part").select(F.col("p_partkey").alias("candidate"), F.col("p_partkey").alias("source"), (F.col("p_partkey") % 3).alias("fingerprint"), (F.col("p_partkey") % 2).alias("start_ms"), F.lit(9).alias("end_ms"))
     return vd.validate_relations(relations, parts, v.table("part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 20).alias("b")))
 

@@ -70,14 +70,14 @@ def io4(v):
 
 def cues(v: Views):
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return v.segments.select((F.col("source") % 10).alias("project"), (F.col("start_ms") / F.lit(1000).cast("decimal(5,0)")).alias("start_seconds"), (F.col("end_ms") / F.lit(1000).cast("decimal(5,0)")).alias("end_seconds"), F.left(text, F.lit(60)).alias("text"))
+    return v.segments.select((F.col("source") % 10).alias("project"), (F.col("start_ms") / F.lit(1000).cast("decimal(5,0)")).alias("start_seconds"), (F.col("end_ms") / F.lit(1000).cast("decimal(5,0)")).alias("end_seconds"), text.alias("text"))
 
 
 _CLOCK = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 
 @R.add("io6_format_srt", f"""
-WITH c AS (SELECT source % 10 AS project, start_ms, end_ms, left(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 60) AS text FROM v_segments),
+WITH c AS (SELECT source % 10 AS project, start_ms, end_ms, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM v_segments),
 n AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY start_ms, end_ms, text) AS n FROM c WHERE end_ms > start_ms AND text <> '')
 SELECT project, string_agg(n || chr(10) || {_CLOCK.format("start_ms")} || ' --> ' || {_CLOCK.format("end_ms")} || chr(10) || text, chr(10) || chr(10) ORDER BY n) || chr(10) AS srt FROM n GROUP BY project""")
 def io6(v):
@@ -85,7 +85,7 @@ def io6(v):
 
 
 @R.add("io5_read_srt", """
-SELECT source % 10 AS project, start_ms, end_ms, trim(left(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 60)) AS text FROM v_segments WHERE end_ms > start_ms AND trim(text) <> ''""")
+SELECT source % 10 AS project, start_ms, end_ms, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM v_segments WHERE end_ms > start_ms AND trim(text) <> ''""")
 def io5(v):
     written = stored(tb.format_srt(cues(v)), "srt").select(F.col("project").alias("file"), F.col("srt").alias("value"))
     return tb.parse_srt(written).select(F.col("file").alias("project"), "start_ms", "end_ms", "text")
@@ -109,11 +109,11 @@ def t2(v):
 
 
 def clips(v: Views):
-    """Every other segment of a conversation as a clip that begins late and runs into the next one."""
-    return v.segments.filter("position % 2 = 0").selectExpr("source % 10 AS project", "source * 100 + position AS position", "source * 100 + position AS candidate", "source", "start_ms + 700 AS start_ms", "end_ms + 2900 AS end_ms").filter("end_ms > start_ms")
+    """Every segment of a conversation as a clip that begins late and runs into the next one."""
+    return v.segments.selectExpr("source % 10 AS project", "source * 100 + position AS position", "source * 100 + position AS candidate", "source", "start_ms + 700 AS start_ms", "end_ms + 2900 AS end_ms").filter("end_ms > start_ms")
 
 
-_CLIPS = "c AS (SELECT source % 10 AS project, source * 100 + position AS position, source * 100 + position AS candidate, source, start_ms + 700 AS start_ms, end_ms + 2900 AS end_ms FROM v_segments WHERE position % 2 = 0)"
+_CLIPS = "c AS (SELECT source % 10 AS project, source * 100 + position AS position, source * 100 + position AS candidate, source, start_ms + 700 AS start_ms, end_ms + 2900 AS end_ms FROM v_segments WHERE end_ms + 2900 > start_ms + 700)"
 
 
 @R.add("t3_speech_in", f"""
@@ -129,10 +129,12 @@ def t5(v):
 
 
 @R.add("t6_drop_noise", """
-SELECT doc_id FROM (SELECT doc_id, bare, lag(bare) OVER (PARTITION BY lang ORDER BY doc_id) AS before FROM (SELECT doc_id, lang, lower(regexp_replace(left(text, 12), '[^\\p{L}\\p{N}_]', '', 'g')) AS bare FROM documents)) WHERE before IS NULL OR bare <> before""")
+SELECT doc_id, place FROM (SELECT doc_id, place, bare, lag(bare) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM (
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, lower(regexp_replace(string_split(text, chr(10))[i], '[^\\p{L}\\p{N}_]', '', 'g')) AS bare FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i))) WHERE before IS NULL OR bare <> before""")
 def t6(v):
-    lines = v.table("documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("start_ms"), F.lit(0).alias("position"), F.concat(F.left("text", F.lit(12)), F.lit(" 가나")).alias("text"), "doc_id")
-    return tr.drop_noise(lines).select("doc_id")
+    own = v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = own.select(F.col("doc_id").alias("source"), F.col("place").alias("start_ms"), F.lit(0).alias("position"), F.concat("line", F.lit(" 가나")).alias("text"), "doc_id", "place")
+    return tr.drop_noise(lines).select("doc_id", "place")
 
 
 @R.add("t7_map_subtitles", f"""

@@ -34,7 +34,7 @@ _SPARK = {
     "memos": """
         SELECT source * 100 + position AS memo, source, start_ms, end_ms, text,
                CASE length(text) % 4 WHEN 0 THEN '방금' WHEN 1 THEN '지금' WHEN 2 THEN '아까' ELSE 'then' END AS matched_reference,
-               CASE WHEN length(text) % 5 = 0 THEN 'drop' ELSE 'keep' END AS matched_action FROM v_segments WHERE position % 2 = 1""",
+               CASE WHEN length(text) % 5 = 0 THEN 'drop' ELSE 'keep' END AS matched_action FROM v_segments""",
     "prints": "SELECT vec_id AS print, label AS source, vec_id % 2 AS is_edit, vec_id AS time_ms, embedding AS sig FROM embeddings",
 }
 _DUCK = {

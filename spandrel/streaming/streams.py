@@ -50,9 +50,9 @@ def replay(events: DataFrame, since, until, project=None, limit: int | None = No
 def ingest_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """(id, arrival, verdict) of a stream (id, arrival, ts, content): RECORDED for the first content of an id, then DUPLICATE or CONFLICT; LATE beyond the watermark.
 
-    State is a hash of the first content for each id, dropped when the watermark has passed the id's last event time.
+    State is the SHA-256 of the first content for each id, dropped when the watermark has passed the id's last event time.
     """
-    hashed = stream.select("id", "arrival", "ts", F.xxhash64("content").alias("print")).withWatermark("ts", delay)
+    hashed = stream.select("id", "arrival", "ts", F.sha2("content", 256).alias("print")).withWatermark("ts", delay)
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -68,13 +68,13 @@ def ingest_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
                 told.append("LATE")
                 continue
             told.append("RECORDED" if first is None else "DUPLICATE" if first == seen else "CONFLICT")
-            first, last = int(seen) if first is None else first, max(last, ms)
+            first, last = seen if first is None else first, max(last, ms)
         if first is not None:
             state.update((first, last))
             state.setTimeoutTimestamp(max(last, mark + 1))
         yield pd.DataFrame({"id": key[0], "arrival": rows["arrival"], "verdict": told})
 
-    return hashed.groupBy("id").applyInPandasWithState(judge, "id long, arrival long, verdict string", "first long, last long", "append", "EventTimeTimeout")
+    return hashed.groupBy("id").applyInPandasWithState(judge, "id long, arrival long, verdict string", "first string, last long", "append", "EventTimeTimeout")
 
 
 def stream_sessions(stream: DataFrame, gap: str, delay: str) -> DataFrame:
