@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.shared import spread
 from spandrel.operators.intervals import complement, overlap_join
 
 KEEP_RATIO, MOST_CLIP_MS, SNAP_MS, MOST_CHAPTERS = 0.6, 45_000, 4_000, 12
@@ -97,7 +98,7 @@ def chapter_runs(scenes: DataFrame, most: int = MOST_CHAPTERS) -> DataFrame:
             kept[at - 1][3] += kept.pop(at)[3]
         return pd.DataFrame([(p, k, c, f, n) for k, (p, c, f, n) in enumerate(kept)], columns=["project", "run", "chapter", "first_order", "scenes"])
 
-    return runs.groupBy("project").applyInPandas(fold, "project long, run long, chapter long, first_order long, scenes long")
+    return spread(runs, "project").groupBy("project").applyInPandas(fold, "project long, run long, chapter long, first_order long, scenes long")
 
 
 def rule_outline(candidates: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def leave_out(scenes: DataFrame, targets: DataFrame, keep_mine: bool = False) ->
     keep_mine: where no scene has a taste score, scenes with a line of mine stay.
     """
     given = scenes.join(targets, "project").withColumns({"taste": F.col("taste").cast("double"), "keep_mine": F.lit(keep_mine)})
-    return given.groupBy("project").applyInPandas(_left_out, "project long, candidate long, dropped long")
+    return spread(given, "project").groupBy("project").applyInPandas(_left_out, "project long, candidate long, dropped long")
 
 
 def clip_bounds(moments: DataFrame, durations: DataFrame) -> DataFrame:
@@ -323,4 +324,4 @@ def fit_reel(clips: DataFrame, targets: DataFrame, pace_ms: int) -> DataFrame:
     clips: reel_clips, chosen and hook (the clip that opens the reel and stays). Where they are too long, clips go from the middle outwards, two stay; where
     they are too short, unused ones come in by shot, then clips grow around themselves to 1.6 times the pace, the hook first.
     """
-    return clips.join(targets, "project").withColumn("pace_ms", F.lit(pace_ms)).groupBy("project").applyInPandas(_reel, "project long, shot long, clip_start_ms long, clip_end_ms long")
+    return spread(clips.join(targets, "project").withColumn("pace_ms", F.lit(pace_ms)), "project").groupBy("project").applyInPandas(_reel, "project long, shot long, clip_start_ms long, clip_end_ms long")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.functions.shared import stored
+from spandrel.functions.shared import spread, stored
 from spandrel.operators.intervals import complement
 
 
@@ -66,7 +66,7 @@ def conservative_groups(edges: DataFrame) -> DataFrame:
     """
     pairs = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     parts = linked(pairs)
-    return pairs.join(parts, pairs["a"] == parts["node"]).select("component", "a", "b").groupBy("component").applyInPandas(_grown, "candidate long, group_id long, component long, prevented long")
+    return spread(pairs.join(parts, pairs["a"] == parts["node"]).select("component", "a", "b"), "component").groupBy("component").applyInPandas(_grown, "candidate long, group_id long, component long, prevented long")
 
 
 #: Evidence that can carry an event from one candidate to the next.
@@ -122,7 +122,7 @@ def event_members(candidates: DataFrame, promoting: DataFrame, linked: DataFrame
     none = F.array().cast("array<struct<evidence_type:string,start_ms:bigint,end_ms:bigint>>")
     given = candidates.select("source", "candidate", "start_ms", "end_ms").join(gathered(promoting, "promoting"), "candidate").join(gathered(linked, "linked"), "candidate", "left").withColumn("linked", F.coalesce("linked", none))
     kind = candidates.schema["source"].dataType.simpleString()
-    return given.groupBy("source").applyInPandas(_local_events, f"source {kind}, candidate long, event long, start_ms long, end_ms long")
+    return spread(given, "source").groupBy("source").applyInPandas(_local_events, f"source {kind}, candidate long, event long, start_ms long, end_ms long")
 
 
 def event_proposals(members: DataFrame, linked: DataFrame) -> DataFrame:

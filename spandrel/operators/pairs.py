@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_IN_BUCKET, NEIGHBOURS, LEAST_TOKEN = 64, 1, 2
+#: Why a pair is kept.
+REASONS = ("EXACT_SOURCE_INTERVAL", "TRANSCRIPT_OVERLAP", "EVIDENCE_TYPE_OVERLAP", "SOURCE_NEIGHBOR_HINT")
 
 
 def tokens(text: Column, least: int = LEAST_TOKEN) -> Column:
@@ -66,7 +68,10 @@ def candidate_pairs(snapshot: DataFrame, focus: DataFrame | None = None, most: i
             touched = focus.select(F.col("candidate").alias("a")), focus.select(F.col("candidate").alias("b"))
             met = met.join(touched[0], "a", "left_semi").unionByName(met.join(touched[0], "a", "left_anti").join(touched[1], "b", "left_semi"))
         pairs = pairs.unionByName(met.select("project", F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.lit("SOURCE_NEIGHBOR_HINT").alias("reason")))
-    return pairs.groupBy("project", "left_id", "right_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    names = sorted(REASONS)
+    bit = F.coalesce(*[F.when(F.col("reason") == name, F.lit(1 << k)) for k, name in enumerate(names)])
+    told = pairs.groupBy("project", "left_id", "right_id").agg(F.bit_or(bit).alias("bits"))  # adds up before the shuffle
+    return told.select("project", "left_id", "right_id", F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, name) for k, name in enumerate(names)])).alias("reasons"))
 
 
 def with_existing_relations(pairs: DataFrame, relations: DataFrame) -> DataFrame:
