@@ -8,18 +8,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_written: list[str] = []
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing uses yet under spark.checkpoint.dir; in local mode without that, in a new folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new folder."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_folder = _own_folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        folder = f"file://{_own_folder}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet in the shared folder."""
+    path = f"{shared_folder(spark)}/spandrel-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder; for when all results that were asked for are written. Gives the number of paths."""
+    n = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

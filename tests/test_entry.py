@@ -34,3 +34,15 @@ def test_query_equals_its_sql(spark, name):
     ours = sorted(map(str, (tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect())))
     theirs = sorted(map(str, con.sql(ORACLES[name]).select(*[duckdb.ColumnExpression(c) for c in cols]).fetchall()))
     assert ours == theirs
+
+
+def test_scratch_tables_can_be_released(spark):
+    import os
+
+    from spandrel.functions import shared
+
+    kept = shared.stored(spark.range(3), "kept")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    held, shared._written[:] = shared._written[:-1], shared._written[-1:]
+    assert os.path.isdir(folder) and shared.release(spark) == 1 and not os.path.isdir(folder)
+    shared._written[:] = held
