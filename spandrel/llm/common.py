@@ -1,36 +1,18 @@
-"""What the operators of this subpackage share: shared scratch tables, salts, identifiers."""
+"""What the operators of this subpackage share: salts, identifiers, names. Scratch tables are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = " \t\n\x0b\x0c\r"
-
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new folder."""
-    global _own_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _own_folder
+from spandrel.functions.shared import new_path, shared_folder, stored
 
+__all__ = ["id_key", "new_path", "qualified", "renamed", "salt", "shared_folder", "stored", "table", "without_spaces"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/spandrel-{name}-{uuid.uuid4().hex}"
-
+#: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
+SPACES = " \t\n\x0b\x0c\r"
 
 def qualified(spark: SparkSession, path: str) -> str:
     """path with the scheme and the authority of the file system that Spark finds it in."""
@@ -39,13 +21,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(found).toString()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def without_spaces(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 

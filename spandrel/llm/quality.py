@@ -1,12 +1,13 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Each document is measured and held against rules. Failures are counted by host (the column `source`); the hosts' rates are
-shrunk towards a beta prior that is fitted to all hosts by the method of moments; a host whose shrunk failure rate is above
+shrunk towards a beta prior that is fitted to all hosts by the method of moments (the variance of the rates less what chance
+alone gives hosts of their sizes); a host whose shrunk failure rate is above
 `host_limit` is rejected with all its documents. A document stays if it breaks no rule itself and its host is not rejected.
 
 Defined results: a null text has no words and fails; a null source is a host of its own; repeated rows count as often as
 they come and are reported alike; other columns, whatever their names, are ignored by `verdicts` and returned unchanged by
-`drop_low_quality`; an empty table gives an empty result; with one host, or with equal rates, every host has the mean rate.
+`drop_low_quality`; an empty table gives an empty result; with one host, or with rates that differ by no more than chance, every host has the mean rate.
 """
 
 from __future__ import annotations
@@ -71,10 +72,11 @@ def host_rates(marked: DataFrame) -> DataFrame:
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """alpha and beta of the prior; an infinite sum (equal rates) is held at 1e12."""
-    mean, spread = hosts.agg(F.avg("rate"), F.var_pop("rate")).first()
+    mean, spread, chance = hosts.agg(F.avg("rate"), F.var_pop("rate"), F.avg(1 / F.col("docs"))).first()
     if mean is None:
         return 1.0, 1.0
-    weight = min(1e12, max(mean * (1 - mean) / spread - 1, 1e-6)) if spread else 1e12
+    spread -= mean * (1 - mean) * chance
+    weight = min(1e12, max(mean * (1 - mean) / spread - 1, 1e-6)) if spread > 0 else 1e12
     return mean * weight, (1 - mean) * weight
 
 

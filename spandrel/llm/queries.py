@@ -78,7 +78,8 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS soft_failed FROM m),
 h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (base_failed OR soft_failed) AS host_failed,
              count(*) FILTER (base_failed OR soft_failed) / count(*)::DOUBLE AS rate FROM f GROUP BY source),
-s AS (SELECT avg(rate) AS mean, CASE WHEN var_pop(rate) > 0 THEN least(1e12, greatest(avg(rate) * (1 - avg(rate)) / var_pop(rate) - 1, 1e-6)) ELSE 1e12 END AS weight FROM h)
+v AS (SELECT avg(rate) AS mean, var_pop(rate) - avg(rate) * (1 - avg(rate)) * avg(1.0::DOUBLE / host_docs) AS spread FROM h),
+s AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e12, greatest(mean * (1 - mean) / spread - 1, 1e-6)) ELSE 1e12 END AS weight FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_docs, host_failed,
        NOT base_failed AND NOT soft_failed AND NOT (host_failed + mean * weight) / (host_docs + weight) > 0.5 AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, s

@@ -197,6 +197,15 @@ def test_quality_measures_and_verdicts(docs, texts, empty):
     assert kept.columns == docs.columns and kept.count() == out.filter("kept").count()
 
 
+def test_prior_is_free_of_chance(spark):
+    """Rates of beta(3, 9) hosts of five documents each: the fitted prior has their mean and nearly their weight."""
+    r = np.random.default_rng(5)
+    failed = r.binomial(5, r.beta(3, 9, 4_000))
+    hosts = spark.createDataFrame([(5, int(k), int(k) / 5) for k in failed], "docs long, failed long, rate double")
+    alpha, beta = quality.beta_prior(hosts)
+    assert abs(alpha / (alpha + beta) - 0.25) < 0.02 and 8 < alpha + beta < 18
+
+
 def test_bad_hosts_lose_their_documents(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(k, good, "clean") for k in range(40)] + [(100 + k, "short", "junk") for k in range(40)] + [(200, good, "junk"), (300, good, None)]

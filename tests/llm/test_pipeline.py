@@ -55,3 +55,19 @@ def test_pipeline_equals_plain_python(spark):
     for r in corpus_pipeline.run(spark, folder).collect():
         got[r["doc_id"]] += r["n_tokens"]
     assert got == want
+
+
+def test_pipeline_with_odd_rows_and_an_empty_table(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __id string, __row string"
+    a, b, c = (words(500 + k, 90) for k in range(3))
+    rows = [(None, a), (None, b), (None, b + " "), (7, c), (7, words(510, 90)), (7, c), (8, None), (9, ""), (2**53 + 1, words(511, 90)), (10, words(512, 30_000))]
+    for given, want in ((rows, Counter([None, None, 7, 7, 2**53 + 1, 10])), ([], Counter())):
+        folder = new_path(spark, "odd")
+        spark.createDataFrame([(i, t, "en", None, None, "x", "y") for i, t in given], kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert [f.name for f in docs.schema.fields] == [x.split()[0] for x in kind.split(", ")]
+        assert Counter(r["doc_id"] for r in docs.collect()) == want
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == set(want)
