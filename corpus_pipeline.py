@@ -1,7 +1,12 @@
 """A training corpus from raw documents: toxicity, quality rules, exact dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is written as Parquet and read again as the
-next one's docs. All stages but the last return the columns of documents.
+next one's docs. All stages but the last return the columns of documents, with any further columns that docs has, whatever their names.
+
+Defined results: null, empty and blank texts score 0, fail the quality rules and so end there; a null source is a host of its own;
+of equal and of similar texts one row stays, the one that the stage names, of rows that tie any one; null doc_ids are documents like
+others, and rows that repeat a doc_id with another text stay apart; texts of any length are read whole; an empty table gives an empty
+result at every stage.
 """
 
 from __future__ import annotations
