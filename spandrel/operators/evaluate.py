@@ -87,6 +87,21 @@ def density(candidates: DataFrame, sources: DataFrame, facts: DataFrame) -> Data
     return out.select("source", "candidates", "candidate_ms", F.when(measured, F.col("candidate_ms") / F.col("duration_ms")).alias("ratio"), F.when(measured, F.col("candidates") * 60_000 / F.col("duration_ms")).alias("per_minute"), "facts")
 
 
+def density_summary(per_source: DataFrame, facts: DataFrame, failures: DataFrame) -> DataFrame:
+    """(dataset, sources, candidates, candidate_ms, ratio, per_minute, abstentions, partial_failures, evidence) over the sources of each dataset.
+
+    per_source: dataset, source, duration_ms, candidates, candidate_ms. facts: dataset, modality. failures: source, of those where an
+    analysis failed. A source without candidates abstained; evidence is text 'MODALITY=n', sorted.
+    """
+    failed = failures.select("source").distinct().withColumn("failed", F.lit(True))
+    told = per_source.join(failed, "source", "left").groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("sources"), F.sum("candidates").alias("candidates"), F.sum("candidate_ms").alias("candidate_ms"), F.sum("duration_ms").alias("duration_ms"),
+        F.count_if(F.col("candidates") == 0).alias("abstentions"), F.count("failed").alias("partial_failures"))
+    kinds = facts.groupBy("dataset", "modality").agg(F.count(F.lit(1)).alias("n")).groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "modality", "n"))), ",").alias("evidence"))
+    measured = F.col("duration_ms") > 0
+    return told.join(kinds, "dataset", "left").select("dataset", "sources", "candidates", "candidate_ms", F.when(measured, F.col("candidate_ms") / F.col("duration_ms")).alias("ratio"), F.when(measured, F.col("candidates") * 60_000 / F.col("duration_ms")).alias("per_minute"), "abstentions", "partial_failures", F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
 def reference_coverage(intervals: DataFrame, references: DataFrame) -> DataFrame:
     """(source, reference, covered_ms, share) of each reference (source, reference, start_ms, end_ms) by the union of the intervals."""
     met = overlap_join(references.select("source", "reference", "start_ms", "end_ms"), merge_intervals(intervals, ["source"]), ["source"]).groupBy(F.col("a_reference").alias("reference")).agg(F.sum("overlap_ms").alias("covered_ms"))

@@ -283,3 +283,20 @@ def d13(v):
 @R.add("d14_scene_diagnostics", "SELECT source, modality, evidence_type, count(*) AS n FROM v_facts GROUP BY ROLLUP (source, modality, evidence_type) HAVING source IS NOT NULL")
 def d14(v):
     return dc.scene_diagnostics(v.facts)
+
+
+@R.add("d14_source_status", """
+WITH p AS (SELECT source, ['RUNNING', 'FAILED', 'COMPLETED', 'COMPLETED', 'COMPLETED', 'COMPLETED', 'COMPLETED', 'COMPLETED'][1 + source % 8] AS status, source % 5 <> 0 AS valid, CASE WHEN source % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS candidates FROM (SELECT DISTINCT source FROM v_facts)),
+f AS (SELECT * FROM v_facts WHERE CASE source % 7 WHEN 0 THEN FALSE WHEN 1 THEN modality = 'AUDIO' WHEN 2 THEN evidence_type IN ('TRANSCRIPT_REACTION_CUE', 'VISUAL_ACTIVITY') AND fact_order % 4 = 0 ELSE TRUE END),
+n AS (SELECT source, count(*) AS facts, count(DISTINCT modality) FILTER (modality <> 'QUALITY') AS signals, bool_or(evidence_type = 'TRANSCRIPT_REACTION_CUE') AS cue, bool_or(evidence_type = 'TRANSCRIPT_STRUCTURE') AS said, bool_or(modality = 'TRANSCRIPT') AS text, bool_or(modality = 'AUDIO') AS audio, bool_or(evidence_type = 'VISUAL_ACTIVITY') AS seen FROM f GROUP BY source),
+o AS (SELECT DISTINCT a.source FROM f a JOIN f b ON a.source = b.source AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms AND ((a.evidence_type IN ('TRANSCRIPT_REACTION_CUE', 'TRANSCRIPT_STRUCTURE') AND b.modality = 'AUDIO') OR (a.modality = 'AUDIO' AND b.evidence_type = 'VISUAL_ACTIVITY') OR (a.evidence_type = 'VISUAL_ACTIVITY' AND b.modality = 'TRANSCRIPT'))),
+e AS (SELECT p.source, p.candidates, CASE WHEN status IN ('RUNNING', 'FAILED') THEN status WHEN NOT valid THEN 'UNKNOWN' WHEN candidates > 0 THEN 'COMPLETED' ELSE 'ABSTAINED' END AS status,
+    CASE WHEN p.source % 11 = 0 OR coalesce(facts, 0) > 128 THEN 'UNKNOWN' WHEN p.source % 13 = 0 THEN 'PARTIAL_ANALYZER_FAILURE' WHEN facts IS NULL THEN 'NO_EVIDENCE' WHEN signals <= 1 THEN 'SINGLE_MODALITY' WHEN NOT ((cue AND audio) OR (said AND audio) OR (audio AND seen) OR (seen AND text)) THEN 'UNSUPPORTED_COMBINATION' WHEN o.source IS NULL THEN 'NO_TEMPORAL_OVERLAP' ELSE 'OTHER_RULE_ABSTAIN' END AS why
+    FROM p LEFT JOIN n ON n.source = p.source LEFT JOIN o ON o.source = p.source)
+SELECT source, status, CASE WHEN status IN ('COMPLETED', 'ABSTAINED') THEN candidates END AS candidates, CASE WHEN status = 'ABSTAINED' THEN why WHEN status <> 'COMPLETED' THEN 'UNKNOWN' END AS reason FROM e""")
+def d14_status(v):
+    sources = v.facts.select("source").distinct()
+    promotions = sources.selectExpr("source", "CASE source % 8 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'FAILED' ELSE 'COMPLETED' END AS status", "source % 5 <> 0 AS valid", "CAST(CASE WHEN source % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS candidates")
+    analyses = sources.selectExpr("source", "explode(array('AUDIO', 'VISUAL')) AS work").selectExpr("source", "CASE WHEN source % 13 = 0 AND work = 'VISUAL' THEN 'FAILED' ELSE 'COMPLETED' END AS status", "NOT (source % 11 = 0 AND work = 'AUDIO') AS complete")
+    given = v.facts.filter("CASE source % 7 WHEN 0 THEN FALSE WHEN 1 THEN modality = 'AUDIO' WHEN 2 THEN evidence_type IN ('TRANSCRIPT_REACTION_CUE', 'VISUAL_ACTIVITY') AND fact_order % 4 = 0 ELSE TRUE END")
+    return dc.source_status(promotions, analyses, given)

@@ -201,6 +201,18 @@ def q6(v):
     return ev.density(v.facts.filter("modality = 'AUDIO'"), sources, v.facts)
 
 
+@R.add("q6_density_summary", """
+WITH s AS (SELECT source, source % 4 AS dataset, 100000 + source * 100 AS duration_ms, count(*) FILTER (modality = 'VISUAL' AND source % 6 <> 0) AS n, coalesce(sum(end_ms - start_ms) FILTER (modality = 'VISUAL' AND source % 6 <> 0), 0) AS ms FROM v_facts GROUP BY 1),
+k AS (SELECT dataset, string_agg(modality || '=' || n, ',' ORDER BY modality || '=' || n) AS evidence FROM (SELECT source % 4 AS dataset, modality, count(*) AS n FROM v_facts GROUP BY 1, 2) GROUP BY 1)
+SELECT s.dataset, count(*) AS sources, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(ms) AS BIGINT) AS candidate_ms, sum(ms) / sum(duration_ms)::DOUBLE AS ratio, sum(n) * 60000 / sum(duration_ms)::DOUBLE AS per_minute, count(*) FILTER (n = 0) AS abstentions, count(*) FILTER (source % 9 = 0) AS partial_failures, any_value(evidence) AS evidence
+FROM s JOIN k ON k.dataset = s.dataset GROUP BY 1""")
+def q6_summary(v):
+    facts = v.facts.withColumn("dataset", F.col("source") % 4)
+    sources = facts.select("source").distinct().withColumn("duration_ms", F.expr("100000 + source * 100"))
+    own = ev.density(facts.filter("modality = 'VISUAL' AND source % 6 <> 0"), sources, facts).join(sources, "source").withColumn("dataset", F.col("source") % 4)
+    return ev.density_summary(own, facts, sources.filter("source % 9 = 0"))
+
+
 @R.add("q7_reference_coverage", f"""
 WITH a AS ({_merged("AUDIO")}) SELECT f.source, f.fact_order AS reference, CAST(coalesce(sum(CASE WHEN a.source IS NOT NULL THEN least(f.end_ms, a.end_ms) - greatest(f.start_ms, a.start_ms) END), 0) AS BIGINT) AS covered_ms, coalesce(sum(CASE WHEN a.source IS NOT NULL THEN least(f.end_ms, a.end_ms) - greatest(f.start_ms, a.start_ms) END), 0)::DOUBLE / (f.end_ms - f.start_ms) AS share
 FROM v_facts f LEFT JOIN a ON a.source = f.source AND f.start_ms < a.end_ms AND a.start_ms < f.end_ms WHERE f.modality = 'VISUAL' GROUP BY f.source, f.fact_order, f.start_ms, f.end_ms""")
