@@ -264,6 +264,28 @@ def d11(v):
     return dc.attach_evidence(found, v.facts, dc.attach_evidence(found, v.facts).join(kept, "fact_order").select("candidate", "fact_order"))
 
 
+@R.add("d11_reuse_candidates", """
+WITH p AS (SELECT source, fact_order AS proposal, start_ms, end_ms FROM v_facts), e AS (SELECT source, start_ms // 7 * 7 AS start_ms, end_ms // 7 * 7 AS end_ms, min(fact_order) AS candidate FROM v_facts GROUP BY 1, 2, 3)
+SELECT p.source, p.proposal, p.start_ms, p.end_ms, candidate, candidate IS NOT NULL AS reused FROM p LEFT JOIN e ON e.source = p.source AND e.start_ms = p.start_ms AND e.end_ms = p.end_ms""")
+def d11_reuse(v):
+    existing = v.facts.selectExpr("source", "fact_order AS candidate", "start_ms div 7 * 7 AS start_ms", "end_ms div 7 * 7 AS end_ms")
+    return dc.reuse_candidates(v.facts.select("source", F.col("fact_order").alias("proposal"), "start_ms", "end_ms"), existing)
+
+
+_EVIDENCE = """c AS (SELECT source, fact_order AS candidate, start_ms, end_ms + 5000 AS end_ms, 'R' || fact_order % 3 AS rule FROM v_facts WHERE modality = 'AUDIO'),
+m AS (SELECT candidate, f.fact_order, f.evidence_type, f.start_ms, f.end_ms, sha256(f.evidence_type || '|' || c.start_ms || '|' || c.end_ms || '|' || f.event_type || '|' || rule) AS fingerprint FROM c JOIN v_facts f ON f.source = c.source AND f.start_ms < c.end_ms AND c.start_ms < f.end_ms)"""
+
+
+@R.add("d11_attach_new", f"""WITH {_EVIDENCE}, n AS (SELECT *, row_number() OVER (PARTITION BY candidate, fingerprint ORDER BY fact_order) AS row FROM m WHERE NOT (candidate % 5 = 0 AND fingerprint IN (SELECT fingerprint FROM m x WHERE x.candidate = m.candidate AND x.fact_order % 2 = 0)))
+SELECT candidate, fact_order, evidence_type, start_ms, end_ms, fingerprint FROM n WHERE row = 1""")
+def d11_new(v):
+    candidates = v.facts.filter("modality = 'AUDIO'").select("source", F.col("fact_order").alias("candidate"), "start_ms", (F.col("end_ms") + 5_000).alias("end_ms"), F.concat(F.lit("R"), F.col("fact_order") % 3).alias("rule"))
+    facts = v.facts.withColumn("payload", F.col("event_type"))
+    none = v.facts.limit(0).select(F.col("fact_order").alias("candidate"), F.lit("").alias("fingerprint"))
+    before = dc.attach_new_evidence(candidates.filter("candidate % 5 = 0"), facts.filter("fact_order % 2 = 0"), none).select("candidate", "fingerprint")
+    return dc.attach_new_evidence(candidates, facts, before)
+
+
 @R.add("d12_refine_audio", """
 SELECT block, start_ms, end_ms FROM (SELECT s.fact_order AS block, a.start_ms, a.end_ms,
     row_number() OVER (PARTITION BY s.fact_order ORDER BY least(a.end_ms, s.end_ms) - greatest(a.start_ms, s.start_ms) DESC, a.end_ms - a.start_ms DESC, a.start_ms) AS rn
