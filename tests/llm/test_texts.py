@@ -134,6 +134,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(given.limit(0)).count() == 0
 
 
+def test_payloads_above_the_size_of_an_archive(spark):
+    """One payload is larger than an archive is meant to be, and one task writes several archives."""
+    rows = [(1, "a" * (warc.ARCHIVE_BYTES + 5)), (2, "b" * (warc.ARCHIVE_BYTES // 2)), (3, "c" * (warc.ARCHIVE_BYTES // 2 + 9)), (4, "d"), (5, "d"), (6, "e" * warc.ARCHIVE_BYTES)]
+    given = spark.createDataFrame([(k, "u", t) for k, t in rows], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["refers_to"], r["error"]) for r in warc.round_trip(given).collect()}
+    assert got == {k: (len(t), warc.sha1(t.encode()), 5 if k == 4 else None, None) for k, t in rows}
+
+
 def test_small_payloads_are_not_revisited(spark):
     kinds = {(r["page_id"], r["record_type"]) for r in warc.round_trip(pages(spark), 5).filter("payload_bytes < 5").collect()}
     assert {k for _, k in kinds} == {"response"}
