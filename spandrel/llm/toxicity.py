@@ -3,7 +3,7 @@
 A word comes in twice: as itself, if it is one of the commoner words of the training sample, and as its character trigrams.
 Both are embedded, the two gated recurrent passes read a window of `WINDOW` words from either end, attention pools their states,
 and a logit comes out. A document is cut into windows that overlap by half, all of them are scored, and the highest logit,
-calibrated on the training documents, gives the document's score. Training knows labels of documents only: each round it takes the
+calibrated on what networks of the other folds say of the training documents, gives the document's score. Training knows labels of documents only: each round it takes the
 window of each document that scores highest so far.
 
 The training sample is bounded: `PER_CLASS` labelled documents of either label, of `LONGEST_CHARS` characters at most, the first by a
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count, islice
 
 import numpy as np
@@ -35,6 +35,8 @@ WINDOW, STRIDE = 32, 16
 WORDS, TRIGRAMS, LEAST_DOCS = 4_096, 8_192, 3
 EMBED, HIDDEN = 12, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 120, 64, 0.01
+#: Parts of the training documents for the calibration; each is scored by a network that has not seen it.
+FOLDS = 2
 CUT = 0.7
 #: Windows scored at once, and words whose inputs a worker keeps.
 AT_ONCE, KEPT = 2_048, 100_000
@@ -209,6 +211,30 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 0) -> N
     said, y = [said[i] for i in kept], np.array([labels[i] for i in kept], np.float32)
     if not len(y) or y.min() == y.max():
         return None
+    net, told = _fitted(said, y, seed)
+    fold = _folds(said, y)
+    if all(0 < y[fold != k].sum() < (fold != k).sum() for k in range(FOLDS)):
+        for k in range(FOLDS):
+            other, _ = _fitted([w for w, f in zip(said, fold) if f != k], y[fold != k], seed)
+            at = np.flatnonzero(fold == k)
+            told[at] = Scorer(other).highest((said[i] for i in at), len(at))
+    _calibrate(net, told, y, share)
+    return net
+
+
+def _folds(said: list[list[str]], y: np.ndarray) -> np.ndarray:
+    """Folds of the documents, dealt in turn within each label; equal texts share one."""
+    fold: dict[tuple[str, ...], int] = {}
+    dealt = Counter()
+    for words, label in zip(said, y):
+        if (text := tuple(words)) not in fold:
+            fold[text] = dealt[label] % FOLDS
+            dealt[label] += 1
+    return np.array([fold[tuple(words)] for words in said])
+
+
+def _fitted(said: list[list[str]], y: np.ndarray, seed: int) -> tuple[Network, np.ndarray]:
+    """A network that is not calibrated, and its highest logit for each of its documents."""
     by_doc = Counter(x for w in said for x in set(w))
     common = sorted((x for x in by_doc.items() if x[1] >= LEAST_DOCS), key=lambda x: (-x[1], x[0]))[:WORDS]
     vocabulary = sorted(by_doc)
@@ -265,8 +291,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 0) -> N
                 g[name][0] = 0
             adam.step(net.p, g, rate)
     top = all_logits()
-    _calibrate(net, top[highest(top)], y, share)
-    return net
+    return net, top[highest(top)]
 
 
 def _odds(named: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -323,23 +348,20 @@ class Scorer:
             self.known = len(self.number)
         return np.concatenate([self.net.logits(self.table, rows[a : a + AT_ONCE]) for a in range(0, len(rows), AT_ONCE)])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
+    def highest(self, said: Iterable[list[str]], n: int) -> np.ndarray:
+        """The highest logit of n texts, given as their words; minus infinity for a text without words."""
+        out = np.full(n, -np.inf)
         waiting, owners, held = [], [], 0
 
         def run() -> None:
             nonlocal waiting, owners, held
             if held:
-                best = np.full(len(texts), -np.inf)
-                np.maximum.at(best, np.repeat([o for o, _ in owners], [n for _, n in owners]), self._logits(np.concatenate(waiting)))
-                for o, _ in owners:
-                    out[o] = max(out[o], 1 / (1 + math.exp(-max(-30, min(30, self.net.scale * best[o] + self.net.shift)))))
+                np.maximum.at(out, np.repeat([o for o, _ in owners], [k for _, k in owners]), self._logits(np.concatenate(waiting)))
             waiting, owners, held = [], [], 0
             if len(self.number) > KEPT:
                 self._forget()
 
-        for i, text in enumerate(texts):
-            words = words_of(text)
+        for i, words in enumerate(said):
             if not words:
                 continue
             ids = np.concatenate([self._ids(words), np.zeros(WINDOW, np.int32)])
@@ -356,6 +378,13 @@ class Scorer:
         run()
         return out
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        logits = self.highest(map(words_of, texts), len(texts))
+        told = np.isfinite(logits)
+        out = np.zeros(len(texts))
+        out[told] = _sigmoid(self.net.scale * logits[told] + self.net.shift)
+        return out
+
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

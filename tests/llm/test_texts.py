@@ -306,3 +306,47 @@ def test_long_texts_are_scored_in_all_windows():
     calm = " ".join(["abem"] * 90_000)
     low, high = toxicity.Scorer(net).scores([calm, calm + " zorkabem zorkidon"])
     assert high > 0.7 > low
+
+
+def plain_score(net, text):
+    """The score of a text window by window and word by word, from the equations."""
+    import re
+
+    words = re.findall(r"\w+", text.lower())
+    h, sigmoid = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    number = {tuple(t): i + 1 for i, t in enumerate((k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF) for k in map(int, net.trigrams))}
+
+    def embedded(word):
+        marked = [ord(c) for c in f"^{word}$"]
+        parts = [net.p["trigram"][number.get(tuple(marked[i : i + 3]), 0)] for i in range(len(word))]
+        return np.concatenate([net.p["word"][net.words.get(word, 0)], np.mean(parts, axis=0)]) @ net.p["in"] + net.p["in_bias"]
+
+    def read(xs, way):
+        state, out = np.zeros(h), []
+        for x in xs:
+            x, back = x[3 * h * way : 3 * h * (way + 1)], state @ net.p["back"][way]
+            z, r = sigmoid(x[:h] + back[:h]), sigmoid(x[h : 2 * h] + back[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * back[2 * h :])
+            out.append(state)
+        return out
+
+    best = -np.inf
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        xs = [embedded(w) for w in words[start : start + toxicity.WINDOW]]
+        both = np.concatenate([read(xs, 0), read(xs[::-1], 1)[::-1]], axis=1)
+        weights = np.exp(both @ net.p["attend"])
+        best = max(best, weights @ (both @ net.p["out"]) / weights.sum() + net.p["out_bias"][0])
+    return sigmoid(net.scale * best + net.shift)
+
+
+def test_scores_are_those_of_the_plain_equations():
+    rows = corpus(240)
+    net = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], 0.33)
+    texts = [t for _, t, _ in rows[:12]] + ["one", "Zork, zork!", " ".join(["abem"] * 32), " ".join(["ebid"] * 33), " ".join(["ebid"] * 48), " ".join(["ebid"] * 49 + ["zorkabem"])]
+    assert np.allclose(toxicity.Scorer(net).scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_folds_keep_copies_together_and_share_out_each_label():
+    said, y = [["a"], ["b"], ["a"], ["c"], ["d"], ["e"], ["a"]], np.array([1, 1, 1, 0, 0, 0, 1], np.float32)
+    fold = toxicity._folds(said, y)
+    assert fold[0] == fold[2] == fold[6] != fold[1] and set(fold[3:6]) == set(range(toxicity.FOLDS))
