@@ -27,6 +27,7 @@ SCHEMAS = {
     "render_runs": "render_id string, project_id string, status string, plan_snapshot string, created_at timestamp, started_at timestamp, finished_at timestamp, output_size_bytes bigint, duration_seconds double, output_sha256 string, safe_error_code string, lease_expires_at timestamp",
     "taste_events": "id string, project_id string, mark string, at timestamp, how string, candidate_id string, tags array<string>, seconds double, from_seconds double, undone boolean",
     "taste_scores": "project_id string, scene_candidate_id string, score int, why string",
+    "reel_shots": "project_id string, shot_index int, source_video_id string, source_filename string, start_seconds decimal(12,3), end_seconds decimal(12,3), caption string, speech string, speech_start_seconds decimal(12,3), speech_end_seconds decimal(12,3), item string, activity string",
     "frame_prints": "video string, time_seconds double, sig array<float>",
     "audio_frames": "source_video_id string, start_seconds double, end_seconds double, level_dbfs double",
     "motion_scores": "source_video_id string, time_seconds double, score double",

@@ -162,3 +162,11 @@ def test_local_events(spark, rows):
     assert rows(members, "event", "candidate") == [(1, 1), (1, 2), (1, 3), (4, 4)]
     got = rows(gr.event_proposals(members, facts))
     assert got == [(1, 4_080, 6_120, 3, 0, "4600-4640,4840-5540"), (4, 8_860, 11_000, 1, 0, "")]
+
+
+def test_reel_shots_are_written_and_read(spark, tmp_path):
+    kind = "project_id string, shot_index int, source_video_id string, source_filename string, start_seconds double, end_seconds double, caption string, speech string, speech_start_seconds double, speech_end_seconds double, item string, activity string"
+    shots = spark.createDataFrame([("p", 1, "s", "f.mp4", 0.5, 2.25, "c", "said", None, 1.0, "red hat", "walk"), ("p", 2, "s", "f.mp4", 3.0, 4.0, None, "", None, None, "", None)], kind)
+    tb.write_table(shots, f"{tmp_path}/shots", "reel_shots")
+    got = {r["shot_index"]: r for r in tb.read_table(spark, f"{tmp_path}/shots", "reel_shots").collect()}
+    assert float(got[1]["end_seconds"]) == 2.25 and got[1]["speech_start_seconds"] is None and got[2]["caption"] is None and got[2]["project_id"] == "p"
