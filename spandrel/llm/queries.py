@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity, warc
+from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, prefix_trie, quality, sharding, simhash, toxicity, warc
 from spandrel.llm.common import table
 
 #: Vocabulary of op5, an installed public file.
@@ -56,9 +56,13 @@ def op10_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_conversations(given.unionByName(tricky)))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_toxicity, op2_quality_rules, op3_lpt_sharding, op4_license_scan, op5_bpe, op6_exact_dedup, op7_best_fit_packing,
-    op8_warc, op9_simhash_near_dedup, op10_chat_format,
+    op8_warc, op9_simhash_near_dedup, op10_chat_format, op11_prefix_trie,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -110,5 +114,21 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(15 + length(role) + length(text) + len(regexp_extract_all(role, '\\|###|:|</turn>')) + len(regexp_extract_all(text, '\\|###|:|</turn>')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, length(text)::BIGINT AS chars, sha256(length(role)::VARCHAR || ':' || role || text) AS id FROM t),
+o AS (SELECT conv_id, list({'id': id, 'chars': chars} ORDER BY turn NULLS FIRST, id) AS own,
+             list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) AS crc FROM k GROUP BY conv_id),
+h AS (SELECT *, (xor(crc, 4294967295::BIGINT) % 6)::BIGINT AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, h.h), list_slice(h.own, h.h + 1, len(h.own))) AS s FROM h LEFT JOIN o AS b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, array_to_string(list_transform(list_slice(s, 1, d), lambda x: x.id), '') AS key, CASE WHEN d > 0 THEN s[d].chars ELSE 0 END AS chars, len(s) = d AS ends FROM r, unnest(range(0, len(s) + 1)) AS u(d)),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY key, d),
+c AS (SELECT left(key, 64 * (d - 1)) AS up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.key),
+b AS (SELECT left(key, 64 * a) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM m, unnest(range(0, d + 1)) AS u(a) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN b ON b.key = m.key LEFT JOIN n AS q ON m.d > 0 AND q.key = left(m.key, 64 * (m.d - 1))
 """,
 }
