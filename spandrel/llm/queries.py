@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, prefix_trie, quality, sharding, simhash, toxicity, warc
+from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, phrases, prefix_trie, quality, sharding, simhash, toxicity, warc
 from spandrel.llm.common import table
 
 #: Vocabulary of op5, an installed public file.
@@ -60,9 +60,13 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_toxicity, op2_quality_rules, op3_lpt_sharding, op4_license_scan, op5_bpe, op6_exact_dedup, op7_best_fit_packing,
-    op8_warc, op9_simhash_near_dedup, op10_chat_format, op11_prefix_trie,
+    op8_warc, op9_simhash_near_dedup, op10_chat_format, op11_prefix_trie, op12_phrases,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -130,5 +134,26 @@ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.
 b AS (SELECT left(key, 64 * a) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM m, unnest(range(0, d + 1)) AS u(a) GROUP BY 1)
 SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
 FROM m JOIN b ON b.key = m.key LEFT JOIN n AS q ON m.d > 0 AND q.key = left(m.key, 64 * (m.d - 1))
+""",
+    "op12_phrases": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+g AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM w, unnest(range(1, len(ws) + 1)) AS u(i)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+s2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r,
+              CAST(1000000::HUGEINT * f2.f * f2.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+       FROM f2 JOIN f1 AS x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 AS y ON y.lang = f2.lang AND y.w1 = f2.w2
+       WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+         AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)),
+c3 AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+              CAST(1000000::HUGEINT * f3.f * f3.f // (x.f::HUGEINT * yz.f) AS BIGINT) AS s1, CAST(1000000::HUGEINT * f3.f * f3.f // (xy.f::HUGEINT * z.f) AS BIGINT) AS s2
+       FROM f3 JOIN f1 AS x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f1 AS z ON z.lang = f3.lang AND z.w1 = f3.w3
+       JOIN f2 AS xy ON xy.lang = f3.lang AND xy.w1 = f3.w1 AND xy.w2 = f3.w2 JOIN f2 AS yz ON yz.lang = f3.lang AND yz.w1 = f3.w2 AND yz.w2 = f3.w3),
+e AS (SELECT lang, phrase, a, l, r, score FROM s2
+      UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang) AS s ON s.lang = k.lang WHERE rank <= 2000
 """,
 }
