@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from spandrel.llm import bpe, chat, exact_dedup, licenses, packing, phrases, prefix_trie, quality, sharding, simhash, toxicity, warc
+from spandrel.llm import bpe, chat, exact_dedup, licenses, neighbours, packing, phrases, prefix_trie, quality, sharding, simhash, toxicity, warc
 from spandrel.llm.common import table
 
 #: Vocabulary of op5, an installed public file.
@@ -64,9 +65,13 @@ def op12_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 _ALL = (
     op1_toxicity, op2_quality_rules, op3_lpt_sharding, op4_license_scan, op5_bpe, op6_exact_dedup, op7_best_fit_packing,
-    op8_warc, op9_simhash_near_dedup, op10_chat_format, op11_prefix_trie, op12_phrases,
+    op8_warc, op9_simhash_near_dedup, op10_chat_format, op11_prefix_trie, op12_phrases, op13_nearest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
