@@ -15,6 +15,7 @@ give repeated results; a null doc_id stays null; other columns are ignored; an e
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -26,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 SHORT, KEPT, LONGEST_KEPT = 64, 250_000, 256
 #: Unicode white space; Python's own notion adds four control characters to it.
@@ -36,6 +38,29 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{
 _NONE = 1 << 60
 
 
+@functools.cache
+def _unassigned() -> tuple[regex.Pattern, normalizers.Normalizer, pre_tokenizers.PreTokenizer]:
+    """What finds code points that Python's own table has no letter for, and the library's normaliser and splitter for pieces that hold one.
+
+    Python, the pattern engine and the library have tables of different years, which differ on such code points only. Made when first needed.
+    """
+    codes = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if after != c + 1]
+    holds = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(starts, ends)) + "]")
+    pattern = Regex(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    return holds, normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(pattern, "removed", invert=True)
+
+
+def split_words(piece: str) -> list[str]:
+    """The words of a lower-case piece without white space."""
+    if not piece.isascii():
+        holds, normal, split = _unassigned()
+        if holds.search(piece):
+            return [word for word, _ in split.pre_tokenize_str(normal.normalize_str(piece))]
+    return _WORDS.findall(piece)
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it prints, else one from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -72,7 +97,7 @@ class Bpe:
         self.names = {i: t for t, i in (vocab | specials).items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.word = _Kept(self._word)
-        self.piece = _Kept(lambda piece: b"".join(map(self.word, _WORDS.findall(piece))))
+        self.piece = _Kept(lambda piece: b"".join(map(self.word, split_words(piece))))
 
     def _word(self, word: str) -> bytes:
         data = word.encode()

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from spandrel.llm import bpe, chat, exact_dedup, licenses, neighbours, packing, phrases, prefix_trie, quality, sharding, simhash, toxicity, warc
 from spandrel.llm.common import table
-
-#: Vocabulary of op5, an installed public file.
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: The conversation that op10 adds: its texts hold the format's own control strings.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -31,7 +27,9 @@ def op4_license_scan(spark, sf_dir):
 
 
 def op5_bpe(spark, sf_dir):
-    return bpe.digest_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+    import public_tokenizers  # vocabularies are installed apart from the library
+
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -91,7 +89,8 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS soft_failed FROM m),
 h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (base_failed OR soft_failed) AS host_failed,
              count(*) FILTER (base_failed OR soft_failed) / count(*)::DOUBLE AS rate FROM f GROUP BY source),
-v AS (SELECT avg(rate) AS mean, var_pop(rate) - avg(rate) * (1 - avg(rate)) * avg(1.0::DOUBLE / host_docs) AS spread FROM h),
+c AS (SELECT avg(rate) AS mean, var_pop(rate) AS variance, avg(1.0::DOUBLE / host_docs) AS chance FROM h),
+v AS (SELECT mean, CASE WHEN chance < 1 THEN (variance - mean * (1 - mean) * chance) / (1 - chance) ELSE 0 END AS spread FROM c),
 s AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e12, greatest(mean * (1 - mean) / spread - 1, 1e-6)) ELSE 1e12 END AS weight FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_docs, host_failed,
        NOT base_failed AND NOT soft_failed AND NOT (host_failed + mean * weight) / (host_docs + weight) > 0.5 AS kept

@@ -4,17 +4,29 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 from tokenizers import Tokenizer
 
 from spandrel.llm import bpe, chat, licenses, toxicity, warc
 from spandrel.llm.common import new_path
-from spandrel.llm.queries import TRICKY, WORD_BPE
+from spandrel.llm.queries import TRICKY
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 from spandrel.llm.template import Template, TemplateError
 from tests.llm.conftest import words
 
 
+def test_bpe_splits_at_every_code_point_as_the_library():
+    """Each code point between two letters, four hundred to a text; letters newer than the library's table included."""
+    theirs, mine = Tokenizer.from_file(WORD_BPE), bpe.Bpe(*bpe.read_vocabulary(WORD_BPE))
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{chr(c)}b" for c in codes[k : k + 400]) for k in range(0, len(codes), 400)]
+    for text, encoded in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(mine.encode(text), dtype="<u4").tolist() == encoded.ids
+
+
 def test_bpe_equals_the_library(docs, texts, empty):
     theirs = Tokenizer.from_file(WORD_BPE)
     theirs.no_truncation()
