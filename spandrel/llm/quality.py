@@ -75,7 +75,8 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     mean, spread, chance = hosts.agg(F.avg("rate"), F.var_pop("rate"), F.avg(1 / F.col("docs"))).first()
     if mean is None:
         return 1.0, 1.0
-    spread -= mean * (1 - mean) * chance
+    # Rates vary by spread * (1 - chance) + mean * (1 - mean) * chance; hosts of one document each tell nothing of the spread.
+    spread = (spread - mean * (1 - mean) * chance) / (1 - chance) if chance < 1 else 0.0
     weight = min(1e12, max(mean * (1 - mean) / spread - 1, 1e-6)) if spread > 0 else 1e12
     return mean * weight, (1 - mean) * weight
 

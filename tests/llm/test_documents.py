@@ -197,13 +197,21 @@ def test_quality_measures_and_verdicts(docs, texts, empty):
     assert kept.columns == docs.columns and kept.count() == out.filter("kept").count()
 
 
-def test_prior_is_free_of_chance(spark):
-    """Rates of beta(3, 9) hosts of five documents each: the fitted prior has their mean and nearly their weight."""
+@pytest.mark.parametrize("alpha,beta,sizes", [(3, 9, [5]), (2, 2, [1, 100]), (2, 2, [1, 2, 3, 50]), (1, 6, [2])])
+def test_prior_is_free_of_chance(spark, alpha, beta, sizes):
+    """Hosts with rates of a known beta distribution: the fitted prior has its mean and its weight, whatever the sizes of hosts."""
     r = np.random.default_rng(5)
-    failed = r.binomial(5, r.beta(3, 9, 4_000))
-    hosts = spark.createDataFrame([(5, int(k), int(k) / 5) for k in failed], "docs long, failed long, rate double")
+    docs = r.choice(sizes, 40_000)
+    failed = r.binomial(docs, r.beta(alpha, beta, 40_000))
+    hosts = spark.createDataFrame([(int(n), int(k), int(k) / int(n)) for n, k in zip(docs, failed)], "docs long, failed long, rate double")
+    a, b = quality.beta_prior(hosts)
+    assert abs(a / (a + b) - alpha / (alpha + beta)) < 0.01 and abs(a + b - alpha - beta) < 0.1 * (alpha + beta)
+
+
+def test_prior_of_hosts_of_one_document(spark):
+    hosts = spark.createDataFrame([(1, k % 4 == 0, float(k % 4 == 0)) for k in range(100)], "docs long, failed boolean, rate double")
     alpha, beta = quality.beta_prior(hosts)
-    assert abs(alpha / (alpha + beta) - 0.25) < 0.02 and 8 < alpha + beta < 18
+    assert abs(alpha / (alpha + beta) - 0.25) < 1e-9 and alpha + beta > 1e9
 
 
 def test_bad_hosts_lose_their_documents(spark):
