@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.running import running_sum
 from spandrel.functions.shared import spread
 from spandrel.operators.intervals import complement, overlap_join
 
@@ -16,6 +17,8 @@ KEEP_RATIO, MOST_CLIP_MS, SNAP_MS, MOST_CHAPTERS = 0.6, 45_000, 4_000, 12
 LEAST_MINUTES, MOST_MINUTES, FOOTAGE_SHARE = 3, 25, 0.25
 CHANGED_MS, TOP_CHOICES, CUT_FLOOR = 300, 6, 1.0
 MODE_SHARE, LEAST_SHOT_MS = 3, 1_000
+#: Paddings, in milliseconds, that one task adds up the bends of.
+BEND_MS = 250
 
 
 def score_candidates(requests: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -184,12 +187,14 @@ def fit_to_length(bounded: DataFrame, speech: DataFrame, targets: DataFrame) ->
     bends = bends.unionByName(bend(holds, "from_ms", F.col("to_ms") - F.col("from_ms"), -1)).unionByName(bend(holds.filter("to_ms <= limit_ms"), "to_ms", none, 1))
     base = bounded.groupBy("project").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("base_ms")).join(targets, "project").filter("base_ms < target_ms")
     at_bend = bends.groupBy("project", "pad").agg(F.sum("step").alias("step"), F.sum("slope").alias("slope")).join(base, "project")
-    w = Window.partitionBy("project").orderBy("pad").rowsBetween(Window.unboundedPreceding, 0)
-    line = at_bend.select("project", "pad", "target_ms", F.sum("slope").over(w).alias("rise"), (F.col("base_ms") + F.sum(F.col("step") - F.col("slope") * F.col("pad")).over(w)).alias("level"))
+    rising = running_sum(at_bend, ["project"], ["pad"], F.col("slope"), "rise", including=True, span=BEND_MS)
+    line = running_sum(rising, ["project"], ["pad"], F.col("step") - F.col("slope") * F.col("pad"), "level", including=True, span=BEND_MS)
+    line = line.select("project", "pad", "target_ms", "rise", (F.col("base_ms") + F.col("level")).alias("level"))
     reached = F.col("level") + F.col("rise") * F.col("pad")
     meets = F.when(reached >= F.col("target_ms"), F.col("pad")).when(F.col("rise") > 0, (F.col("target_ms") - F.col("level")) / F.col("rise"))
-    following = F.lead("pad").over(Window.partitionBy("project").orderBy("pad"))
-    pads = line.withColumns({"meets": meets, "following": following}).filter("meets < following OR following IS NULL").groupBy("project").agg(F.min("meets").alias("pad"))
+    # Where the line meets the target after the last bend before it. Lengths never fall, so bends below the target come first.
+    pads = line.withColumn("meets", meets).groupBy("project").agg(F.max_by(F.col("meets"), F.when(reached < F.col("target_ms"), F.col("pad"))).alias("after"), F.min(F.when(reached >= F.col("target_ms"), F.col("pad"))).alias("at"))
+    pads = pads.select("project", F.least("after", "at").alias("pad"))
     pads = base.select("project").join(pads, "project", "left").select("project", F.coalesce("pad", F.lit(float(MOST_CLIP_MS))).alias("pad"))
 
     grown = limited.join(pads, "project").withColumn("own_ms", F.least("pad", "limit_ms"))

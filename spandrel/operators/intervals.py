@@ -1,6 +1,6 @@
 """Half-open intervals [start_ms, end_ms) by key: joins, unions, gaps, sessions, timelines.
 
-Times are whole milliseconds. Overlap is strict (touching intervals do not overlap); merging treats touching ones as one.
+Keys of any number of rows spread over tasks (`functions/running.py`). Times are whole milliseconds. Overlap is strict (touching intervals do not overlap); merging treats touching ones as one.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.running import islands, last_known, running_sum
+
 BUCKET_MS = 60_000
 #: Intervals of more buckets than this are joined on buckets so many times as wide.
 WIDE = 64
@@ -52,16 +54,9 @@ def overlap_semi(a: DataFrame, b: DataFrame, key: Sequence[str], row: Sequence[s
     return a.join(hit, list(row), "left_anti" if anti else "left_semi")
 
 
-def _islands(df: DataFrame, key: Sequence[str], gap_ms: int) -> DataFrame:
-    ordered = Window.partitionBy(*key).orderBy("start_ms", "end_ms")
-    before = F.max("end_ms").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("start_ms") - before <= gap_ms, 0).otherwise(1)
-    return df.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
-
-
 def merge_intervals(df: DataFrame, key: Sequence[str], gap_ms: int = 0) -> DataFrame:
     """The union of each key's intervals: (key, start_ms, end_ms)."""
-    return _islands(df, key, gap_ms).groupBy(*key, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
+    return islands(df.select(*key, "start_ms", "end_ms"), key, gap_ms).groupBy(*key, "island_ms").agg(F.max("end_ms").alias("end_ms")).select(*key, F.col("island_ms").alias("start_ms"), "end_ms")
 
 
 def complement(df: DataFrame, key: Sequence[str], bounds: DataFrame) -> DataFrame:
@@ -81,21 +76,17 @@ def overlap_time(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def asof(left: DataFrame, right: DataFrame, key: Sequence[str], value: str, direction: str = "backward") -> DataFrame:
-    """left (key, time_ms, ...) with the value of right's nearest row at or before (backward) or at or after (forward) it, by one sort."""
+    """left (key, time_ms, ...) with the value of right's nearest row at or before (backward) or at or after (forward) it; of right's rows at one time the greatest value."""
     rows = left.withColumns({"__value": F.lit(None).cast(right.schema[value].dataType), "__left": F.lit(1)})
     known = right.select(*key, "time_ms", F.col(value).alias("__value"), F.lit(0).alias("__left"))
     both = rows.unionByName(known, allowMissingColumns=True)
-    if direction == "backward":
-        w = Window.partitionBy(*key).orderBy(F.col("time_ms"), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(*key).orderBy(F.col("time_ms").desc(), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"{direction}_{value}", F.last("__value", ignorenulls=True).over(w)).filter("__left = 1").select(*left.columns, f"{direction}_{value}")
+    return last_known(both, key, "time_ms", "__value", ["__left"], f"{direction}_{value}", forward=direction == "forward").filter("__left = 1").select(*left.columns, f"{direction}_{value}")
 
 
 def sessionize(df: DataFrame, key: Sequence[str], gap_ms: int, min_ms: int, value: str) -> DataFrame:
     """Intervals joined over gaps of gap_ms at most; those of min_ms at least, with the peak, the sum and the number of values."""
-    grouped = _islands(df, key, gap_ms).groupBy(*key, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max(value).alias("peak"), F.sum(value).alias("total"), F.count(value).alias("n"))
-    return grouped.filter(F.col("end_ms") - F.col("start_ms") >= min_ms).drop("island")
+    grouped = islands(df.select(*key, "start_ms", "end_ms", value), key, gap_ms).groupBy(*key, "island_ms").agg(F.max("end_ms").alias("end_ms"), F.max(value).alias("peak"), F.sum(value).alias("total"), F.count(value).alias("n"))
+    return grouped.withColumnRenamed("island_ms", "start_ms").filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
 
 
 def split_intervals(df: DataFrame, max_ms: int) -> DataFrame:
@@ -109,8 +100,7 @@ def split_intervals(df: DataFrame, max_ms: int) -> DataFrame:
 
 def offsets(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with offset_ms: where each clip begins on its key's timeline when the clips play in order."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset_ms", F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")).over(w), F.lit(0)).cast("long"))
+    return running_sum(df, key, order, F.col("end_ms") - F.col("start_ms"), "offset_ms").withColumn("offset_ms", F.col("offset_ms").cast("long"))
 
 
 def clip_at(points: DataFrame, plan: DataFrame, key: Sequence[str], order: Sequence[str], clip: str) -> DataFrame:
