@@ -34,7 +34,16 @@ def _dealt(rows: DataFrame, block: int, name: str) -> DataFrame:
     """rows that are not flat, with the number of blocks of their project and the row's own block."""
     lit = rows.filter(F.exists("sig", lambda x: x != 0))
     blocks = lit.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"{name}_blocks"))
-    return lit.join(blocks, "project").withColumn(name, F.pmod(F.xxhash64("time_ms", "sig"), F.col(f"{name}_blocks")).cast("int"))
+    return lit.join(blocks, "project").withColumn(name, F.pmod(F.xxhash64(*[c for c in lit.columns if c != "sig"]), F.col(f"{name}_blocks")).cast("int"))
+
+
+def _highest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of each row, of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return np.nonzero(np.ones(scores.shape, dtype=bool))
+    least = np.partition(scores, -k, axis=1)[:, -k, None]
+    above, equal = scores > least, scores == least
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))))
 
 
 def topk_matches(edit: DataFrame, source: DataFrame, k: int = TOP, edit_block: int = EDIT_BLOCK, source_block: int = SOURCE_BLOCK) -> DataFrame:
@@ -51,13 +60,13 @@ def topk_matches(edit: DataFrame, source: DataFrame, k: int = TOP, edit_block: i
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in ("project", "video", "edit_ms", "source", "source_ms", "score")})
+        b = b.sort_values(["source", "time_ms"])  # of equal scores the first columns count, as in the ranking
         theirs = np.stack(b["sig"].to_numpy()).T
         parts = []
         for at in range(0, len(a), AT_ONCE):
             some = a.iloc[at : at + AT_ONCE]
             scores = np.stack(some["sig"].to_numpy()) @ theirs
-            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else scores.min(axis=1)
-            row, col = np.nonzero(scores >= least[:, None])  # equal scores go on to the ranking
+            row, col = _highest(scores, k)
             parts.append(pd.DataFrame({"project": some["project"].to_numpy()[row], "video": some["video"].to_numpy()[row], "edit_ms": some["time_ms"].to_numpy()[row], "source": b["source"].to_numpy()[col], "source_ms": b["time_ms"].to_numpy()[col], "score": scores[row, col]}))
         return pd.concat(parts)
 

@@ -27,46 +27,72 @@ def linked(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _grown(rows: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one component: edges from the least-linked ends on; a candidate joins a group whose members it is all linked to."""
-    links: dict = {}
-    for a, b in zip(rows["a"], rows["b"]):
-        links.setdefault(a, set()).add(b)
-        links.setdefault(b, set()).add(a)
-    degree = {k: len(v) for k, v in links.items()}
-    order = sorted({(min(a, b), max(a, b)) for a, b in zip(rows["a"], rows["b"])}, key=lambda e: (degree[e[0]] + degree[e[1]], *e))
-    groups: list[set] = []
-    home: dict = {}
-    prevented = 0
-    for a, b in order:
-        if a not in home and b not in home:
-            home[a] = home[b] = len(groups)
-            groups.append({a, b})
-        elif a in home and b in home:
-            prevented += home[a] != home[b]
-        else:
-            new, at = (b, home[a]) if a in home else (a, home[b])
-            if groups[at] <= links[new]:
-                groups[at].add(new)
-                home[new] = at
-            else:
-                prevented += 1
-    torn = {c for c, at in home.items() if any(g <= links[c] for g in (groups[k] for k in {home[x] for x in links[c] if x in home}) if c not in g)}
-    kept = [g - torn for g in groups]
-    out = [(c, min(g)) for g in kept if len(g) >= 2 for c in sorted(g)]
-    grouped = {c for c, _ in out}
-    out += [(c, None) for c in sorted(links) if c not in grouped]
-    return pd.DataFrame(out, columns=["candidate", "group_id"]).assign(component=rows["component"].iloc[0], prevented=prevented).astype({"group_id": "Int64"})
+def _round(edges: DataFrame, homes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of growth: edges with their new state, and the homes after it.
+
+    edges: a, b, left, right (a's and b's group, or the candidate itself), in_a, in_b (whether that is a group), turn, component; all open. An edge acts if its
+    turn is the least of all open edges at both of its sides, as nothing that comes before it can then change either side.
+    """
+    sides = edges.select(F.explode(F.array("left", "right")).alias("side"), "turn").groupBy("side").agg(F.min("turn").alias("first"))
+    at = lambda name: sides.select(F.col("side").alias(name), F.col("first").alias(f"{name}_first"))
+    acting = edges.join(at("left"), "left").join(at("right"), "right").filter("turn = left_first AND turn = right_first")
+    founded = F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("home")), F.struct(F.col("b").alias("node"), F.col("a").alias("home")))
+    joined = F.array(F.when(F.col("in_a"), F.struct(F.col("b").alias("node"), F.col("left").alias("home"))).otherwise(F.struct(F.col("a").alias("node"), F.col("right").alias("home"))))
+    settled = stored(acting.select(F.explode(F.when(F.col("in_a") | F.col("in_b"), joined).otherwise(founded)).alias("s")).select("s.*"), "settled")
+    homes = stored(homes.unionByName(settled), "homes")
+
+    new = lambda end, side: settled.select(F.col("node").alias(end), F.col("home").alias(f"{side}_home"))
+    moved = edges.join(new("a", "left"), "a", "left").join(new("b", "right"), "b", "left").select(
+        "a", "b", F.coalesce("left_home", "left").alias("left"), F.coalesce("right_home", "right").alias("right"), (F.col("in_a") | F.col("left_home").isNotNull()).alias("in_a"), (F.col("in_b") | F.col("right_home").isNotNull()).alias("in_b"), "turn", "component",
+    )
+    # A candidate can only join a group that all its members link to. Groups only grow, so a link missing once is missing for good.
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    one = F.when(F.col("in_a") != F.col("in_b"), F.when(F.col("in_a"), F.struct(F.col("left").alias("g"), F.col("b").alias("c"))).otherwise(F.struct(F.col("right").alias("g"), F.col("a").alias("c"))))
+    beside = moved.withColumn("pair", one)
+    links = beside.filter("pair IS NOT NULL").groupBy("pair").agg(F.count(F.lit(1)).alias("links")).join(sizes, F.col("pair.g") == F.col("home")).filter("links < size").select("pair", F.lit(True).alias("missing"))
+    state = F.when(F.col("in_a") & F.col("in_b"), F.when(F.col("left") == F.col("right"), "inside").otherwise("bridge")).when(F.col("missing"), "bridge").otherwise("open")
+    return stored(beside.join(links, "pair", "left").withColumn("state", state).drop("pair", "missing"), "edges"), homes
 
 
 def conservative_groups(edges: DataFrame) -> DataFrame:
     """(candidate, group_id, component, prevented) of candidates with a link; group_id is the group's least candidate, null if unassigned.
 
-    Components are independent, so each one is a group of rows by itself; `prevented` counts the bridges between groups that were not taken.
+    Links take turns, those of least-linked ends first. A link between two free candidates founds a group; a free candidate joins a group if it is linked to
+    every member; any other link between groups, or to a group that does not know the candidate whole, is a bridge and counts as prevented. A candidate
+    that is also linked to every member of another group leaves its own.
+
+    Rounds let all links act at once whose turn is the least on both sides, so groups of one component grow side by side. State is a table of open links and
+    one of homes; the driver sees whether links are open. Membership is tested by counting links, so no component is gathered.
     """
     pairs = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     parts = linked(pairs)
-    return spread(pairs.join(parts, pairs["a"] == parts["node"]).select("component", "a", "b"), "component").groupBy("component").applyInPandas(_grown, "candidate long, group_id long, component long, prevented long")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda end: degree.select(F.col("a").alias(end), F.col("n").alias(f"n_{end}"))
+    turn = F.struct((F.col("n_a") + F.col("n_b")).alias("links"), "a", "b")
+    begun = pairs.join(of("a"), "a").join(of("b"), "b").join(parts.withColumnRenamed("node", "a"), "a")
+    no = F.lit(False)
+    open_edges = stored(begun.select("a", "b", F.col("a").alias("left"), F.col("b").alias("right"), no.alias("in_a"), no.alias("in_b"), turn.alias("turn"), "component"), "edges")
+    homes = pairs.sparkSession.createDataFrame([], "node long, home long")
+    bridges = None
+    while not open_edges.isEmpty():
+        after, homes = _round(open_edges, homes)
+        found = after.filter("state = 'bridge'").select("component")
+        bridges = found if bridges is None else bridges.unionByName(found)
+        open_edges = after.filter("state = 'open'").drop("state")
+    if bridges is None:
+        return pairs.sparkSession.createDataFrame([], "candidate long, group_id long, component long, prevented long")
+    prevented = bridges.groupBy("component").agg(F.count(F.lit(1)).alias("prevented"))
+
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    own, theirs = homes.select(F.col("node").alias("a"), F.col("home").alias("own")), homes.select(F.col("node").alias("b"), F.col("home").alias("other"))
+    known = both.join(own, "a").join(theirs, "b").filter("own <> other").groupBy("a", "other").agg(F.count(F.lit(1)).alias("links"))
+    torn = known.join(sizes, known["other"] == sizes["home"]).filter("links = size").select(F.col("a").alias("node")).distinct()
+    stay = homes.join(torn, "node", "left_anti")
+    named = stay.groupBy("home").agg(F.min("node").alias("group_id"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    grouped = stay.join(named, "home").select("node", "group_id")
+    out = parts.join(grouped, "node", "left").join(prevented, "component", "left")
+    return out.select(F.col("node").alias("candidate"), "group_id", "component", F.coalesce("prevented", F.lit(0)).cast("long").alias("prevented"))
 
 
 #: Evidence that can carry an event from one candidate to the next.
