@@ -2,7 +2,7 @@
 
 Rows are cut into cells of (key, span of the order). Each cell gives one row with what it carries on (a sum, a greatest end, a last value); a window over
 those few rows gives each cell what comes before it; a window within the cell does the rest. Cells are dealt by one exchange, which the carries and the
-rows both read.
+rows both read if the rows are wanted whole; else what they come from is read twice, so several of these in a row should have a stored table between.
 """
 
 from __future__ import annotations
@@ -46,17 +46,22 @@ def carried(rows: DataFrame, key: Sequence[str], before: dict[str, Column], *the
     return rows.join(found.select(_CELL, *names).hint("shuffle_hash"), _CELL)  # a row for each cell of a task, and the rows stay where they are
 
 
-def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, name: str, including: bool = False, span: int | None = None) -> DataFrame:
-    """df with the sum of value over the rows before each one (and itself, with including) in the key's order.
+def running_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], values: dict[str, Column], including: bool = False, span: int | None = None) -> DataFrame:
+    """df with the sums of values, by name, over the rows before each one (and itself, with including) in the key's order.
 
     The first column of the order makes the cells if it is a number, `span` wide; else a key is one cell.
     """
     kind = df.schema[order[0]].dataType.typeName()
     cell = span_of(order[0], span or (SPAN_MS if order[0].endswith("_ms") else SPAN_POSITIONS)) if kind in ("byte", "short", "integer", "long", "float", "double") else F.lit(0).cast("long")
-    rows = dealt(df.withColumn("__value", value), key, cell)
-    both = carried(rows, key, {"carry_sum": F.sum("__sum")}, __sum=F.sum("__value"))
-    local = F.sum("__value").over(within(*order).rowsBetween(Window.unboundedPreceding, 0 if including else -1))
-    return both.withColumn(name, F.coalesce("carry_sum", F.lit(0)) + F.coalesce(local, F.lit(0))).drop("carry_sum", "__value", _CELL)
+    rows = dealt(df.withColumns({f"__{n}": v for n, v in values.items()}), key, cell)
+    both = carried(rows, key, {f"carry_{n}": F.sum(f"sum_{n}") for n in values}, **{f"sum_{n}": F.sum(f"__{n}") for n in values})
+    local = within(*order).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    sums = {n: F.coalesce(f"carry_{n}", F.lit(0)) + F.coalesce(F.sum(f"__{n}").over(local), F.lit(0)) for n in values}
+    return both.withColumns(sums).drop(_CELL, *[f"carry_{n}" for n in values], *[f"__{n}" for n in values])
+
+
+def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, name: str, including: bool = False, span: int | None = None) -> DataFrame:
+    return running_sums(df, key, order, {name: value}, including, span)
 
 
 def last_known(df: DataFrame, key: Sequence[str], time: str, value: str, after: Sequence[str], name: str, forward: bool = False, span: int = SPAN_MS) -> DataFrame:
@@ -70,6 +75,14 @@ def last_known(df: DataFrame, key: Sequence[str], time: str, value: str, after:
     return both.withColumn(name, F.coalesce(local, F.col("carry_last.v"))).drop("carry_last", _CELL)
 
 
+def previous(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, name: str, span: int | None = None) -> DataFrame:
+    """df with the value of the row before each one in the key's order, null for the first; the order's first column is a number."""
+    rows = dealt(df, key, span_of(order[0], span or (SPAN_MS if order[0].endswith("_ms") else SPAN_POSITIONS)))
+    held = F.struct(F.col(value).alias("v"))
+    both = carried(rows, key, {"carry_row": F.last("__last")}, __last=F.max_by(held, F.struct(*order)))
+    return both.withColumn(name, F.coalesce(F.lag(held).over(within(*order)), F.col("carry_row"))["v"]).drop("carry_row", _CELL)
+
+
 def islands(df: DataFrame, key: Sequence[str], gap_ms: int, span: int = SPAN_MS) -> DataFrame:
     """df (key, start_ms, end_ms, ...) with island_ms: where the row's island begins, joining over gaps of gap_ms at most."""
     rows = dealt(df, key, span_of("start_ms", span))

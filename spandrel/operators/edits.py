@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.functions.running import running_sum
-from spandrel.functions.shared import spread
-from spandrel.operators.intervals import complement, overlap_join
+from spandrel.functions.keywords import contained
+from spandrel.functions.running import previous, running_sum, running_sums
+from spandrel.functions.shared import spread, stored
+from spandrel.functions.streams import kept
+from spandrel.operators.intervals import asof, complement, overlap_join
 
 KEEP_RATIO, MOST_CLIP_MS, SNAP_MS, MOST_CHAPTERS = 0.6, 45_000, 4_000, 12
 LEAST_MINUTES, MOST_MINUTES, FOOTAGE_SHARE = 3, 25, 0.25
@@ -22,16 +24,30 @@ BEND_MS = 250
 
 
 def score_candidates(requests: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(request, candidate, score): 3 for each keyword in the speech, 2 for each category with evidence; excluded words drop the candidate.
+    """(request, candidate, score) of candidates with a score: 3 for each keyword in the speech, 2 for each category with evidence; excluded words drop the candidate.
 
     requests: request, project, keywords, excluded, categories (arrays). candidates: project, candidate, speech. evidence: candidate, category.
+    Words are found in speeches once for a project, whatever the number of requests that ask for them.
     """
-    speech = F.coalesce("speech", F.lit(""))
-    met = requests.join(candidates, "project").filter(~F.exists("excluded", lambda w: F.contains(speech, w)))
-    named = evidence.groupBy("candidate").agg(F.collect_set("category").alias("found"))
-    said = F.size(F.filter("keywords", lambda w: F.contains(speech, w)))
-    known = F.size(F.array_intersect("categories", F.coalesce("found", F.array().cast("array<string>"))))
-    return met.join(named, "candidate", "left").select("request", "candidate", (3 * said + 2 * known).cast("long").alias("score"))
+    asked = lambda column: requests.select("request", "project", F.explode(column).alias("word"))
+    words = asked("keywords").unionByName(asked("excluded")).select("project", "word")
+    said = contained(candidates.select("project", F.col("candidate").alias("id"), F.coalesce("speech", F.lit("")).alias("text")), words, "project").withColumnRenamed("id", "candidate")
+    named = asked("keywords").groupBy("request", "project", "word").agg(F.count(F.lit(1)).alias("times")).join(said, ["project", "word"]).select("request", "candidate", (3 * F.col("times")).alias("score"))
+    shown = evidence.select("candidate", "category").distinct().join(candidates.select("project", "candidate"), "candidate")
+    known = requests.select("request", "project", F.explode(F.array_distinct("categories")).alias("category")).join(shown, ["project", "category"]).select("request", "candidate", F.lit(2).cast("long").alias("score"))
+    gone = asked("excluded").join(said, ["project", "word"]).select("request", "candidate").distinct()
+    return named.unionByName(known).groupBy("request", "candidate").agg(F.sum("score").alias("score")).join(gone, ["request", "candidate"], "left_anti")
+
+
+def candidate_pool(requests: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(request, candidate, score) to choose from: the candidates with a score; of requests that ask for nothing, or that none meets, all of the project without excluded words, at 0."""
+    scored = score_candidates(requests, candidates, evidence)
+    bare = requests.join(scored.select("request").distinct(), "request", "left_anti")
+    excluded = bare.select("request", "project", F.explode("excluded").alias("word"))
+    said = contained(candidates.select("project", F.col("candidate").alias("id"), F.coalesce("speech", F.lit("")).alias("text")), excluded.select("project", "word"), "project")
+    gone = excluded.join(said, ["project", "word"]).select("request", F.col("id").alias("candidate")).distinct()
+    every = bare.select("request", "project").join(candidates.select("project", "candidate"), "project").select("request", "candidate", F.lit(0).cast("long").alias("score"))
+    return scored.unionByName(every.join(gone, ["request", "candidate"], "left_anti"))
 
 
 def pick_within_budget(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -39,19 +55,15 @@ def pick_within_budget(scored: DataFrame, limits: DataFrame) -> DataFrame:
 
     scored: request, candidate, source, start_ms, end_ms, score. limits: request, most_count, target_ms (either null: no limit).
     """
-    row = F.struct((-F.col("score")).alias("less"), "source", "start_ms", "candidate", (F.col("end_ms") - F.col("start_ms")).alias("ms"))
-    listed = scored.groupBy("request").agg(F.array_sort(F.collect_list(row)).alias("pool")).join(limits, "request")
-    kind = "struct<picked:array<struct<source:bigint,start_ms:bigint,candidate:bigint>>,total:bigint>"
-    start = F.struct(F.array().alias("picked"), F.lit(0).alias("total")).cast(kind)
+    def step(state, length, most, target):
+        n, total = state
+        stays = (most is None or n < most) and (target is None or not n or total + length <= target)
+        return stays, (n + 1, total + length) if stays else state
 
-    def step(s, x):
-        full = F.col("most_count").isNotNull() & (F.size(s["picked"]) >= F.col("most_count"))
-        over = F.col("target_ms").isNotNull() & (F.size(s["picked"]) > 0) & (s["total"] + x["ms"] > F.col("target_ms"))
-        grown = F.struct(F.concat(s["picked"], F.array(F.struct(x["source"].alias("source"), x["start_ms"].alias("start_ms"), x["candidate"].alias("candidate")))).alias("picked"), (s["total"] + x["ms"]).alias("total"))
-        return F.when(full | over, s).otherwise(grown.cast(kind))
-
-    chosen = listed.select("request", F.array_sort(F.aggregate("pool", start, step)["picked"]).alias("picked"))
-    return chosen.select("request", F.posexplode("picked").alias("place", "p")).select("request", "place", "p.candidate")
+    rows = scored.join(limits, "request").withColumns({"length_ms": F.col("end_ms") - F.col("start_ms"), "less": -F.col("score")})
+    picked = kept(rows, ["request"], ["less", "source", "start_ms", "candidate"], ["length_ms", "most_count", "target_ms"], (0, 0), step)
+    place = F.row_number().over(Window.partitionBy("request").orderBy("source", "start_ms", "candidate")) - 1
+    return picked.select("request", place.alias("place"), "candidate")
 
 
 def visual_guard(requests: DataFrame, scenes: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -60,8 +72,11 @@ def visual_guard(requests: DataFrame, scenes: DataFrame, vocabulary: DataFrame)
     vocabulary: category, word, negated (a pattern that denies the word).
     """
     told = F.lower(F.concat_ws(" ", "caption", F.array_join("tags", " ")))
-    met = requests.join(F.broadcast(vocabulary), "category").join(scenes.filter("NOT uncertain"), "project")  # a fixed vocabulary
-    return met.filter(F.contains(told, F.col("word")) & ~F.expr("lower(concat_ws(' ', caption, array_join(tags, ' '))) RLIKE negated")).select("request", "candidate").distinct()
+    plain = scenes.filter("NOT uncertain").select("project", F.col("candidate").alias("id"), told.alias("text"))
+    asked = requests.select("project", "category").distinct().join(vocabulary, "category")
+    said = contained(plain, asked.select("project", "word"), "project").join(plain, ["project", "id"])
+    shown = said.join(asked, ["project", "word"]).filter(F.expr("NOT text RLIKE negated")).select("project", "category", F.col("id").alias("candidate")).distinct()
+    return requests.join(shown, ["project", "category"]).select("request", "candidate").distinct()
 
 
 def day_order(candidates: DataFrame, sources: DataFrame) -> DataFrame:
@@ -187,8 +202,7 @@ def fit_to_length(bounded: DataFrame, speech: DataFrame, targets: DataFrame) ->
     bends = bends.unionByName(bend(holds, "from_ms", F.col("to_ms") - F.col("from_ms"), -1)).unionByName(bend(holds.filter("to_ms <= limit_ms"), "to_ms", none, 1))
     base = bounded.groupBy("project").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("base_ms")).join(targets, "project").filter("base_ms < target_ms")
     at_bend = bends.groupBy("project", "pad").agg(F.sum("step").alias("step"), F.sum("slope").alias("slope")).join(base, "project")
-    rising = running_sum(at_bend, ["project"], ["pad"], F.col("slope"), "rise", including=True, span=BEND_MS)
-    line = running_sum(rising, ["project"], ["pad"], F.col("step") - F.col("slope") * F.col("pad"), "level", including=True, span=BEND_MS)
+    line = running_sums(stored(at_bend, "bends"), ["project"], ["pad"], {"rise": F.col("slope"), "level": F.col("step") - F.col("slope") * F.col("pad")}, including=True, span=BEND_MS)
     line = line.select("project", "pad", "target_ms", "rise", (F.col("base_ms") + F.col("level")).alias("level"))
     reached = F.col("level") + F.col("rise") * F.col("pad")
     meets = F.when(reached >= F.col("target_ms"), F.col("pad")).when(F.col("rise") > 0, (F.col("target_ms") - F.col("level")) / F.col("rise"))
@@ -265,20 +279,15 @@ def vote_mode(shots: DataFrame, modes: DataFrame) -> DataFrame:
 
 def item_runs(shots: DataFrame, layers: tuple[str, ...] = ("layer",)) -> DataFrame:
     """(project, run, kind, first_shot, shots) of shots (project, shot, kind): a run goes on while a shot's kind is that of the run's first item; blank shots extend it; layers count only where there is nothing else."""
-    other = F.bool_or(~F.col("kind").isin(*layers) & (F.col("kind") != "")).over(Window.partitionBy("project"))
-    told = shots.withColumn("kind", F.coalesce("kind", F.lit(""))).withColumn("kind", F.when(other & F.col("kind").isin(*layers), "").otherwise(F.col("kind")))
-    listed = told.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("shot", "kind"))).alias("all"))
-    kind = "array<struct<kind:string,first_shot:bigint,shots:bigint>>"
-
-    def step(runs, x):
-        last = F.element_at(runs, -1)
-        rest = F.slice(runs, F.lit(1), F.size(runs) - 1)
-        grown = F.concat(rest, F.array(F.struct(last["kind"].alias("kind"), last["first_shot"].alias("first_shot"), (last["shots"] + 1).alias("shots"))))
-        fresh = F.concat(runs, F.array(F.struct(x["kind"].alias("kind"), x["shot"].cast("long").alias("first_shot"), F.lit(1).cast("long").alias("shots"))))
-        return F.when((F.size(runs) > 0) & ((x["kind"] == "") | (x["kind"] == last["kind"])), grown).when(x["kind"] == "", runs).otherwise(fresh).cast(kind)
-
-    runs = listed.select("project", F.aggregate("all", F.array().cast(kind), step).alias("runs"))
-    return runs.select("project", F.posexplode("runs").alias("run", "r")).select("project", "run", "r.*")
+    own = shots.withColumn("kind", F.coalesce("kind", F.lit("")))
+    other = own.groupBy("project").agg(F.bool_or(~F.col("kind").isin(*layers) & (F.col("kind") != "")).alias("other"))
+    told = stored(own.join(other, "project").withColumn("kind", F.when(F.col("other") & F.col("kind").isin(*layers), "").otherwise(F.col("kind"))).select("project", "shot", "kind"), "told")
+    # A run holds one kind and blanks, so it begins where an item is not of the kind of the item before it, whatever blanks are between.
+    items = previous(told.filter("kind <> ''"), ["project"], ["shot", "kind"], "kind", "before").filter("before IS NULL OR before <> kind").drop("before")
+    items = stored(items, "items")
+    begun = running_sum(items, ["project"], ["shot", "kind"], F.lit(1), "run").select("project", F.col("shot").alias("time_ms"), F.struct("run", "kind", F.col("shot").cast("long").alias("first_shot")).alias("of"))
+    placed = asof(told.withColumnRenamed("shot", "time_ms"), begun, ["project"], "of").filter("backward_of IS NOT NULL")
+    return placed.groupBy("project", F.col("backward_of").alias("of")).agg(F.count(F.lit(1)).alias("shots")).select("project", F.col("of.run").cast("int").alias("run"), "of.kind", "of.first_shot", "shots")
 
 
 def reel_clips(shots: DataFrame, pace_ms: int) -> DataFrame:

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.running import islands, previous, running_sum
+from spandrel.functions.shared import stored
+from spandrel.functions.streams import kept
 from spandrel.operators.intervals import asof, complement, overlap_join, sessionize
 
 SILENT, LIFT, LOUDEST = -9_600, 1_000, 0
@@ -78,24 +81,28 @@ def shots(measurements: DataFrame, durations: DataFrame, least_ms: int = LEAST_S
     """(source, shot, start_ms, end_ms) from cut times; equal times keep the higher score, cuts keep a distance from the last one accepted and from the end."""
     inside = measurements.join(durations, "source").withColumn("time_ms", F.least("time_ms", "duration_ms")).filter("time_ms > 0 AND time_ms < duration_ms")
     cuts = inside.groupBy("source", "time_ms").agg(F.max("score").alias("score"))
-    listed = cuts.groupBy("source").agg(F.array_sort(F.collect_list("time_ms")).alias("times"))
-    given = durations.filter("duration_ms > 0").join(listed, "source", "left")
-    start = F.array(F.lit(0).cast("long"))
-    far = lambda kept, t: (t - F.element_at(kept, -1) >= least_ms) & (F.col("duration_ms") - t >= least_ms)
-    kept = F.aggregate(F.coalesce("times", F.array().cast("array<bigint>")), start, lambda acc, t: F.when(far(acc, t), F.concat(acc, F.array(t))).otherwise(acc))
-    edges = given.select("source", F.concat(kept, F.array(F.col("duration_ms"))).alias("edges"))
-    return edges.select("source", "edges", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("shot", "start_ms")).select("source", "shot", "start_ms", F.get("edges", F.col("shot") + 1).alias("end_ms"))
+    cuts = stored(cuts, "measured")
+    far_from_end = cuts.join(durations, "source").filter(F.col("duration_ms") - F.col("time_ms") >= least_ms)
+    given = durations.filter("duration_ms > 0")
+    starts = far_from_end.select("source", "time_ms").unionByName(given.select("source", F.lit(0).cast("long").alias("time_ms")))
+    # After a gap of the least distance a cut is accepted whatever was before, so what lies between such gaps is chosen by itself.
+    runs = islands(starts.select("source", F.col("time_ms").alias("start_ms"), F.col("time_ms").alias("end_ms")), ["source"], least_ms - 1)
+    accepted = stored(kept(runs, ["source", "island_ms"], ["start_ms"], ["start_ms"], None, lambda last, t: (True, t) if last is None or t - last >= least_ms else (False, last)).select("source", "start_ms"), "cuts")
+    numbered = stored(running_sum(accepted, ["source"], ["start_ms"], F.lit(1), "shot"), "numbered")
+    facing = previous(numbered.withColumn("back_ms", -F.col("start_ms")), ["source"], ["back_ms"], "start_ms", "next_ms").join(given, "source")
+    return facing.select("source", F.col("shot").cast("int").alias("shot"), "start_ms", F.coalesce("next_ms", "duration_ms").alias("end_ms"))
 
 
 def shot_evidence(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """candidates (source, candidate, start_ms, end_ms) with their cuts inside (both ends closed), the last before, the next after and the shot that encloses the start; only those with a cut inside."""
+    candidates, found = stored(candidates, "candidates"), stored(found, "shots")
     cuts = found.filter("shot > 0").select("source", F.col("start_ms").alias("cut_ms"))
     spans = cuts.select("source", F.col("cut_ms").alias("start_ms"), (F.col("cut_ms") + 1).alias("end_ms"))
     closed = candidates.withColumn("end_ms", F.col("end_ms") + 1)
     inside = overlap_join(closed, spans, ["source"]).groupBy(F.col("a_candidate").alias("candidate")).agg(F.count(F.lit(1)).alias("cuts"))
     at = cuts.select("source", F.col("cut_ms").alias("time_ms"), "cut_ms")
     known = asof(candidates.withColumn("time_ms", F.col("start_ms")), at, ["source"], "cut_ms")
-    known = asof(known.withColumn("time_ms", F.col("end_ms")), at, ["source"], "cut_ms", "forward")
+    known = stored(asof(known.withColumn("time_ms", F.col("end_ms")), at, ["source"], "cut_ms", "forward"), "around")
     shot = found.select("source", F.col("start_ms").alias("time_ms"), F.struct("start_ms", "end_ms").alias("enclosing"))
     known = asof(known.withColumn("time_ms", F.col("start_ms")), shot, ["source"], "enclosing")
     return known.join(inside, "candidate").select("source", "candidate", "cuts", F.col("backward_cut_ms").alias("previous_cut_ms"), F.col("forward_cut_ms").alias("next_cut_ms"), F.col("backward_enclosing.start_ms").alias("shot_start_ms"), F.col("backward_enclosing.end_ms").alias("shot_end_ms"))

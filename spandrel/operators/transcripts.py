@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spandrel.functions.running import previous, running_sum
 from spandrel.operators.intervals import asof, overlap_join
 
 BLOCK_GAP_MS = 2_000
@@ -29,9 +30,8 @@ _SPOKEN = re.compile(r"[^\W_]")  # what can't stand between words
 
 def transcript_blocks(segments: DataFrame, gap_ms: int = BLOCK_GAP_MS) -> DataFrame:
     """(source, block, start_ms, end_ms, first_position, last_position, segment_ids, text): a new block after a gap above gap_ms."""
-    w = Window.partitionBy("source").orderBy("start_ms", "position")
-    fresh = F.when(F.col("start_ms") - F.lag("end_ms").over(w) <= gap_ms, 0).otherwise(1)
-    marked = segments.withColumn("fresh", fresh).withColumn("block", F.sum("fresh").over(w))
+    fresh = F.when(F.col("start_ms") - F.col("before_ms") <= gap_ms, 0).otherwise(1)
+    marked = running_sum(previous(segments, ["source"], ["start_ms", "position"], "end_ms", "before_ms"), ["source"], ["start_ms", "position"], fresh, "block", including=True)
     parts = F.array_sort(F.collect_list(F.struct("start_ms", "position", F.trim("text").alias("text"))))
     out = marked.groupBy("source", "block").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), parts.alias("parts"))
     return out.select("source", "block", "start_ms", "end_ms", "first_position", "last_position", F.transform("parts", lambda p: F.format_string("segment-%04d", p["position"] + 1)).alias("segment_ids"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))

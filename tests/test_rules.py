@@ -32,21 +32,21 @@ def test_leave_out(spark, keep_mine):
     for x in ed.leave_out(scenes, targets, keep_mine).orderBy("dropped").collect():
         got[x["project"]].append(x["candidate"])
     for p in range(12):
-        own = [x for x in rows if x[0] == p]
-        kept, total, out = defaultdict(int), sum(x[4] for x in own), []
-        for x in own:
-            kept[x[2]] += x[4]
-        scored = any(x[7] is not None for x in own)
-        rank = lambda x: x[7] if x[7] is not None else 2 if x[5] else 1 if x[6] else 0
-        while len(own) > 2 and total > 0.6 * 6_000 * (p + 1):
-            free = [x for i, x in enumerate(own) if x[1] not in out and not (i in (0, len(own) - 1) and x[7] != 0) and not (keep_mine and not scored and x[5])]
-            if not free:
-                break
-            x = min(free, key=lambda x: (rank(x), -kept[x[2]], -x[3]))
-            out.append(x[1])
-            kept[x[2]] -= x[4]
-            total -= x[4]
-        assert got[p] == out
+        own, gone = {x[1]: x for x in rows if x[0] == p}, got[p]
+        scored = any(x[7] is not None for x in own.values())
+        kind = {c: x[7] if x[7] is not None else 2 * x[5] or x[6] for c, x in own.items()}
+        stays = {c for c in (min(own), max(own)) if own[c][7] != 0} | ({c for c in own if own[c][5]} if keep_mine and not scored else set())
+        left = lambda n: sum(x[4] for c, x in own.items() if c not in gone[:n])  # noqa: B023, E731
+        assert not stays & set(gone) and [kind[c] for c in gone] == sorted(kind[c] for c in gone)
+        # It stops when the rest is short enough, not before, unless nothing else may go.
+        enough = 0.6 * 6_000 * (p + 1)
+        assert all(left(n) > enough for n in range(len(gone)))
+        assert len(own) <= 2 or left(len(gone)) <= enough or set(gone) | stays == set(own)
+        # Of one kind the source that keeps most goes first, and of a source its latest scene.
+        for n, c in enumerate(gone):
+            keeps = lambda source: sum(x[4] for d, x in own.items() if x[2] == source and d not in gone[:n])  # noqa: B023, E731
+            others = [d for d in own if d not in gone[: n + 1] and d not in stays and kind[d] == kind[c]]
+            assert all((keeps(own[d][2]), own[d][3]) < (keeps(own[c][2]), own[c][3]) for d in others)
 
 
 def side(length, room, holds, pad):
@@ -131,38 +131,29 @@ def test_consolidate(spark):
 
 
 def test_fit_reel(spark):
-    r = random.Random(4)
-    shots = [(p, i, 10_000 * i, 10_000 * i + r.randint(500, 9_000), None, None) for p in range(10) for i in range(r.randint(1, 12))]
-    clips = ed.reel_clips(spark.createDataFrame(shots, f"project long, shot long, {INTERVAL}, speech_start_ms long, speech_end_ms long"), 1_800)
-    clips = clips.withColumns({"chosen": F.col("shot") % 2 == 0, "hook": F.col("shot") == 4})
-    got = {(x["project"], x["shot"]): (x["clip_start_ms"], x["clip_end_ms"]) for x in ed.fit_reel(clips, spark.createDataFrame([(p, 3_000 * (p + 1)) for p in range(10)], "project long, target_ms long"), 1_800).collect()}
-    rows = [x for x in clips.collect()]
-    for p in range(10):
-        target = 3_000.0 * (p + 1)
-        own = {x["shot"]: x for x in rows if x["project"] == p}
-        used = {k: (float(x["clip_start_ms"]), float(x["clip_end_ms"])) for k, x in own.items() if x["chosen"]}
-        order = sorted(used, key=lambda k: (k != 4, k))
-        hook = order[0] if order else None
-        total = lambda: sum(z - a for a, z in used.values())
-        while total() > 1.1 * target and len(order) > 2:
-            rest = order[1:]
-            gone = rest[len(rest) // 2] if len(rest) % 2 else rest[len(rest) // 2 - 1]
-            order.remove(gone)
-            del used[gone]
-        for k in sorted(set(own) - set(used)):
-            if total() >= 0.9 * target:
-                break
-            used[k] = (float(own[k]["clip_start_ms"]), float(own[k]["clip_end_ms"]))
-        for k in sorted(used, key=lambda k: (k != hook, k)):
-            if total() >= 0.9 * target:
-                break
-            a, z = used[k]
-            by = min(min(own[k]["end_ms"] - own[k]["start_ms"], 1.6 * 1_800) - (z - a), target - total())
-            if by > 0:
-                low = max(own[k]["start_ms"], a - by / 2)
-                used[k] = (low, min(own[k]["end_ms"], low + z - a + by))
-        mine = {k[1]: v for k, v in got.items() if k[0] == p}
-        assert set(mine) == set(used) and all(abs(mine[k][i] - used[k][i]) <= 1 for k in used for i in (0, 1)), p
+    """Shots of ten seconds with clips of 1.8 s from their middle: what stays, comes in and grows, by hand."""
+    cases = {
+        # (number of shots, chosen, hook, target): {shot: (start, end) within its shot}
+        (5, (0, 1, 2, 3, 4), 0, 4_000): {0: (4_100, 5_900), 4: (4_100, 5_900)},  # 2, 3 and 1 go: from the middle of what follows the hook
+        (5, (0, 1, 2, 3, 4), 4, 4_000): {3: (4_100, 5_900), 4: (4_100, 5_900)},
+        (4, (0, 1, 2, 3), 9, 7_200): {k: (4_100, 5_900) for k in range(4)},  # within a tenth
+        (2, (0, 1), 0, 1_000): {0: (4_100, 5_900), 1: (4_100, 5_900)},  # two stay
+        (3, (2,), 2, 5_400): {k: (4_100, 5_900) for k in range(3)},  # unused ones come in by shot
+        (4, (2,), 2, 3_600): {0: (4_100, 5_900), 2: (4_100, 5_900)},
+        (1, (0,), 0, 2_500): {0: (3_750, 6_250)},  # grows around itself
+        (1, (0,), 0, 10_000): {0: (3_560, 6_440)},  # to 1.6 times the pace
+        (2, (0, 1), 1, 4_500): {0: (4_100, 5_900), 1: (3_650, 6_350)},  # the hook first, and it is enough
+    }
+    rows, targets = [], []
+    for p, (n, chosen, hook, target) in enumerate(cases):
+        rows += [(p, k, 10_000 * k, 10_000 * k + 10_000, None, None, k in chosen, k == hook) for k in range(n)]
+        targets.append((p, target))
+    clips = ed.reel_clips(spark.createDataFrame([x[:6] for x in rows], f"project long, shot long, {INTERVAL}, speech_start_ms long, speech_end_ms long"), 1_800)
+    clips = clips.join(spark.createDataFrame([(*x[:2], *x[6:]) for x in rows], "project long, shot long, chosen boolean, hook boolean"), ["project", "shot"])
+    got = defaultdict(dict)
+    for x in ed.fit_reel(clips, spark.createDataFrame(targets, "project long, target_ms long"), 1_800).collect():
+        got[x["project"]][x["shot"]] = (x["clip_start_ms"] - 10_000 * x["shot"], x["clip_end_ms"] - 10_000 * x["shot"])
+    assert [got[p] for p in range(len(cases))] == list(cases.values())
 
 
 def test_pick_within_budget(spark):
