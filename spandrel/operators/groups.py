@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.functions.running import islands
 from spandrel.functions.shared import spread, stored
 from spandrel.operators.intervals import complement
 
@@ -99,41 +102,49 @@ def conservative_groups(edges: DataFrame) -> DataFrame:
 CARRIES = ("TRANSCRIPT_STRUCTURE", "TRANSCRIPT_REACTION_CUE", "AUDIO_ACTIVITY", "VISUAL_ACTIVITY")
 
 
-def _union_length(spans: list[tuple[int, int]]) -> int:
-    total, reached = 0, None
-    for a, z in sorted(spans):
-        total += max(0, z - (a if reached is None else max(a, reached)))
-        reached = z if reached is None else max(reached, z)
-    return total
+@dataclass
+class _Event:
+    """An event while candidates come in by their start: what a newcomer needs to know of it, not its members."""
+
+    name: int
+    low: int
+    high: int
+    covered: int
+    said: frozenset
+    #: For each fact of a member that it reaches: the latest end of such members, and the latest end plus length.
+    carriers: dict = field(default_factory=dict)
+
+    def fits(self, start: int, end: int, facts: list[tuple], said: frozenset) -> bool:
+        if len(self.said | said) > 1 or 2 * self._covered_with(start, end) <= max(self.high, end) - self.low:
+            return False
+        known = (self.carriers[f] for f in facts if f in self.carriers and f[2] >= start)
+        return any(last >= start or start - (end - start) < reach for last, reach in known)
+
+    def _covered_with(self, start: int, end: int) -> int:
+        return self.covered + max(0, end - max(start, self.high))
+
+    def take(self, start: int, end: int, facts: list[tuple], said: frozenset) -> None:
+        self.covered, self.high, self.said = self._covered_with(start, end), max(self.high, end), self.said | said
+        for f in facts:
+            if f[1] <= end:
+                last, reach = self.carriers.get(f, (end, 2 * end - start))
+                self.carriers[f] = (max(last, end), max(reach, 2 * end - start))
 
 
 def _local_events(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one source in time order; each joins the latest event that a member carries on to it, or opens one."""
-    items = []
+    """Events of candidates that facts connect. A newcomer looks only at the events that hold a fact of its own; of those it fits, the one that ends last takes it."""
+    holders: dict[tuple, dict[int, _Event]] = {}
+    out = []
     for r in rows.sort_values(["start_ms", "end_ms", "candidate"]).itertuples():
-        own = [(f["evidence_type"], int(f["start_ms"]), int(f["end_ms"])) for f in r.promoting]
-        said = {(int(f["start_ms"]), int(f["end_ms"])) for f in r.linked if f["evidence_type"] == "TRANSCRIPT_STRUCTURE"}
-        items.append((int(r.start_ms), int(r.end_ms), r.candidate, {f for f in own if f[0] in CARRIES}, said))
-    events: list[list[tuple]] = []
-
-    def carried(event: list[tuple], new: tuple) -> bool:
-        spans = [(m[0], m[1]) for m in event] + [new[:2]]
-        if len(set().union(new[4], *(m[4] for m in event))) > 1 or 2 * _union_length(spans) <= max(z for _, z in spans) - min(a for a, _ in spans):
-            return False
-        for a, z, _, facts, _ in event:
-            gap = new[0] - z
-            small = gap <= 0 or gap < (z - a) + (new[1] - new[0])
-            if small and any(start <= z and end >= new[0] for _, start, end in facts & new[3]):
-                return True
-        return False
-
-    for item in items:
-        fits = [e for e in events if carried(e, item)]
-        if fits:
-            max(fits, key=lambda e: (max(m[1] for m in e), e[0][2])).append(item)
-        else:
-            events.append([item])
-    out = [(rows["source"].iloc[0], m[2], e[0][2], m[0], m[1]) for e in events for m in e]
+        facts = sorted({(f["evidence_type"], int(f["start_ms"]), int(f["end_ms"])) for f in r.promoting if f["evidence_type"] in CARRIES})
+        said = frozenset((int(f["start_ms"]), int(f["end_ms"])) for f in r.linked if f["evidence_type"] == "TRANSCRIPT_STRUCTURE")
+        near = {e.name: e for f in facts for e in holders.get(f, {}).values()}
+        own = max((e for e in near.values() if e.fits(r.start_ms, r.end_ms, facts, said)), key=lambda e: (e.high, e.name), default=None)
+        own = own or _Event(r.candidate, int(r.start_ms), int(r.start_ms), 0, frozenset())
+        own.take(int(r.start_ms), int(r.end_ms), facts, said)
+        for f in facts:
+            holders.setdefault(f, {})[own.name] = own
+        out.append((r.source, r.candidate, own.name, r.start_ms, r.end_ms))
     return pd.DataFrame(out, columns=["source", "candidate", "event", "start_ms", "end_ms"])
 
 
@@ -148,7 +159,11 @@ def event_members(candidates: DataFrame, promoting: DataFrame, linked: DataFrame
     none = F.array().cast("array<struct<evidence_type:string,start_ms:bigint,end_ms:bigint>>")
     given = candidates.select("source", "candidate", "start_ms", "end_ms").join(gathered(promoting, "promoting"), "candidate").join(gathered(linked, "linked"), "candidate", "left").withColumn("linked", F.coalesce("linked", none))
     kind = candidates.schema["source"].dataType.simpleString()
-    return spread(given, "source").groupBy("source").applyInPandas(_local_events, f"source {kind}, candidate long, event long, start_ms long, end_ms long")
+    # Candidates of one event share facts, so no event reaches over a time that neither a candidate nor one of its facts covers.
+    reach = lambda f, own, side: f(own, F.coalesce(side(F.transform("promoting", lambda x: x[own])), F.col(own)))
+    extents = stored(given.select("*", reach(F.least, "start_ms", F.array_min).alias("low_ms"), reach(F.greatest, "end_ms", F.array_max).alias("high_ms")), "given")
+    pieces = islands(extents.select("source", F.col("low_ms").alias("start_ms"), F.col("high_ms").alias("end_ms"), F.struct("candidate", "start_ms", "end_ms", "promoting", "linked").alias("own")), ["source"], 0)
+    return spread(pieces.select("source", "island_ms", "own.*"), "source", "island_ms").groupBy("source", "island_ms").applyInPandas(_local_events, f"source {kind}, candidate long, event long, start_ms long, end_ms long")
 
 
 def event_proposals(members: DataFrame, linked: DataFrame) -> DataFrame:
