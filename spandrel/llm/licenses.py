@@ -1,22 +1,22 @@
 """License scans by conditional compression.
 
 A candidate block is the words around mentions of licensing. It is compressed by itself and with each template as a raw
-Zstandard dictionary; templates are ranked by the bytes that they save relative to their own size, best first. The saving only
-ranks: every template that has enough of its words in the block is confirmed by its exact wording, at every place. Words that are missing, added or
+Zstandard dictionary. Templates are ranked by the bytes that they save; those that save a share `WINS` of what they save on their own
+wording are winners, and only winners are confirmed: by their exact wording, at every place, best first. Words that are missing, added or
 replaced are counted by an alignment with the block, and no more than one in `ONE_IN` of the template's words may differ (one word at least in
 templates of `LEAST_LOOSE` words or more); words that name a license or its version may not differ at all. Confirmed words are taken
-out for the templates that rank below, so each mention is found once.
+out, so each mention is found once, and the rest is compressed again, as one notice can hide another from the compression.
 
 Defined results: a null or empty text has no match and no row; a null doc_id stays null; repeated rows give repeated matches;
 other columns, whatever their names, are ignored; an empty table gives an empty result. Texts are read whole; the words of one
-text at a time are in memory.
+text at a time are in memory, and what up to `_KEPT` blocks gave, by a digest of their words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -35,13 +35,6 @@ TEMPLATES = {
     "CC-BY-4.0 (notice)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "All rights reserved": "All rights reserved.",
     "Public domain": "This work is released into the public domain.",
-    "MIT (SPDX)": "SPDX-License-Identifier: MIT",
-    "Apache-2.0 (SPDX)": "SPDX-License-Identifier: Apache-2.0",
-    "BSD-2-Clause (SPDX)": "SPDX-License-Identifier: BSD-2-Clause",
-    "BSD-3-Clause (SPDX)": "SPDX-License-Identifier: BSD-3-Clause",
-    "GPL-2.0 (SPDX)": "SPDX-License-Identifier: GPL-2.0-only",
-    "GPL-3.0 (SPDX)": "SPDX-License-Identifier: GPL-3.0-only",
-    "MPL-2.0 (SPDX)": "SPDX-License-Identifier: MPL-2.0",
     "GPL-2.0 (terms)": "Distributed under the terms of the GNU General Public License version 2.",
     "GPL-3.0 (terms)": "Distributed under the terms of the GNU General Public License version 3.",
     "CC-BY-SA-4.0 (notice)": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -56,15 +49,37 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "MIT (title)": "MIT License Copyright (c)",
+    "BSD-3-Clause (notice)": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause (notice)": "Licensed under the BSD 2-Clause License.",
+    "CC-BY-4.0 (short)": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 (short)": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0 (title)": "GNU GENERAL PUBLIC LICENSE Version 2",
+    "GPL-3.0 (title)": "GNU GENERAL PUBLIC LICENSE Version 3",
+    "LGPL-3.0 (title)": "GNU LESSER GENERAL PUBLIC LICENSE Version 3",
+    "AGPL-3.0 (title)": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3",
+    "MIT (disclaimer)": "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+    "BSD (disclaimer)": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
 }
+#: Identifiers of SPDX; each gives a template.
+IDENTIFIERS = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+TEMPLATES |= {f"{name} (SPDX)": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
 #: Words that name a license, its variant or its version.
 NAMES = frozenset((
     "mit apache bsd isc gnu gpl lgpl agpl mpl general lesser affero mozilla cc creative commons attribution sharealike attribution-sharealike noncommercial international by nc sa nd "
-    "by-nc by-sa by-nd by-nc-sa by-nc-nd 1 1.0 2 2.0 2.1 3 3.0 4.0 v2 v3 apache-2.0 bsd-2-clause bsd-3-clause gpl-2.0-only gpl-3.0-only mpl-2.0 domain reserved unencumbered"
-).split())
+    "by-nc by-sa by-nd by-nc-sa by-nc-nd 1 1.0 2 2.0 2.1 3 3.0 4.0 v2 v3 2-clause 3-clause domain reserved unencumbered"
+).split()) | {name.lower() for name in IDENTIFIERS}
 #: What makes the words around it a candidate. Written so that engines that know fewer letters and spaces find more, not less.
-MENTIONS = r"licen[cs]|copyright|copyleft|rights\W+reserved|public\W+domain|creative\W+commons|permission|redistribut|free\W+software"
+MENTIONS = r"licen[cs]|copyright|copyleft|rights\W+reserved|public\W+domain|creative\W+commons|permission|redistribut|free\W+software|warrant|general\W+public"
+#: Level of the compression: with lower ones the matches of a short block do not pay, and its savings tell less.
+LEVEL = 15
+#: What a template must save of what it saves on its own wording, to be confirmed. Of 342 notices each, in 94 words of prose, whole ones saved 0.36 at least, and 99 in 100
+#: with their tolerance used up 0.32; in a few words beside another notice 0.36 at least; of prose without a notice 1 in 100 saved 0.12 (0.31 at most).
+WINS = 0.25
 #: Words around a mention that a block takes in, at least; more if a template reaches further from its mentions.
 AROUND = 24
 #: One word in so many of a template may differ, and one at least in a template of so many words.
@@ -112,29 +127,26 @@ def _reach(template: str) -> int:
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = []
-        plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+        plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         for name, text in templates.items():
             words = _words(text)
             data = " ".join(words).encode()
             known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            given = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False)
+            given = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False)
+            known.precompute_compress(level=LEVEL)
             most = len(plain.compress(data)) - len(given.compress(data))
-            self.templates.append((name, words, given, max(1, most), Counter(words)))
+            self.templates.append((name, words, given, max(1, most)))
         self.plain = plain
         self.longest = max((len(t[1]) for t in self.templates), default=0)
         self.around = max([AROUND, *(_reach(t) for t in templates.values())])
-        self.kept: dict[tuple[str, ...], list[tuple]] = {}
+        self.kept: dict[bytes, list[tuple]] = {}
 
-    def ranked(self, words: list[str]) -> list[tuple[int, int]]:
-        """(bytes saved, template), best first, of the templates that have enough of their words here to be within their tolerance."""
-        have = Counter(words)
-        able = [i for i, t in enumerate(self.templates) if sum((t[4] - have).values()) <= tolerance(t[1])]
-        if not able:
-            return []
+    def winners(self, words: list[str]) -> list[tuple[int, int]]:
+        """(bytes saved, template) of the templates that save enough of what they can here, those that save most first."""
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
-        saved = [(alone - len(self.templates[i][2].compress(data)), i) for i in able]
-        return sorted(saved, key=lambda x: (-x[0] / self.templates[x[1]][3] * len(self.templates[x[1]][1]) ** 0.5, x[1]))
+        saved = [(alone - len(given.compress(data)), i) for i, (_, _, given, _) in enumerate(self.templates)]
+        return sorted(((n, i) for n, i in saved if n >= WINS * self.templates[i][3]), key=lambda x: (-x[0], x[1]))
 
     @staticmethod
     def places(template: list[str], words: list[str]) -> list[tuple[int, int, int, str]]:
@@ -145,7 +157,7 @@ class Scanner:
         for end in sorted(np.flatnonzero(ends <= most).tolist(), key=lambda e: (ends[e], e)):
             low = max(0, end - len(template) - most)
             back = distances(template[::-1], words[low:end][::-1])
-            start = end - int(np.flatnonzero(back == ends[end])[0])
+            start = end - int(np.flatnonzero(back <= ends[end])[0])
             if any(start < b and a < end for a, b, _, _ in found):
                 continue
             how = []
@@ -157,15 +169,14 @@ class Scanner:
 
     def block(self, words: list[str]) -> list[tuple[int, int, int, int, int, str]]:
         """(first word, last + 1, template, bytes saved, words that differ, how) of each confirmed mention."""
-        key = tuple(words)
+        key = hashlib.blake2b("\0".join(words).encode(), digest_size=16).digest()
         if (got := self.kept.get(key)) is not None:
             return got
-        found, rest = [], list(words)
-        for exact in (True, False):  # a template's own wording goes before another's within its tolerance
-            for saved, i in self.ranked(rest):
+        found, rest, before = [], list(words), -1
+        while len(found) > before:  # what is confirmed is taken out, and templates that it hid can win then
+            before = len(found)
+            for saved, i in self.winners([w for w in rest if w[0] != "\0"]):
                 for a, b, differ, how in self.places(self.templates[i][1], rest):
-                    if differ and exact:
-                        continue
                     found.append((a, b, i, saved, differ, how))
                     rest[a:b] = [f"\0{a}"] * (b - a)  # words that nothing matches
         if len(self.kept) >= _KEPT:
