@@ -40,6 +40,41 @@ def oracle_best(proposals: DataFrame, truth: DataFrame) -> DataFrame:
     return best.select("test", F.col("best.position").alias("position"), F.col("best.iou").alias("iou"), (F.col("best.iou") - F.col("chosen")).alias("gap"))
 
 
+def selection_results(tests: DataFrame, regions: DataFrame, proposals: DataFrame, selections: DataFrame, verdicts: DataFrame, stored_memos: DataFrame) -> DataFrame:
+    """One row per test for `run_summary`, and the first thing that went wrong with it: run, test, proposals, has_truth, covered, expected_selected, selected_right, iou, abstain_reason, failure.
+
+    tests: run, test (a memo), t_start_ms, t_end_ms (null: no truth), expected_selected. regions: memo, supported, region_start_ms, region_end_ms. proposals: memo, rank,
+    start_ms, end_ms. selections: memo, status, reason, selected_rank. verdicts: memo, verdict. stored_memos: memo, of the selections that were kept.
+    """
+    of = tests.withColumnRenamed("test", "memo")
+    measured = interval_metrics(of.select("memo", "t_start_ms", "t_end_ms").join(proposals.select("memo", "rank", F.col("start_ms").alias("p_start_ms"), F.col("end_ms").alias("p_end_ms")), "memo"))
+    picked = measured.join(selections.filter("status = 'SELECTED'").select("memo", "selected_rank"), "memo", "left")
+    scored = picked.groupBy("memo").agg(F.count(F.lit(1)).alias("proposals"), F.max("iou").alias("best"), F.max(F.when(F.col("rank") == F.col("selected_rank"), F.col("iou"))).alias("iou"))
+    known = of.join(regions.select("memo", "supported", "region_start_ms", "region_end_ms"), "memo", "left").join(scored, "memo", "left").join(selections.select("memo", "status", "reason"), "memo", "left")
+    known = known.join(verdicts, "memo", "left").join(stored_memos.select("memo", F.lit(True).alias("kept")).distinct(), "memo", "left")
+    truth, chosen = F.col("t_start_ms").isNotNull(), F.col("status") == "SELECTED"
+    covered = F.coalesce(F.col("best") > 0, F.lit(False))
+    right = F.coalesce(chosen & (F.col("verdict") == "OK") & (F.col("iou") == F.col("best")), F.lit(False))
+    meets = (F.col("t_start_ms") < F.col("region_end_ms")) & (F.col("region_start_ms") < F.col("t_end_ms"))
+    failure = (
+        F.when(F.col("supported").isNull(), "MEMO_DETECTION_FAILURE").when(~F.col("supported") | F.col("region_start_ms").isNull(), "INTENT_PARSE_FAILURE").when(truth & ~meets, "SEARCH_REGION_MISS")
+        .when(truth & ~covered, "PROPOSAL_MISS").when(F.col("status") == "AMBIGUOUS", "SEMANTIC_AMBIGUITY").when(F.col("status") == "INSUFFICIENT_EVIDENCE", "INSUFFICIENT_EVIDENCE")
+        .when(~F.coalesce(chosen, F.lit(False)), "SELECTION_ERROR").when(F.coalesce("verdict", F.lit("")) != "OK", "OUTPUT_VALIDATION_FAILURE").when(F.col("kept").isNull(), "PERSISTENCE_FAILURE").when(truth & F.col("expected_selected") & ~right, "SELECTION_ERROR")
+    )
+    return known.select("run", F.col("memo").alias("test"), F.coalesce("proposals", F.lit(0)).alias("proposals"), truth.alias("has_truth"), covered.alias("covered"), "expected_selected", right.alias("selected_right"), F.when(truth, F.col("iou")).alias("iou"), F.when(F.col("status").isNotNull() & ~chosen, F.col("reason")).alias("abstain_reason"), failure.alias("failure"))
+
+
+#: What can go wrong with a test, in the order of the steps.
+FAILURES = ("MEMO_DETECTION_FAILURE", "INTENT_PARSE_FAILURE", "SEARCH_REGION_MISS", "PROPOSAL_MISS", "SELECTION_ERROR", "SEMANTIC_AMBIGUITY", "INSUFFICIENT_EVIDENCE", "OUTPUT_VALIDATION_FAILURE", "PERSISTENCE_FAILURE")
+
+
+def failure_taxonomy(results: DataFrame) -> DataFrame:
+    """(run, failure, tests) of selection_results: every class of every run, those without tests too."""
+    every = results.select("run").distinct().withColumn("failure", F.explode(F.array(*map(F.lit, FAILURES))))
+    counted = results.filter("failure IS NOT NULL").groupBy("run", "failure").agg(F.count(F.lit(1)).alias("tests"))
+    return every.join(counted, ["run", "failure"], "left").withColumn("tests", F.coalesce("tests", F.lit(0)))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """(run, tests, recall, accuracy, mean_iou, median_iou, abstained, reasons) of results (run, test, has_truth, covered, expected_selected, selected_right, iou, abstain_reason)."""
     rate = lambda hit, of: F.sum(F.when(of, hit.cast("int"))) / F.count_if(of)

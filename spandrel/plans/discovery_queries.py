@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spandrel.operators import discovery as dc
+from spandrel.operators import evaluate as ev
 from spandrel.operators import signals as sg
 from spandrel.plans.views import Registry, Views
 
@@ -192,6 +193,51 @@ def d5(v):
     return dc.validate_selections(moved, proposals, regions)
 
 
+@R.add("d5_stale_config", f"""WITH {_PROPOSALS}, {_SELECTED}
+SELECT s.memo, CASE WHEN status <> 'SELECTED' THEN 'OK' WHEN s.memo % 5 = 0 THEN 'STALE_CONFIG' ELSE 'OK' END AS verdict FROM s""")
+def d5_stale(v):
+    regions = d2(v)
+    proposals = dc.memo_proposals(regions, v.segments).withColumn("config", F.when(F.col("memo") % 5 == 0, "v1").otherwise("v2"))
+    return dc.validate_selections(dc.select_proposals(proposals, regions), proposals, regions, "v2")
+
+
+_RESULTS = f"""WITH {_PROPOSALS}, {_SELECTED},
+tests AS (SELECT source % 10 AS run, memo AS test, CASE WHEN memo % 4 > 0 THEN greatest(start_ms - 6000 - memo % 7 * 2000, 0) END AS t_start_ms, CASE WHEN memo % 4 > 0 THEN greatest(start_ms - 1000, 1) END AS t_end_ms, memo % 3 > 0 AS expected_selected FROM v_memos
+          UNION ALL SELECT source % 10, -memo, NULL, NULL, true FROM v_memos WHERE memo % 11 = 5),
+g AS (SELECT test, rank, greatest(0, least(p.end_ms, t_end_ms) - greatest(p.start_ms, t_start_ms)) AS shared, p.end_ms - p.start_ms AS a, t_end_ms - t_start_ms AS z FROM tests JOIN p ON p.memo = test WHERE p.rank <= 12),
+h AS (SELECT test, count(*) AS proposals, max(shared / (a + z - shared)::DOUBLE) AS best, max(CASE WHEN rank = selected_rank THEN shared / (a + z - shared)::DOUBLE END) AS iou FROM g LEFT JOIN s ON s.memo = test AND s.status = 'SELECTED' GROUP BY test),
+told AS (SELECT tests.*, coalesce(h.proposals, 0) AS proposals, t_start_ms IS NOT NULL AS has_truth, coalesce(best > 0, false) AS covered, status, reason, iou, supported, region_start_ms,
+        CASE WHEN tests.test % 5 = 0 THEN 'STALE_CONFIG' ELSE 'OK' END AS verdict, coalesce(t_start_ms < region_end_ms AND region_start_ms < t_end_ms, false) AS meets, coalesce(status = 'SELECTED' AND tests.test % 5 <> 0 AND iou = best, false) AS selected_right
+      FROM tests LEFT JOIN r ON r.memo = tests.test LEFT JOIN h ON h.test = tests.test LEFT JOIN s ON s.memo = tests.test),
+results AS (SELECT run, test, proposals, has_truth, covered, expected_selected, selected_right, CASE WHEN has_truth THEN iou END AS iou, CASE WHEN status <> 'SELECTED' THEN reason END AS abstain_reason,
+  CASE WHEN supported IS NULL THEN 'MEMO_DETECTION_FAILURE' WHEN NOT supported OR region_start_ms IS NULL THEN 'INTENT_PARSE_FAILURE' WHEN has_truth AND NOT meets THEN 'SEARCH_REGION_MISS' WHEN has_truth AND NOT covered THEN 'PROPOSAL_MISS'
+       WHEN status = 'AMBIGUOUS' THEN 'SEMANTIC_AMBIGUITY' WHEN status = 'INSUFFICIENT_EVIDENCE' THEN 'INSUFFICIENT_EVIDENCE' WHEN status <> 'SELECTED' THEN 'SELECTION_ERROR' WHEN verdict <> 'OK' THEN 'OUTPUT_VALIDATION_FAILURE'
+       WHEN test % 13 = 0 THEN 'PERSISTENCE_FAILURE' WHEN has_truth AND expected_selected AND NOT selected_right THEN 'SELECTION_ERROR' END AS failure FROM told)"""
+
+
+def _selection_results(v):
+    truth = lambda shift, least: F.when(F.col("memo") % 4 > 0, F.greatest(F.col("start_ms") - shift, F.lit(least)))
+    run = (F.col("source") % 10).alias("run")
+    tests = v.memos.select(run, F.col("memo").alias("test"), truth(6_000 + F.col("memo") % 7 * 2_000, 0).cast("long").alias("t_start_ms"), truth(1_000, 1).cast("long").alias("t_end_ms"), (F.col("memo") % 3 > 0).alias("expected_selected"))
+    unheard = v.memos.filter("memo % 11 = 5").select(run, (-F.col("memo")).alias("test"), F.lit(None).cast("long").alias("t_start_ms"), F.lit(None).cast("long").alias("t_end_ms"), F.lit(True).alias("expected_selected"))
+    regions = d2(v)
+    proposals = dc.memo_proposals(regions, v.segments).withColumn("config", F.when(F.col("memo") % 5 == 0, "v1").otherwise("v2"))
+    selections = dc.select_proposals(proposals, regions)
+    return ev.selection_results(tests.unionByName(unheard), regions, proposals, selections, dc.validate_selections(selections, proposals, regions, "v2"), v.memos.filter("memo % 13 <> 0"))
+
+
+@R.add("q4_selection_results", f"{_RESULTS} SELECT * REPLACE (CAST(iou AS DECIMAL(12, 6)) AS iou) FROM results")
+def q4_results(v):
+    return _selection_results(v).withColumn("iou", F.col("iou").cast("decimal(12,6)"))
+
+
+@R.add("q4_failure_taxonomy", f"""{_RESULTS},
+classes AS (SELECT unnest(['MEMO_DETECTION_FAILURE', 'INTENT_PARSE_FAILURE', 'SEARCH_REGION_MISS', 'PROPOSAL_MISS', 'SELECTION_ERROR', 'SEMANTIC_AMBIGUITY', 'INSUFFICIENT_EVIDENCE', 'OUTPUT_VALIDATION_FAILURE', 'PERSISTENCE_FAILURE']) AS failure)
+SELECT u.run, c.failure, (SELECT count(*) FROM results x WHERE x.run = u.run AND x.failure = c.failure) AS tests FROM (SELECT DISTINCT run FROM results) u, classes c""")
+def q4_failures(v):
+    return ev.failure_taxonomy(_selection_results(v))
+
+
 @R.add("d6_escalations", f"""WITH {_PROPOSALS}, {_SELECTED},
 e AS (SELECT memo, CASE WHEN status = 'AMBIGUOUS' THEN 'AMBIGUOUS_TRANSCRIPT_PROPOSALS' WHEN reason = 'EARLIER_NEEDS_REFERENCE' THEN 'SEMANTIC_REFERENCE_UNRESOLVED' END AS why FROM s),
 q AS (SELECT p.memo, why, p.rank, p.source, l.ref FROM p JOIN e ON e.memo = p.memo, unnest(string_split(p.refs, ',')) AS l(ref) WHERE why IS NOT NULL AND p.rank <= 12 AND p.refs <> ''),
