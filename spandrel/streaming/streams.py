@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from spandrel.functions.shared import new_path
 
@@ -47,34 +48,53 @@ def replay(events: DataFrame, since, until, project=None, limit: int | None = No
     return ordered if limit is None else ordered.limit(limit)
 
 
-def ingest_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """(id, arrival, verdict) of a stream (id, arrival, ts, content): RECORDED for the first content of an id, then DUPLICATE or CONFLICT; LATE beyond the watermark.
+class _Ingest(StatefulProcessor):
+    """The first content of an id and the last event time it was seen at; a timer at that time drops both when the watermark has passed it."""
 
-    State is the SHA-256 of the first content for each id, dropped when the watermark has passed the id's last event time.
-    """
-    hashed = stream.select("id", "arrival", "ts", F.sha2("content", 256).alias("print")).withWatermark("ts", delay)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "print string, last long")
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("arrival")
-        mark = state.getCurrentWatermarkMs()
-        first, last = state.get if state.exists else (None, 0)
-        told = []
-        for at, seen in zip(rows["ts"], rows["print"]):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows)).sort_values("arrival")
+        mark, known = timerValues.getCurrentWatermarkInMs(), self.first.get() if self.first.exists() else None
+        told, due = [], [] if known is None else [known[1]]
+        for at, seen in zip(given["ts"], given["print"]):
             ms = int(at.timestamp() * 1000)
-            if mark and ms < mark:
+            if mark > 0 and ms < mark:
                 told.append("LATE")
                 continue
-            told.append("RECORDED" if first is None else "DUPLICATE" if first == seen else "CONFLICT")
-            first, last = seen if first is None else first, max(last, ms)
-        if first is not None:
-            state.update((first, last))
-            state.setTimeoutTimestamp(max(last, mark + 1))
-        yield pd.DataFrame({"id": key[0], "arrival": rows["arrival"], "verdict": told})
+            told.append("RECORDED" if known is None else "DUPLICATE" if known[0] == seen else "CONFLICT")
+            known = (seen, ms) if known is None else (known[0], max(known[1], ms))
+        if known is not None and known[1:] != tuple(due):
+            self.first.update(known)
+            for timer in due:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(known[1])
+        yield pd.DataFrame({"id": key[0], "arrival": given["arrival"], "verdict": told})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        yield pd.DataFrame({"id": [], "arrival": [], "verdict": []}).astype({"id": "int64", "arrival": "int64", "verdict": "object"})
+
+    def close(self) -> None:
+        pass
+
 
-    return hashed.groupBy("id").applyInPandasWithState(judge, "id long, arrival long, verdict string", "first string, last long", "append", "EventTimeTimeout")
+def ingest_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(id, arrival, verdict) of a stream (id, arrival, ts, content): RECORDED for the first content of an id, then DUPLICATE or CONFLICT; LATE beyond the watermark.
+
+    State is the SHA-256 of the first content for each id, dropped by a timer when the watermark has passed the id's last event time.
+    """
+    _keep_state_on_disk(stream.sparkSession)
+    # The watermark is taken from a column that the processor does not get: else Spark drops late rows before it can tell them.
+    hashed = stream.select("id", "arrival", "ts", F.sha2("content", 256).alias("print"), F.col("ts").alias("mark")).withWatermark("mark", delay).drop("mark")
+    return hashed.groupBy("id").transformWithStateInPandas(_Ingest(), "id long, arrival long, verdict string", "append", "EventTime")
+
+
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """State of any size: on the executors' disks, with its changes in the query's checkpoint. Timers need this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_sessions(stream: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -99,26 +119,45 @@ def expire_leases(runs: DataFrame, now) -> DataFrame:
     return runs.withColumn("status", F.when(F.coalesce(over, F.lit(False)), F.when(F.col("has_output"), "RECONCILIATION_REQUIRED").otherwise("INTERRUPTED")).otherwise(F.col("status")))
 
 
-def stream_leases(beats: DataFrame, lease_ms: int, delay: str) -> DataFrame:
-    """(id, status, at_ms) from a stream of heartbeats (id, ts, status): a run that says nothing for lease_ms of event time is INTERRUPTED; one that ends says so."""
-    marked = beats.select("id", "ts", "status").withWatermark("ts", delay)
+class _Leases(StatefulProcessor):
+    """The last heartbeat of a run; a timer a lease after it says that the run is interrupted."""
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "status": ["INTERRUPTED"], "at_ms": [last + lease_ms]})
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        last = max(int(rows["ts"].max().timestamp() * 1000), state.get[0] if state.exists else 0)
-        ended = rows[rows["status"].isin(TERMINAL)]
+    def __init__(self, lease_ms: int):
+        self.lease_ms = lease_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        beats = pd.concat(list(rows)).sort_values("ts")
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is not None:
+            self.handle.deleteTimer(before + self.lease_ms)
+        ended = beats[beats["status"].isin(TERMINAL)]
         if len(ended):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"id": [key[0]], "status": [ended["status"].iloc[0]], "at_ms": [int(ended["ts"].iloc[0].timestamp() * 1000)]})
+            self.last.clear()
+            yield _told(key[0], ended["status"].iloc[0], int(ended["ts"].iloc[0].timestamp() * 1000))
             return
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + lease_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": [], "status": [], "at_ms": []}).astype({"id": "int64", "status": "object", "at_ms": "int64"})
+        last = max(int(beats["ts"].max().timestamp() * 1000), before or 0)
+        self.last.update((last,))
+        self.handle.registerTimer(last + self.lease_ms)
+        yield _told()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield _told(key[0], "INTERRUPTED", expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
 
-    return marked.groupBy("id").applyInPandasWithState(watch, "id long, status string, at_ms long", "last long", "append", "EventTimeTimeout")
+
+def _told(*row) -> pd.DataFrame:
+    return pd.DataFrame([row] if row else [], columns=["id", "status", "at_ms"]).astype({"id": "int64", "status": "object", "at_ms": "int64"})
+
+
+def stream_leases(beats: DataFrame, lease_ms: int, delay: str) -> DataFrame:
+    """(id, status, at_ms) from a stream of heartbeats (id, ts, status): a run that says nothing for lease_ms of event time is INTERRUPTED; one that ends says so."""
+    _keep_state_on_disk(beats.sparkSession)
+    marked = beats.select("id", "ts", "status").withWatermark("ts", delay)
+    return marked.groupBy("id").transformWithStateInPandas(_Leases(lease_ms), "id long, status string, at_ms long", "append", "EventTime")
