@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.shared import spread
 from spandrel.llm import simhash
 from spandrel.llm.common import id_key, renamed, salt, stored
 from spandrel.llm.components import components
@@ -178,12 +179,6 @@ def _apart(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by keys to all cores: few bytes can be much work, so tasks must not be merged by size."""
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
-
-
 def _texts_similar(ones: pd.Series, twos: pd.Series) -> pd.Series:
     last, held, out = None, None, []
     for one, two in zip(ones, twos):
@@ -196,7 +191,7 @@ def _texts_similar(ones: pd.Series, twos: pd.Series) -> pd.Series:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (different a, b) whose texts are similar."""
     one, two = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    met = _spread(pairs.join(one, "a").join(two, "b"), "b")  # texts of the second column come in groups
+    met = spread(pairs.join(one, "a"), "b").join(two.hint("merge"), "b")  # dealt before the join: the first text of a pair moves once, the second once for all its pairs
     return met.sortWithinPartitions("b").filter(F.pandas_udf(_texts_similar, "boolean")("text_a", "text_b")).select("a", "b")
 
 
@@ -258,14 +253,14 @@ def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFram
     largest = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("size").desc(), "shingle"))
     rooted = _with_roots(many.withColumn("rank", largest).filter(F.col("rank") <= FIRST).select("shingle", "sid", "size"), roots)
     dealt = rooted.join(mixed(rooted), "shingle").select("shingle", "sid", F.pmod(F.xxhash64("sid", "shingle"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-    joined = stored(_spread(dealt.join(maps, "sid").join(texts, "sid"), "shingle", "block").groupBy("shingle", "block").applyInPandas(_block_links, "a long, b long"), "joined")
+    joined = stored(spread(dealt.join(maps, "sid").join(texts, "sid"), "shingle", "block").groupBy("shingle", "block").applyInPandas(_block_links, "a long, b long"), "joined")
     known = first.unionByName(near).unionByName(joined)
 
     rooted = _with_roots(many.select("shingle", "sid", "size"), components(known))
     last = F.floor((F.col("size") - 1) / BLOCK)
     cells = rooted.join(mixed(rooted), "shingle").withColumn("own", F.pmod(F.xxhash64("sid"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     cells = cells.select("shingle", "sid", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rest = _spread(cells.join(maps, "sid"), "shingle", "low", "high").groupBy("shingle", "low", "high").applyInPandas(_apart, "a long, b long").distinct()
+    rest = spread(cells.join(maps, "sid"), "shingle", "low", "high").groupBy("shingle", "low", "high").applyInPandas(_apart, "a long, b long").distinct()
     return known.unionByName(stored(_verified(rest, texts), "rest"))
 
 

@@ -6,7 +6,8 @@ import corpus_pipeline
 from spandrel.llm import toxicity
 from spandrel.llm.common import new_path
 from tests.llm.conftest import words
-from tests.llm.test_documents import WHITE, plain_fingerprint, plain_quality
+from tests.llm.test_documents import WHITE, plain_quality
+from tests.llm.test_similar import smallest_of_each
 from tests.llm.test_texts import corpus
 
 
@@ -34,20 +35,7 @@ def test_pipeline_equals_plain_python(spark):
     for i in kept:
         groups[texts[i].translate(WHITE)].append((-len(texts[i]), i))
     kept = sorted(min(g)[1] for g in groups.values())
-    prints = {i: plain_fingerprint(texts[i]) for i in kept}
-    root = {i: i for i in kept}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in kept:
-        for b in kept:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = sorted((top(a), top(b)))
-                root[y] = x
-    kept = {i for i in kept if top(i) == i}
+    kept = set(smallest_of_each([(i, texts[i]) for i in kept]))
     assert len(kept) > 50 and not kept & {1_002, 1_003, 1_004, 1_005}
 
     want = Counter({i: len(texts[i].split()) + 1 for i in kept})
