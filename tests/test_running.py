@@ -61,7 +61,7 @@ def test_order_by_text_is_one_cell(spark, rows):
 
 
 def test_one_key_of_ten_million_rows_spreads(spark):
-    """A source of 10,000,000 measurements, 20 ms each: no task has more than a twentieth, and the sums are right."""
+    """A source of 10,000,000 measurements, 20 ms each: no task has more than a tenth, and the sums are right."""
     n = 10_000_000
     df = spark.range(n).select(F.lit(1).alias("source"), (F.col("id") * 20).alias("start_ms"), (F.col("id") * 20 + 5).alias("end_ms"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
