@@ -5,7 +5,7 @@ first; each is verified with the whole sets, and what they connect needs no more
 at 0.8 differ in ten bits of 64, so the search is completed: shingles are put in one order for all texts, those that the corpus
 has fewest of first, and the first common shingle of two similar sets is among the first fifth (and one) of either. Sets that share one
 there are candidates. Buckets of up to `SMALL` sets list their pairs. Sets of larger buckets are linked, verified, in random
-blocks of their `FIRST` largest buckets; then sets that are still not connected are compared, in blocks, by parity
+blocks of their `FIRST` largest buckets, where only sets that some other of the block may be similar to, by bitmaps, bring their texts; then sets that are still not connected are compared, in blocks, by parity
 bitmaps: the bits in which two bitmaps differ are never more than the shingles in which the sets do, so the filter loses no
 pair. All candidates are verified with the whole sets.
 
@@ -151,6 +151,20 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(*_keys(), column("text").alias("set")).select(*KEYS, "set.*")
 
 
+def _partnered(cell: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one block whose set may be similar to another of the block; no other row can have a link there."""
+    cell = cell.drop_duplicates("sid")
+    n = cell["n"].to_numpy(np.int64)
+    maps, narrow = _maps(cell)
+    has = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        others = np.arange(i + 1, len(n))
+        new = _close(maps, narrow, n, i, others[~has[others]] if has[i] else others)
+        has[new] = True
+        has[i] |= len(new) > 0
+    return cell.loc[has, ["shingle", "sid", "size", "block"]]
+
+
 def _block_links(cell: pd.DataFrame) -> pd.DataFrame:
     """Verified links of one block that connect what all its links connect."""
     cell = cell.drop_duplicates("sid")
@@ -190,7 +204,7 @@ def _texts_similar(ones: pd.Series, twos: pd.Series) -> pd.Series:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (different a, b) whose texts are similar."""
-    one, two = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    one, two = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")).join(pairs.select(k), k, "left_semi") for k in "ab")  # else a few pairs move all texts
     met = spread(pairs.join(one, "a"), "b").join(two.hint("merge"), "b")  # dealt before the join: the first text of a pair moves once, the second once for all its pairs
     return met.sortWithinPartitions("b").filter(F.pandas_udf(_texts_similar, "boolean")("text_a", "text_b")).select("a", "b")
 
@@ -218,6 +232,16 @@ def _unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("root_a <> root_b").select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+
+
+def _texts(docs: DataFrame, own: DataFrame, need: DataFrame) -> DataFrame:
+    """(sid, text) of the sets that need (sid) names. The rows to read are stored first, so that Spark knows their size before it moves texts."""
+    held = stored(own.join(need.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(*KEYS)).alias("key")).select("sid", "key.*"), "held")
+    return stored(docs.select(*_keys(), "text").join(held, KEYS).dropDuplicates(["sid"]).select("sid", "text"), "texts")
+
+
 def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b) of sets (sid, fp, n, first, bitmap) of docs that connect what all similar pairs connect."""
     nodes = stored(own.filter("n > 0").select("sid", "fp", "n", "first").dropDuplicates(["sid"]), "nodes")
@@ -232,27 +256,25 @@ def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFram
         y -> struct(least(x.sid, y.sid) AS a, greatest(x.sid, y.sid) AS b))))""")
     listed = stored(few.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct(), "pairs")
 
-    ends = found.unionByName(listed)
-    either = stored(ends.select(F.col("a").alias("sid")).unionByName(ends.select(F.col("b").alias("sid"))).unionByName(many.select("sid")).distinct(), "either")
+    either = stored(_ends(found.unionByName(listed)).unionByName(many.select("sid")).distinct(), "either")
     maps = stored(own.join(either, "sid", "left_semi").select("sid", "n", "bitmap").dropDuplicates(["sid"]), "maps")
     one, two = (maps.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"map_{k}")) for k in "ab")
     close = F.pandas_udf(_pairs_close, "boolean")("map_a", "map_b", F.col("n_a") + F.col("n_b"))
     may_be = lambda pairs: pairs.join(one, "a").join(two, "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").filter(close).select("a", "b")
     found, listed = stored(may_be(found), "found"), stored(may_be(listed), "listed")
 
-    ends = found.unionByName(listed)
-    need = ends.select(F.col("a").alias("sid")).unionByName(ends.select(F.col("b").alias("sid"))).unionByName(many.select("sid")).distinct()
-    held = own.join(need, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(*KEYS)).alias("key")).select("sid", "key.*")
-    texts = stored(docs.select(*_keys(), "text").join(held, KEYS).dropDuplicates(["sid"]).select("sid", "text"), "texts")
+    largest = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("size").desc(), "shingle"))
+    dealt = many.withColumn("rank", largest).filter(F.col("rank") <= FIRST).select("shingle", "sid", "size", F.pmod(F.xxhash64("sid", "shingle"), F.ceil(F.col("size") / BLOCK)).alias("block"))
+    dealt = stored(spread(dealt.join(maps, "sid"), "shingle", "block").groupBy("shingle", "block").applyInPandas(_partnered, "shingle long, sid long, size long, block long"), "dealt")
+    texts = _texts(docs, own, _ends(found.unionByName(listed)).unionByName(dealt.select("sid")))
 
     first = stored(_verified(found, texts), "first")
     roots = components(first)
-    near = stored(_verified(_unconnected(listed, roots), texts), "near")
+    near = stored(_verified(stored(_unconnected(listed, roots), "unconnected"), texts), "near")
 
     mixed = lambda rooted: rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
-    largest = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("size").desc(), "shingle"))
-    rooted = _with_roots(many.withColumn("rank", largest).filter(F.col("rank") <= FIRST).select("shingle", "sid", "size"), roots)
-    dealt = rooted.join(mixed(rooted), "shingle").select("shingle", "sid", F.pmod(F.xxhash64("sid", "shingle"), F.ceil(F.col("size") / BLOCK)).alias("block"))
+    rooted = _with_roots(dealt, roots)
+    dealt = stored(rooted.join(mixed(rooted), "shingle").select("shingle", "sid", "block"), "mixed")
     joined = stored(spread(dealt.join(maps, "sid").join(texts, "sid"), "shingle", "block").groupBy("shingle", "block").applyInPandas(_block_links, "a long, b long"), "joined")
     known = first.unionByName(near).unionByName(joined)
 
@@ -261,7 +283,8 @@ def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFram
     cells = rooted.join(mixed(rooted), "shingle").withColumn("own", F.pmod(F.xxhash64("sid"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     cells = cells.select("shingle", "sid", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     rest = spread(cells.join(maps, "sid"), "shingle", "low", "high").groupBy("shingle", "low", "high").applyInPandas(_apart, "a long, b long").distinct()
-    return known.unionByName(stored(_verified(rest, texts), "rest"))
+    rest = stored(rest, "apart")
+    return known.unionByName(stored(_verified(rest, _texts(docs, own, _ends(rest))), "rest"))
 
 
 def drop_similar(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

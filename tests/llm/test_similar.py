@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -80,3 +81,31 @@ def test_bitmaps_never_differ_more_than_sets():
         a, b = similar.shingles(base), similar.shingles(edited(r, base, r.randint(0, 30)))
         apart = similar.far(similar.bitmap(a), similar.bitmap(b))
         assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_blocks_pass_on_the_sets_with_a_partner_only():
+    """A passage that unrelated texts share brings no text along; every set of a similar pair does, whatever its place."""
+    r = random.Random(3)
+    base, passage = words(5, 200), words(6, 40)
+    texts = [passage + " " + words(400 + k, 150) for k in range(30)] + [base, *(edited(r, base, 2) for _ in range(3))] + [words(7, 3_000), edited(r, words(7, 3_000), 9)]
+    sets = [similar.shingles(t) for t in texts]
+    like = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and similar._similar(a, b)}
+    assert like == set(range(30, 36))
+    order = r.sample(range(len(texts)), len(texts))
+    cell = pd.DataFrame({"shingle": 1, "sid": order, "size": len(texts), "block": 0, "n": [len(sets[i]) for i in order], "bitmap": [similar.bitmap(sets[i]) for i in order]})
+    got = similar._partnered(cell)
+    assert sorted(got["sid"]) == sorted(like) and list(got.columns) == ["shingle", "sid", "size", "block"]
+
+
+def test_few_pairs_move_few_texts(spark):
+    """Two pairs of 2,000 texts are verified without a shuffle of the others."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = [spark.createDataFrame([(i, words(i, 60)) for i in range(2_000)], "sid long, text string"), spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")]
+        texts, pairs = (similar.stored(df, "test") for df in kept)
+        plan = similar._verified(pairs, texts)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # What reads texts is filtered by a broadcast before any exchange of it.
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftSemi" in plan
+    assert similar._verified(pairs, texts).count() == 0
