@@ -4,7 +4,7 @@ A text without its white space is cut into chunks where a rolling hash of the la
 identifiers that are verified: every distinct chunk moves through one shuffle together with its identifier, and if two
 different chunks share one, all identifiers are made anew with another key and twice the length. After that only the
 ordered identifier lists (recipes) of the documents are compared, so long documents do not move again; `drop_copies` too moves keys
-alone, as long as what it drops is at most `FEW_DROPPED` keys.
+alone, as long as what it drops is at most `FEW` keys.
 
 Defined results: a null text counts as empty; texts of white space only are equal to the empty text; a null doc_id is
 smaller than any other; of rows that repeat a doc_id and a text one is kept, any of them; other columns, whatever their
@@ -21,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import id_key, renamed, salt, stored
+from spandrel.llm.common import FEW, KEYS, id_key, renamed, salt, stored, without_fated
 
 MIN_BYTES, MAX_BYTES = 512, 16_384
 #: One position in so many ends a chunk.
 ONE_IN = 2_048
 DIGEST_BYTES = 16
 SALTS = 64
-#: As many keys (of 24 bytes) are broadcast at most; more are joined by a shuffle.
-FEW_DROPPED = 1_000_000
 
 _DELETE = b" \t\n\x0b\x0c\r"
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), np.uint32)
@@ -141,17 +139,12 @@ def copies(docs: DataFrame, size: int = DIGEST_BYTES) -> DataFrame:
     return _judged(docs, size).drop("text_hash", "row")
 
 
-def drop_copies(docs: DataFrame, few: int = FEW_DROPPED) -> DataFrame:
+def drop_copies(docs: DataFrame, few: int = FEW) -> DataFrame:
     """docs without all but one of the documents that are equal but for white space."""
-    keys = ["__null", "__id", "__hash"]
     met = _judged(docs, DIGEST_BYTES).filter("group_size > 1").select("kept", "row", *id_key(F.col("doc_id")), F.col("text_hash").alias("__hash"))
-    fates = met.groupBy(*keys, salt(F.col("row"), SALTS).alias("__salt")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
-    fates = fates.groupBy(*keys).agg(F.bool_or("__kept").alias("__kept"), F.sum("__n").alias("__n")).filter("NOT __kept OR __n > 1").select(*keys, "__kept")
+    fates = met.groupBy(*KEYS, salt(F.col("row"), SALTS).alias("__salt")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    fates = fates.groupBy(*KEYS).agg(F.bool_or("__kept").alias("__kept"), F.sum("__n").alias("__n")).filter("NOT __kept OR __n > 1").select(*KEYS, "__kept")
     fates = stored(fates, "fates")  # keys of rows that go, and of rows that repeat and of which one stays
     named, back = renamed(docs)
     marked = named.select("*", *id_key(F.col("doc_id")), F.xxhash64("text").alias("__hash"))
-    known = marked.join(F.broadcast(fates) if fates.count() <= few else fates, keys, "left")
-    stay = known.filter("__kept IS NULL")
-    if not fates.filter("__kept").isEmpty():
-        stay = stay.unionByName(known.filter("__kept").dropDuplicates(keys))
-    return back(stay)
+    return back(without_fated(marked, fates, few))

@@ -12,6 +12,9 @@ pair. All candidates are verified with the whole sets.
 The order of shingles is taken from counts in `CELLS` cells by hash, so its size is fixed; any order gives the same links, but
 with this one a passage that many texts share makes no large bucket.
 
+Texts move only if a candidate pair needs them: the rows to read, and at the end the rows to drop, are named by keys that are broadcast,
+up to `FEW` of them; beyond that a shuffle of all texts does the same.
+
 Defined results: texts with equal sets are one node; a text of fewer words than a shingle has one shingle; texts without words
 are equal; words are separated by ASCII white space and A-Z are lowered. Of each component the row with the smallest doc_id stays
 (null last, then by a hash of the text), and rows that repeat it are dropped; columns of any name are returned unchanged.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions.shared import spread
 from spandrel.llm import simhash
-from spandrel.llm.common import id_key, renamed, salt, stored
+from spandrel.llm.common import FEW, KEYS, few_broadcast, id_key, renamed, salt, stored, without_fated
 from spandrel.llm.components import components
 
 WORDS, SEED, SALTS = 5, 42, 64
@@ -38,7 +41,6 @@ BITMAP = 1_024
 #: Bits in which fingerprints of proposed links differ, and cells in which shingles are counted.
 DISTANCE, CELLS, SUMS = 3, 1 << 16, 8
 
-KEYS = ["__null", "__id", "__hash"]
 _ROW = "sid long, fp long, n int, first array<long>, bitmap array<long>"
 
 
@@ -237,9 +239,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, own: DataFrame, need: DataFrame) -> DataFrame:
-    """(sid, text) of the sets that need (sid) names. The rows to read are stored first, so that Spark knows their size before it moves texts."""
+    """(sid, text) of the sets that need (sid) names."""
     held = stored(own.join(need.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(*KEYS)).alias("key")).select("sid", "key.*"), "held")
-    return stored(docs.select(*_keys(), "text").join(held, KEYS).dropDuplicates(["sid"]).select("sid", "text"), "texts")
+    return stored(_read(docs, held), "texts")
+
+
+def _read(docs: DataFrame, held: DataFrame, few: int = FEW) -> DataFrame:
+    """(sid, text) of the rows that held (sid, KEYS; stored) names; other texts stay where they are if those are few."""
+    return docs.select(*_keys(), "text").join(few_broadcast(held, few), KEYS).dropDuplicates(["sid"]).select("sid", "text")
 
 
 def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -287,7 +294,7 @@ def links(docs: DataFrame, own: DataFrame, distance: int = DISTANCE) -> DataFram
     return known.unionByName(stored(_verified(rest, _texts(docs, own, _ends(rest))), "rest"))
 
 
-def drop_similar(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def drop_similar(docs: DataFrame, distance: int = DISTANCE, few: int = FEW) -> DataFrame:
     """docs with one row of each component of similar texts; distance: of the fingerprints of links that SimHash proposes."""
     named, back = renamed(docs)
     own = stored(_sets(named), "sets")
@@ -297,5 +304,6 @@ def drop_similar(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rooted = classes.join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "best")
     best = F.min("best").alias("best")
     stay = rooted.groupBy("root", salt(F.col("best"), SALTS).alias("salt")).agg(best).groupBy("root").agg(best).select("best.*")
-    kept = named.select("*", *_keys()).join(stay, KEYS, "left_semi")
-    return back(kept.dropDuplicates(KEYS))
+    met = own.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).join(stay.withColumn("stays", F.lit(True)), KEYS, "left")
+    fates = met.select(*KEYS, F.coalesce("stays", F.lit(False)).alias("__kept"), "n").filter("NOT __kept OR n > 1").drop("n")
+    return back(without_fated(named.select("*", *_keys()), stored(fates, "fates"), few))

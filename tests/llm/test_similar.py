@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spandrel.llm import similar
@@ -109,3 +110,33 @@ def test_few_pairs_move_few_texts(spark):
     # What reads texts is filtered by a broadcast before any exchange of it.
     assert plan.count("BroadcastHashJoin") >= 2 and "LeftSemi" in plan
     assert similar._verified(pairs, texts).count() == 0
+
+
+def test_last_step_moves_no_texts(spark):
+    """Keys of rows that go are broadcast whatever Spark's own threshold; no text is shuffled, unless rows repeat their keys or too many go. The rows are the same."""
+    rows = corpus()
+    docs = similar.stored(spark.createDataFrame([(i, t, "en") for i, t in rows], KIND), "test")
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        plans = [similar.drop_similar(docs, **few)._jdf.queryExecution().executedPlan().toString() for few in ({}, {"few": 0})]
+        held = similar.stored(docs.filter("doc_id < 9").select(F.col("doc_id").alias("sid"), *similar._keys()), "test")
+        reads = [similar._read(docs, held, few) for few in (9, 8)]
+        joins = [("BroadcastHashJoin" in p, "SortMergeJoin" in p) for p in (r._jdf.queryExecution().executedPlan().toString() for r in reads)]
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+    assert ["hashpartitioning" in p for p in plans] == [False, True]
+    assert joins == [(True, False), (False, True)]
+    want = {i: t for i, t in rows if i < 9}
+    assert all({r["sid"]: r["text"] for r in read.collect()} == want for read in reads)
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_keys_by_shuffle_and_by_broadcast(spark, few):
+    """Rows that repeat a key, kept or not, and null ids, on either way."""
+    a, b, c = (words(50 + k, 80) for k in range(3))
+    rows = [(1, a), (1, a), (1, a), (2, a + " end"), (2, a + " end"), (None, b), (None, b), (3, b), (4, c), (None, a), (5, None), (6, "")]
+    got = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), few=few).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (3, b), (4, c), (5, None)]))
