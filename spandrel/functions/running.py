@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from spandrel.functions.shared import spread
+
 #: Milliseconds of a cell, and numbers of a cell where the order is a position.
 SPAN_MS, SPAN_POSITIONS = 3_600_000, 65_536
 _CELL = "__cell"
@@ -21,9 +23,10 @@ def span_of(column: str, span: int) -> Column:
     return F.floor(F.col(column) / span).cast("long")
 
 
-def dealt(df: DataFrame, key: Sequence[str], span: Column) -> DataFrame:
-    """df dealt by cells, a struct (so that null keys are keys)."""
-    return df.withColumn(_CELL, F.struct(*[F.col(k) for k in key], span.alias("__span"))).repartition(_CELL)
+def dealt(df: DataFrame, key: Sequence[str], span: Column, apart: bool = False) -> DataFrame:
+    """df dealt by cells, a struct (so that null keys are keys); with apart, to tasks that are not merged by size, so that each sorts in memory. A span holds no fractions: Spark would deal them twice."""
+    cells = df.withColumn(_CELL, F.struct(*[F.col(k) for k in key], span.alias("__span")))
+    return spread(cells, _CELL) if apart else cells.repartition(_CELL)
 
 
 def within(*order: Column | str) -> WindowSpec:

@@ -306,3 +306,43 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("id long, ts timestamp, status string").parquet(f"{tmp_path}/beats")
     told = {(x["id"], x["status"], x["at_ms"]) for x in st.run_available(st.stream_leases(stream, 3_600_000, "1 minute"), "leases").collect()}
     assert (2, "FAILED", int(at(2).replace(tzinfo=datetime.UTC).timestamp() * 1000)) in told
+
+
+def test_leave_out_as_a_heap_does(spark):
+    """Scenes of equal days, lengths of 0 and below, and no target: against one choice after the other."""
+    r = random.Random(5)
+    rows = [(p, 1_000 * p + i, r.randrange(4), r.randrange(12), r.choice([0, 0, -400, 300, 300, 700]), r.randrange(2), r.randrange(2), r.choice([None, 0.0, 0.5, 1.0]) if p % 3 == 0 else None) for p in range(20) for i in range(r.randint(1, 30))]
+    targets = {p: r.choice([0, 500, 2_000]) for p in range(19)}
+    want = []
+    for p, target in targets.items():
+        own = sorted((x for x in rows if x[0] == p), key=lambda x: (x[3], x[1]))
+        kind = lambda x: x[7] if x[7] is not None else 2 * x[5] or x[6]
+        free = [i for i, x in enumerate(own) if not (i in (0, len(own) - 1) and x[7] != 0)] if len(own) > 2 else []
+        keeps = {s: sum(x[4] for x in own if x[2] == s) for s in range(4)}
+        excess, n = sum(keeps.values()) - 0.6 * target, 0
+        while free and excess > 0:
+            now = min(kind(own[i]) for i in free)
+            latest = {own[i][2]: i for i in free if kind(own[i]) == now}
+            source = max(latest, key=lambda s: (keeps[s], latest[s]))
+            x = own[latest[source]]
+            free.remove(latest[source])
+            want.append((p, x[1], n))
+            keeps[source], excess, n = keeps[source] - x[4], excess - x[4], n + 1
+    scenes = spark.createDataFrame(rows, "project long, candidate long, source long, day_order long, ms long, mine int, others int, taste double")
+    got = ed.leave_out(scenes, spark.createDataFrame(list(targets.items()), "project long, target_ms long"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and want
+
+
+def test_leave_out_spreads_a_project(spark):
+    """Scenes of one project are dealt to many tasks."""
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    scenes = spark.range(n).select(F.lit(1).cast("long").alias("project"), F.col("id").alias("candidate"), (F.col("id") % 200).alias("source"), F.col("id").alias("day_order"), (F.col("id") % 7 * 100).alias("ms"), (F.col("id") % 3).alias("mine"), (F.col("id") % 2).alias("others"), F.lit(None).cast("int").alias("taste"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ed.leave_out(scenes, spark.createDataFrame([(1, 1_000)], "project long, target_ms long"))
+        parts = [x["n"] for x in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(parts) > n * 0.9 and max(parts) < 0.6 * sum(parts)
