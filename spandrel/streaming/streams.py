@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from spandrel.functions.shared import new_path
 
 TERMINAL = ("COMPLETED", "FAILED", "INTERRUPTED")
+#: Parts of the state of recorded events, each read and written whole.
+BUCKETS = 4_096
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -49,47 +52,76 @@ def replay(events: DataFrame, since, until, project=None, limit: int | None = No
 
 
 class _Ingest(StatefulProcessor):
-    """The first content of an id and the last event time it was seen at; a timer at that time drops both when the watermark has passed it."""
+    """The first content of the ids of a bucket and the last event time each was seen at, as arrays in order of id; a timer at the least of these times drops what the watermark has passed.
+
+    A bucket is read and written once a batch, so a batch costs calls for the buckets that it touches and array work for its rows and their buckets' ids.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "print string, last long")
+        self.known = handle.getValueState("known", "ids binary, prints binary, lasts binary, due long")
+
+    def _read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int | None]:
+        ids, prints, lasts, due = self.known.get() if self.known.exists() else (b"", b"", b"", None)
+        return np.frombuffer(bytes(ids), np.int64), np.frombuffer(bytes(prints), "S32"), np.frombuffer(bytes(lasts), np.int64), due
+
+    def _write(self, ids: np.ndarray, prints: np.ndarray, lasts: np.ndarray, due: int | None) -> None:
+        least = int(lasts.min())
+        if due is None or least < due:  # one that fires too soon drops nothing and is set again
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(due := least)
+        self.known.update((ids.tobytes(), prints.tobytes(), lasts.tobytes(), due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows)).sort_values("arrival")
-        mark, known = timerValues.getCurrentWatermarkInMs(), self.first.get() if self.first.exists() else None
-        told, due = [], [] if known is None else [known[1]]
-        for at, seen in zip(given["ts"], given["print"]):
-            ms = int(at.timestamp() * 1000)
-            if mark > 0 and ms < mark:
-                told.append("LATE")
-                continue
-            told.append("RECORDED" if known is None else "DUPLICATE" if known[0] == seen else "CONFLICT")
-            known = (seen, ms) if known is None else (known[0], max(known[1], ms))
-        if known is not None and known[1:] != tuple(due):
-            self.first.update(known)
-            for timer in due:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(known[1])
-        yield pd.DataFrame({"id": key[0], "arrival": given["arrival"], "verdict": told})
+        given = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        mark, ms = timerValues.getCurrentWatermarkInMs(), given["ms"].to_numpy(np.int64)
+        told = np.full(len(given), "LATE", dtype=object)
+        live = np.flatnonzero(ms >= mark) if mark > 0 else np.arange(len(given))
+        if len(live):
+            ids, prints, lasts, due = self._read()
+            own, first, at = np.unique(given["id"].to_numpy(np.int64)[live], return_index=True, return_inverse=True)
+            seen = np.array([x or b"" for x in given["print"]], "S32")[live]
+            place = np.searchsorted(ids, own)
+            old = np.zeros(len(own), bool)
+            old[place < len(ids)] = ids[place[place < len(ids)]] == own[place < len(ids)]
+            begun, last = seen[first], np.full(len(own), np.iinfo(np.int64).min)
+            begun[old], last[old] = prints[place[old]], lasts[place[old]]
+            np.maximum.at(last, at, ms[live])
+            verdict = np.where(seen == begun[at], "DUPLICATE", "CONFLICT").astype(object)
+            verdict[first[~old]] = "RECORDED"
+            told[live] = verdict
+            lasts = lasts.copy()
+            lasts[place[old]] = last[old]
+            place = place[~old]
+            self._write(np.insert(ids, place, own[~old]), np.insert(prints, place, begun[~old]), np.insert(lasts, place, last[~old]), due)
+        yield pd.DataFrame({"id": pd.Series([None] * len(given), given.index, "object") if key[1] else given["id"], "arrival": given["arrival"], "verdict": told})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
+        ids, prints, lasts, _ = self._read()
+        stays = lasts >= timerValues.getCurrentWatermarkInMs()
+        if stays.any():
+            self._write(ids[stays], prints[stays], lasts[stays], None)
+        else:
+            self.known.clear()
         yield pd.DataFrame({"id": [], "arrival": [], "verdict": []}).astype({"id": "int64", "arrival": "int64", "verdict": "object"})
 
     def close(self) -> None:
         pass
 
 
-def ingest_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+def ingest_events(stream: DataFrame, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """(id, arrival, verdict) of a stream (id, arrival, ts, content): RECORDED for the first content of an id, then DUPLICATE or CONFLICT; LATE beyond the watermark.
 
-    State is the SHA-256 of the first content for each id, dropped by a timer when the watermark has passed the id's last event time.
+    State is the SHA-256 of the first content for each id, dropped by a timer when the watermark has passed the id's last event time. Ids are kept by
+    buckets: more of them make batches that touch few ids of many cheaper. A query that goes on from a checkpoint needs the same number.
     """
     _keep_state_on_disk(stream.sparkSession)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
+    print_of = F.unhex(F.sha2("content", 256)).alias("print")
     # The watermark is taken from a column that the processor does not get: else Spark drops late rows before it can tell them.
-    hashed = stream.select("id", "arrival", "ts", F.sha2("content", 256).alias("print"), F.col("ts").alias("mark")).withWatermark("mark", delay).drop("mark")
-    return hashed.groupBy("id").transformWithStateInPandas(_Ingest(), "id long, arrival long, verdict string", "append", "EventTime")
+    hashed = stream.select(bucket, F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "arrival", F.unix_millis("ts").alias("ms"), print_of, F.col("ts").alias("mark")).withWatermark("mark", delay).drop("mark")
+    return hashed.groupBy("bucket", "none").transformWithStateInPandas(_Ingest(), "id long, arrival long, verdict string", "append", "EventTime")
 
 
 def _keep_state_on_disk(spark: SparkSession) -> None:

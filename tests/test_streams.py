@@ -1,8 +1,11 @@
 """Streams over several batches: late, repeated and conflicting events, restarts from the checkpoint, and timers."""
 
 import datetime
+import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from spandrel.streaming import streams as st
 
@@ -54,3 +57,32 @@ def test_leases_over_restarts(feed):
     assert put([(4, minutes(40), "RUNNING")]) == [(1, "INTERRUPTED", ms(30))]
     assert put([(4, minutes(60), "RUNNING")]) == [(2, "INTERRUPTED", ms(50))]
     assert put([(4, minutes(61), "FAILED"), (5, minutes(500), "RUNNING")]) == [(4, "FAILED", ms(61))]
+
+
+def test_buckets_keep_ids_apart(feed):
+    """Two buckets for all ids, over restarts, against the rule; times meet the watermark, contents may be null."""
+    r = random.Random(3)
+    put, known, mark = feed(EVENTS, lambda s: st.ingest_events(s, "30 minutes", 2)), {}, AT
+    for batch in range(4):
+        rows = [(r.randrange(-3, 9), 60 * batch + i, minutes(batch * 40 + r.randrange(60)), r.choice([None, "a", "a", "b"])) for i in range(60)]
+        want = []
+        for k, arrival, at, content in rows:
+            late = at < mark
+            want.append((k, arrival, "LATE" if late else "RECORDED" if k not in known else "DUPLICATE" if known[k][0] == content else "CONFLICT"))
+            if not late:
+                first, last = known.get(k, (content, at))
+                known[k] = first, max(last, at)
+        assert put(rows) == sorted(want)
+        mark = max(x[2] for x in rows) - datetime.timedelta(minutes=30)
+        known = {k: v for k, v in known.items() if v[1] >= mark}
+
+
+def test_many_ids(spark, tmp_path):
+    """200,000 ids, and a null one: state is not called for one id at a time."""
+    ids = F.when(F.col("id") < 400_000, F.col("id") % 200_000)
+    spark.range(400_003).select(ids.alias("id"), F.col("id").alias("arrival"), F.lit(AT).alias("ts"), F.when(F.col("id") < 300_000, "a").otherwise("b").alias("content")).write.parquet(f"{tmp_path}/in")
+    began = time.time()
+    out = st.run_available(st.ingest_events(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in")), "ingest")
+    got = {tuple(x) for x in out.groupBy(F.col("id").isNull(), "verdict").count().collect()}
+    assert got == {(False, "RECORDED", 200_000), (False, "DUPLICATE", 100_000), (False, "CONFLICT", 100_000), (True, "RECORDED", 1), (True, "DUPLICATE", 2)}
+    assert time.time() - began < 120
