@@ -74,7 +74,7 @@ _RELATED = "SELECT source AS project, doc_id AS a, doc_id + 40 AS b FROM documen
 @R.add("p3_existing_relations", f"WITH {_PAIRS} SELECT * FROM p UNION ALL SELECT project, a, b, 'EXISTING_RELATION' FROM ({_RELATED}) r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = r.project AND left_id = a AND right_id = b)")
 def p3(v):
     related = v.table("documents").filter("doc_id % 3 = 0").select(F.col("source").alias("project"), F.col("doc_id").alias("a"), (F.col("doc_id") + 40).alias("b"))
-    return _flat(pr.with_existing_relations(pr.candidate_pairs(snapshot(v)), related))
+    return _flat(pr.candidate_pairs(snapshot(v), relations=related))
 
 
 @R.add("p4_focus_pairs", f"WITH {_PAIRS} SELECT * FROM p WHERE left_id % 97 = 5 OR right_id % 97 = 5")
